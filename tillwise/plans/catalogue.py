@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 SECTIONS = (
     "cleaning",
     "features",
+    "behaviour",
+    "preparation",
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
