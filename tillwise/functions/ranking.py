@@ -142,3 +142,30 @@ def hash_positions(
         (F.col("_in") + F.col("_before")).alias("Position"),
         "StratumSize",
     )
+
+
+def join_ranks(df: DataFrame, ranks: DataFrame, value: str, name: str, identifier: str) -> DataFrame:
+    """Attach the rank of ``value`` to every row, also when one value holds most rows.
+
+    A value with more than a thousandth of all rows is hot; there are fewer than a thousand
+    of those, so their ranks are broadcast. Only the other rows meet their rank by a shuffle
+    join; the hot ones spread over it by the hash of their id and match nothing.
+    """
+    total = ranks.agg(F.sum("Copies").alias("_rows"))
+    sized = ranks.join(F.broadcast(total))
+    hot = sized.where(F.col("Copies") * 1000 > F.col("_rows")).select(
+        value, F.col(name).alias("_hot_rank")
+    )
+    rest = sized.where(F.col("Copies") * 1000 <= F.col("_rows")).select(
+        F.col(value).alias("_key"), F.lit(0).alias("_salt"), F.col(name).alias("_cold_rank")
+    )
+    is_hot = F.col("_hot_rank").isNotNull()
+    spread = df.join(F.broadcast(hot), value, "left").withColumns(
+        {
+            "_key": F.when(~is_hot, F.col(value)),
+            "_salt": F.when(is_hot, F.pmod(F.xxhash64(identifier), F.lit(4096)).cast("int")).otherwise(0),
+        }
+    )
+    return spread.join(rest, ["_key", "_salt"], "left").select(
+        *df.columns, F.coalesce("_hot_rank", "_cold_rank").alias(name)
+    )

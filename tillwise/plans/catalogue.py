@@ -12,6 +12,8 @@ SECTIONS = (
     "features",
     "behaviour",
     "preparation",
+    "metrics",
+    "series",
 )
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tillwise.functions.lineage import cut_lineage
 from tillwise.operators.cleaning import clean_lines, genuine_purchases, tidy
 from tillwise.operators.features import Periods, customer_features
 from tillwise.plans.oracle import CUTOFF
@@ -30,3 +32,24 @@ def purchases(spark: SparkSession, folder: str) -> DataFrame:
 
 def features(spark: SparkSession, folder: str) -> DataFrame:
     return customer_features(lines(spark, folder), PERIODS)
+
+
+def kept_features(spark: SparkSession, folder: str) -> DataFrame:
+    """The feature rows written once, for queries that go over them several times."""
+    return cut_lineage(features(spark, folder))
+
+
+def scored(spark: SparkSession, folder: str) -> DataFrame:
+    """A repeatable stand-in for a model: last spend as prediction, recent activity as score."""
+    bought, recency = F.col("PurchasesLast90Days"), F.col("Recency")
+    score = bought / (bought + 1 + recency / F.lit(30.0))
+    return cut_lineage(
+        features(spark, folder).select(
+            "Customer_ID",
+            F.col("FutureSpend90Days").alias("Actual"),
+            F.col("SpendLast90Days").alias("Predicted"),
+            F.col("RetentionLabel").cast("int").alias("Label"),
+            score.alias("Score"),
+            (score >= 0.5).cast("int").alias("Decision"),
+        )
+    )

@@ -119,7 +119,21 @@ features as (
   left join rates using (Customer_ID) left join labels_future using (Customer_ID))
 """
 
-_PARTS = {"raw": RAW, "tidy": TIDY, "clean": CLEAN, "features": FEATURES}
+SCORED = """
+scored as (
+  select Customer_ID, FutureSpend90Days as Actual, SpendLast90Days as Predicted,
+    cast(RetentionLabel as int) as Label,
+    PurchasesLast90Days / (PurchasesLast90Days + 1 + Recency / 30.0::double) as Score,
+    cast(PurchasesLast90Days / (PurchasesLast90Days + 1 + Recency / 30.0::double) >= 0.5 as int) as Decision
+  from features),
+diagnosed as (
+  select *, Actual - Predicted as Residual, abs(Actual - Predicted) as AbsResidual,
+    ln(1 + Actual) as LogActual, ln(1 + Predicted) as LogPredicted,
+    ln(1 + Actual) - ln(1 + Predicted) as LogResidual, cast(Actual = 0 as int) as ActualZeroFlag
+  from scored)
+"""
+
+_PARTS = {"raw": RAW, "tidy": TIDY, "clean": CLEAN, "features": FEATURES, "scored": SCORED}
 
 
 def with_tables(level: str, body: str, *extra: str) -> str:

@@ -50,12 +50,6 @@ def trained_matrix(spark, folder):
     )
 
 
-def holdout(spark, folder):
-    from tillwise.operators.series import holdout_rows, weekly_series
-
-    return settled(holdout_rows(weekly_series(purchases(spark, folder)), 12).select("Date", "Revenue", "Split"), 2)
-
-
 def infinite_ratio(spark, folder):
     """Spend per prior spend: infinite or undefined for customers without prior spend."""
     top, bottom = F.col("SpendLast90Days"), F.col("SpendPrior90Days")
@@ -97,7 +91,6 @@ QUERIES = {
     "pre07_plain_split": lambda s, d: pr.split_rows(
         features(s, d).select("Customer_ID"), 0.25
     ),
-    "pre08_last_weeks_holdout": holdout,
     "pre09_finite_or_median": infinite_ratio,
     "pre10_class_weights": lambda s, d: settled(pr.class_weights(features(s, d))),
     "pre11_principal_components": pca,
