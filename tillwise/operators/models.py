@@ -2,10 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.ml.classification import (
+    DecisionTreeClassifier,
+    GBTClassifier,
+    LinearSVC,
+    LogisticRegression,
+    RandomForestClassifier,
+)
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import (
+    DecisionTreeRegressor,
+    GBTRegressor,
+    GeneralizedLinearRegression,
+    LinearRegression,
+    RandomForestRegressor,
+)
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import ratio
+from tillwise.functions.lineage import cut_lineage
+from tillwise.functions.ranking import hash_positions
+from tillwise.operators.diagnostics import calibrate, calibration_factor, clip_at_zero
+from tillwise.operators.features import fill_gap_with_sentinel
+from tillwise.operators.metrics import rescale_scores
+from tillwise.operators.preparation import (
+    LOG_FEATURES,
+    SCALE_FEATURES,
+    class_weights,
+    scaled_matrix,
+    split_rows,
+)
 
 
 def majority_class(df: DataFrame, label: str) -> DataFrame:
@@ -18,3 +50,186 @@ def majority_class(df: DataFrame, label: str) -> DataFrame:
         .orderBy(F.col("Rows").desc(), label)
         .limit(1)
     )
+
+
+LABEL, SPEND = "RetentionLabel", "FutureSpend90Days"
+MODEL_FEATURES = (*LOG_FEATURES, *SCALE_FEATURES)
+
+CLASSIFIERS = {
+    "LogisticRegression": lambda **o: LogisticRegression(
+        featuresCol="vector", labelCol=LABEL, weightCol="Weight", regParam=o.get("regParam", 0.01), maxIter=100
+    ),
+    "DecisionTree": lambda **o: DecisionTreeClassifier(
+        featuresCol="vector", labelCol=LABEL, weightCol="Weight", maxDepth=o.get("maxDepth", 5), seed=42
+    ),
+    "LinearSVC": lambda **o: LinearSVC(
+        featuresCol="vector", labelCol=LABEL, weightCol="Weight", regParam=o.get("regParam", 0.01), maxIter=100
+    ),
+    "RandomForest": lambda **o: RandomForestClassifier(
+        featuresCol="vector", labelCol=LABEL, weightCol="Weight", numTrees=o.get("numTrees", 100),
+        maxDepth=o.get("maxDepth", 5), seed=42,
+    ),
+    "BoostedTrees": lambda **o: GBTClassifier(
+        featuresCol="vector", labelCol=LABEL, maxIter=o.get("maxIter", 20), maxDepth=o.get("maxDepth", 3),
+        stepSize=0.1, seed=42,
+    ),
+}
+REGRESSORS = {
+    "DecisionTree": lambda **o: DecisionTreeRegressor(
+        featuresCol="vector", labelCol=SPEND, maxDepth=o.get("maxDepth", 5), seed=42
+    ),
+    "RandomForest": lambda **o: RandomForestRegressor(
+        featuresCol="vector", labelCol=SPEND, numTrees=o.get("numTrees", 100), maxDepth=o.get("maxDepth", 5), seed=42
+    ),
+    "BoostedTrees": lambda **o: GBTRegressor(
+        featuresCol="vector", labelCol=SPEND, maxIter=o.get("maxIter", 20), maxDepth=o.get("maxDepth", 3),
+        stepSize=0.1, seed=42,
+    ),
+}
+VARIANCE_POWERS = (1.1, 1.3, 1.5, 1.7, 1.9)
+
+
+def model_rows(features: DataFrame, test_share: float = 0.2) -> DataFrame:
+    """Prepared rows with vector, both targets, class weight and split, written once.
+
+    Medians, means and deviations come from the training rows only.
+    """
+    parts = cut_lineage(split_rows(fill_gap_with_sentinel(features), test_share, [LABEL]))
+    train = parts.where(F.col("Split") == "train")
+    matrix = scaled_matrix(parts, fitted_on=train, keep=["Customer_ID", "Split", LABEL, SPEND])
+    weights = class_weights(train, LABEL).select(F.col("Label").alias(LABEL), "Weight")
+    vectors = VectorAssembler(inputCols=list(MODEL_FEATURES), outputCol="vector").transform(matrix)
+    joined = vectors.withColumn(LABEL, F.col(LABEL).cast("int")).join(F.broadcast(weights), LABEL)
+    return cut_lineage(joined)
+
+
+def train_rows(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("Split") == "train")
+
+
+def test_rows(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("Split") == "test")
+
+
+def score_classes(model, rows: DataFrame) -> DataFrame:
+    """Label, positive-class score and decision. A margin without probability is rescaled."""
+    scored = model.transform(rows)
+    if "probability" in scored.columns:
+        scored = scored.withColumn("Score", vector_to_array("probability")[1])
+    else:
+        scored = rescale_scores(scored.withColumn("Score", vector_to_array("rawPrediction")[1]), "Score")
+    return scored.select(
+        "Customer_ID", F.col(LABEL).alias("Label"), "Score", F.col("prediction").cast("int").alias("Decision")
+    )
+
+
+def classify(rows: DataFrame, name: str, **options) -> DataFrame:
+    model = CLASSIFIERS[name](**options).fit(train_rows(rows))
+    return score_classes(model, test_rows(rows))
+
+
+def _spend(scored: DataFrame, value: Column) -> DataFrame:
+    return scored.select(
+        "Customer_ID", F.col(SPEND).alias("Actual"), clip_at_zero(value).alias("Predicted"), "Split"
+    )
+
+
+def calibrated_on_train(scored: DataFrame) -> DataFrame:
+    """Scale the test predictions by the total ratio of the training rows."""
+    rows = cut_lineage(scored)
+    factor = calibration_factor(rows.where(F.col("Split") == "train"))
+    return calibrate(rows.where(F.col("Split") == "test").drop("Split"), factor)
+
+
+def regress(rows: DataFrame, name: str, **options) -> DataFrame:
+    model = REGRESSORS[name](**options).fit(train_rows(rows))
+    return calibrated_on_train(_spend(model.transform(rows), F.col("prediction")))
+
+
+def ridge_on_log(rows: DataFrame, strength: float = 0.1) -> DataFrame:
+    logged = rows.withColumn("LogSpend", F.log1p(SPEND))
+    model = LinearRegression(
+        featuresCol="vector", labelCol="LogSpend", regParam=strength, elasticNetParam=0.0
+    ).fit(train_rows(logged))
+    return _spend(model.transform(logged), F.expm1("prediction")).where(F.col("Split") == "test").drop("Split")
+
+
+def tweedie(power: float, strength: float = 0.1) -> GeneralizedLinearRegression:
+    return GeneralizedLinearRegression(
+        featuresCol="vector", labelCol=SPEND, family="tweedie", variancePower=power, linkPower=0.0,
+        regParam=strength, maxIter=25,
+    )
+
+
+def tweedie_spend(rows: DataFrame, power: float = 1.5) -> DataFrame:
+    """Log-link Tweedie model of the spend with its many zeros, calibrated on the training rows."""
+    return calibrated_on_train(_spend(tweedie(power).fit(train_rows(rows)).transform(rows), F.col("prediction")))
+
+
+def tweedie_search(rows: DataFrame, powers: Sequence[float] = VARIANCE_POWERS, folds: int = 3) -> DataFrame:
+    """Mean and deviation of the fold error per variance power."""
+    estimator = tweedie(powers[0])
+    grid = ParamGridBuilder().addGrid(estimator.variancePower, list(powers)).build()
+    evaluator = RegressionEvaluator(labelCol=SPEND, predictionCol="prediction", metricName="rmse")
+    return search(train_rows(rows), "Tweedie", estimator, grid, evaluator, folds)
+
+
+def two_stage_spend(rows: DataFrame) -> DataFrame:
+    """Chance to buy times the spend expected from buyers; the second model sees buyers only."""
+    train = train_rows(rows)
+    buys = CLASSIFIERS["LogisticRegression"]().fit(train)
+    amount = GeneralizedLinearRegression(
+        featuresCol="vector", labelCol=SPEND, family="gamma", link="log", regParam=0.1, maxIter=25
+    ).fit(train.where(F.col(SPEND) > 0))
+    chance = buys.transform(rows).withColumn("Chance", vector_to_array("probability")[1]).drop(
+        "prediction", "probability", "rawPrediction"
+    )
+    return calibrated_on_train(_spend(amount.transform(chance), F.col("Chance") * F.col("prediction")))
+
+
+def with_folds(rows: DataFrame, folds: int) -> DataFrame:
+    """Fold numbers from the md5 order of the ids, even within each class."""
+    placed = hash_positions(rows, "Customer_ID", [LABEL])
+    return placed.withColumn("Fold", F.pmod(F.col("Position"), F.lit(folds)).cast("int")).drop(
+        "Position", "StratumSize"
+    )
+
+
+def search(train: DataFrame, name: str, estimator, grid, evaluator, folds: int = 5) -> DataFrame:
+    """One row per setting with the mean and deviation of the fold scores."""
+    rows = cut_lineage(with_folds(train, folds))
+    fitted = CrossValidator(
+        estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds,
+        foldCol="Fold", parallelism=4,
+    ).fit(rows)
+    trials = [
+        (name, {p.name: str(v) for p, v in setting.items()}, float(mean), float(std))
+        for setting, mean, std in zip(grid, fitted.avgMetrics, fitted.stdMetrics)
+    ]
+    return train.sparkSession.createDataFrame(
+        trials, "Model string, Params map<string,string>, MeanScore double, StdScore double"
+    )
+
+
+def classifier_search(rows: DataFrame, folds: int = 5) -> DataFrame:
+    """Small grids over the linear and the tree classifier."""
+    train = train_rows(rows)
+    evaluator = BinaryClassificationEvaluator(labelCol=LABEL, metricName="areaUnderROC")
+    linear, tree = CLASSIFIERS["LogisticRegression"](), CLASSIFIERS["DecisionTree"]()
+    return search(
+        train, "LogisticRegression", linear,
+        ParamGridBuilder().addGrid(linear.regParam, [0.001, 0.01, 0.1, 1.0]).build(), evaluator, folds,
+    ).unionByName(
+        search(
+            train, "DecisionTree", tree,
+            ParamGridBuilder().addGrid(tree.maxDepth, [3, 5, 10]).build(), evaluator, folds,
+        )
+    )
+
+
+def best_trials(trials: DataFrame) -> DataFrame:
+    """The best setting per model."""
+    return trials.groupBy("Model").agg(
+        F.max("MeanScore").alias("BestScore"),
+        F.max_by("Params", "MeanScore").alias("BestParams"),
+    )

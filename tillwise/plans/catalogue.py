@@ -14,6 +14,8 @@ SECTIONS = (
     "preparation",
     "metrics",
     "series",
+    "models",
+    "segments",
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
