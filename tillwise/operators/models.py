@@ -154,24 +154,40 @@ def ridge_on_log(rows: DataFrame, strength: float = 0.1) -> DataFrame:
     return _spend(model.transform(logged), F.expm1("prediction")).where(F.col("Split") == "test").drop("Split")
 
 
+SCALED = "ScaledSpend"
+
+
+def scaled_spend(rows: DataFrame) -> DataFrame:
+    """The spend as a multiple of its training mean (``SpendMean``), near 1 for a stable fit.
+
+    A log-link Tweedie model of the multiple is the same model of the spend.
+    """
+    mean = train_rows(rows).agg(F.avg(SPEND).alias("SpendMean"))
+    return rows.join(F.broadcast(mean)).withColumn(
+        SCALED, F.coalesce(ratio(F.col(SPEND), F.col("SpendMean")), F.lit(0.0))
+    )
+
+
 def tweedie(power: float, strength: float = 0.1) -> GeneralizedLinearRegression:
     return GeneralizedLinearRegression(
-        featuresCol="vector", labelCol=SPEND, family="tweedie", variancePower=power, linkPower=0.0,
+        featuresCol="vector", labelCol=SCALED, family="tweedie", variancePower=power, linkPower=0.0,
         regParam=strength, maxIter=25,
     )
 
 
 def tweedie_spend(rows: DataFrame, power: float = 1.5) -> DataFrame:
     """Log-link Tweedie model of the spend with its many zeros, calibrated on the training rows."""
-    return calibrated_on_train(_spend(tweedie(power).fit(train_rows(rows)).transform(rows), F.col("prediction")))
+    scaled = cut_lineage(scaled_spend(rows))
+    model = tweedie(power).fit(train_rows(scaled))
+    return calibrated_on_train(_spend(model.transform(scaled), F.col("prediction") * F.col("SpendMean")))
 
 
 def tweedie_search(rows: DataFrame, powers: Sequence[float] = VARIANCE_POWERS, folds: int = 3) -> DataFrame:
-    """Mean and deviation of the fold error per variance power."""
+    """Mean and deviation of the fold error per variance power, in multiples of the mean spend."""
     estimator = tweedie(powers[0])
     grid = ParamGridBuilder().addGrid(estimator.variancePower, list(powers)).build()
-    evaluator = RegressionEvaluator(labelCol=SPEND, predictionCol="prediction", metricName="rmse")
-    return search(train_rows(rows), "Tweedie", estimator, grid, evaluator, folds)
+    evaluator = RegressionEvaluator(labelCol=SCALED, predictionCol="prediction", metricName="rmse")
+    return search(train_rows(scaled_spend(rows)), "Tweedie", estimator, grid, evaluator, folds)
 
 
 def two_stage_spend(rows: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ SECTIONS = (
     "series",
     "models",
     "segments",
+    "reports",
 )
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -209,10 +209,10 @@ WEEKLY = series_sql("weekly", WEEK, "7 day")
 COUNTRIES = series_sql("countries", WEEK, "7 day", "Country")
 MONTHLY = series_sql("monthly", "cast(date_trunc('month', InvoiceDate) as date)", "1 month")
 SPLIT = f"""
-marked as (select *, row_number() over (order by Date desc) as back from weekly),
+counted_back as (select *, row_number() over (order by Date desc) as back from weekly),
 train as (select * exclude (back), row_number() over (order by Date) as t, row_number() over (order by Date desc) as tb
-          from marked where back > {HORIZON}),
-test as (select *, {HORIZON} + 1 - back as Step from marked where back <= {HORIZON})
+          from counted_back where back > {HORIZON}),
+test as (select *, {HORIZON} + 1 - back as Step from counted_back where back <= {HORIZON})
 """
 BASELINES = f"""
 forecasts as (
@@ -437,7 +437,7 @@ ORACLES = {
               {r('(select max_by(Revenue, Date) from weekly)', 4)} as Forecast from (select unnest(range(1, 5)) as k)"""
     ),
     "pre08_last_weeks_holdout": week_sql(
-        f"select Date, {ra('Revenue', 4)}, case when back <= {HORIZON} then 'test' else 'train' end as Split from marked",
+        f"select Date, {ra('Revenue', 4)}, case when back <= {HORIZON} then 'test' else 'train' end as Split from counted_back",
         SPLIT,
     ),
     "met12_smape": week_sql(
