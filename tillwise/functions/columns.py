@@ -6,17 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MONEY = "decimal(18,4)"
+MONEY_UNITS = 10000.0
 SECONDS_PER_DAY = 86400
 
 
 def money(value: Column) -> Column:
-    """A line amount as decimal, so that sums do not depend on the row order."""
-    return value.cast(MONEY)
+    """A line amount in ten-thousandths as bigint.
+
+    Whole numbers make sums independent of the row order, and they stay in registers where
+    wide decimals would not. A sum past 9.2e14 currency units raises, it never wraps.
+    """
+    return F.rint(value.cast("double") * MONEY_UNITS).cast("bigint")
+
+
+def from_money(units: Column) -> Column:
+    return units / F.lit(MONEY_UNITS)
 
 
 def money_sum(value: Column) -> Column:
-    return F.sum(money(value)).cast("double")
+    return from_money(F.sum(money(value)))
 
 
 def whole_days(start: Column, end: Column) -> Column:
@@ -29,6 +37,16 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Aggregate: Pearson correlation over rows with both values, null for a constant side.
+
+    The built-in ``corr`` divides by zero there, which raises in ANSI mode.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def safe_log1p(value: Column) -> Column:
     return F.log1p(F.greatest(value.cast("double"), F.lit(0.0)))
 
@@ -36,11 +54,15 @@ def safe_log1p(value: Column) -> Column:
 def title_case(text: Column) -> Column:
     """Upper-case every letter that follows a non-letter, lower-case the others.
 
-    ``initcap`` only starts a word after a blank, so a marked blank is put behind every
-    other non-letter first and taken out again afterwards.
+    ``initcap`` only starts a word after a blank. Text with a letter right behind another
+    non-letter gets a marked blank there first, taken out again afterwards.
     """
-    marked = F.regexp_replace(F.trim(text), r"([^\p{L}\s])", "$1\u0001 ")
-    return F.regexp_replace(F.initcap(marked), "\u0001 ", "")
+    trimmed = F.trim(text)
+    marked = F.regexp_replace(trimmed, r"([^\p{L}\s])", "$1\u0001 ")
+    inner = trimmed.rlike(r"[^\p{L}\s]\p{L}")
+    return F.when(inner, F.regexp_replace(F.initcap(marked), "\u0001 ", "")).otherwise(
+        F.initcap(trimmed)
+    )
 
 
 def half_up(value: Column, digits: int) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillwise.functions.columns import money_sum, ratio, unpivot
+from tillwise.functions.columns import correlation, money_sum, ratio, unpivot
 from tillwise.functions.ranking import exact_quantiles, hash_key
 from tillwise.operators.features import gaps_between
 
@@ -176,9 +176,7 @@ def feature_samples(df: DataFrame, columns: Sequence[str], rows: int, identifier
 
 def pearson(a: str, b: str) -> Column:
     """Correlation over the rows where both values are present."""
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    both = x.isNotNull() & y.isNotNull()
-    return F.corr(F.when(both, x), F.when(both, y))
+    return correlation(F.col(a), F.col(b))
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -211,16 +209,14 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 2) -
     scale = 10.0**digits
     value = F.floor(F.col("Correlation") * scale + 0.5).cast("double") / scale
     return whole.unionByName(diagonal).select(
-        "X", "Y", F.coalesce(F.when(~F.isnan("Correlation"), value), F.lit(0.0)).alias("Correlation")
+        "X", "Y", F.coalesce(value, F.lit(0.0)).alias("Correlation")
     )
 
 
 def label_correlations(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     one = df.agg(*[pearson(c, label).alias(c) for c in columns])
-    return (
-        one.unpivot([], list(columns), "Measure", "Correlation")
-        .withColumn("Correlation", F.when(~F.isnan("Correlation"), F.col("Correlation")))
-        .orderBy(F.col("Correlation").desc_nulls_last(), "Measure")
+    return one.unpivot([], list(columns), "Measure", "Correlation").orderBy(
+        F.col("Correlation").desc_nulls_last(), "Measure"
     )
 
 

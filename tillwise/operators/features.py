@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillwise.functions.columns import money, ratio, whole_days
+from tillwise.functions.columns import from_money, money, ratio, whole_days
 from tillwise.operators.cleaning import require_columns
 
 FEATURES = (
@@ -93,7 +93,7 @@ def invoice_rollup(lines: DataFrame, periods: Periods) -> DataFrame:
     ahead = is_purchase() & periods.in_future(when)
 
     def spend(condition: Column) -> Column:
-        return F.sum(F.when(condition, value).otherwise(F.lit(0).cast("decimal(18,4)")))
+        return F.sum(F.when(condition, value).otherwise(F.lit(0).cast("bigint")))
 
     def seen(condition: Column) -> Column:
         return F.max(F.when(condition, 1).otherwise(0)).cast("bigint")
@@ -134,7 +134,7 @@ def purchase_invoices(lines: DataFrame, periods: Periods) -> DataFrame:
             "Customer_ID",
             "Invoice",
             "InvoiceDate",
-            F.col("InvoiceValue").cast("double").alias("InvoiceValue"),
+            from_money(F.col("InvoiceValue")).alias("InvoiceValue"),
             "InvoiceQuantity",
             "InvoiceProducts",
         )
@@ -273,7 +273,7 @@ def customer_features(lines: DataFrame, periods: Periods) -> DataFrame:
     customers = customer_rollup(lines, periods)
     col = F.col
     orders, gaps = col("Invoices"), col("Invoices") - 1
-    monetary = col("InvoiceValue").cast("double")
+    monetary = from_money(col("InvoiceValue"))
     lifetime = F.greatest(F.lit(1), whole_days(col("FirstPurchase"), col("LastPurchase")))
     spread = (gaps * col("GapSquares") - col("GapSum") * col("GapSum")).cast("double")
     rows = customers.select(
@@ -288,14 +288,14 @@ def customer_features(lines: DataFrame, periods: Periods) -> DataFrame:
         ratio(col("GapSum"), gaps).alias("AvgGapDays"),
         F.coalesce(F.sqrt(ratio(spread, gaps * (gaps - 1))), F.lit(0.0)).alias("StdGapDays"),
         col("In30").alias("PurchasesLast30Days"),
-        col("Spend30").cast("double").alias("SpendLast30Days"),
+        from_money(col("Spend30")).alias("SpendLast30Days"),
         col("In90").alias("PurchasesLast90Days"),
-        col("Spend90").cast("double").alias("SpendLast90Days"),
-        col("SpendPrior90").cast("double").alias("SpendPrior90Days"),
+        from_money(col("Spend90")).alias("SpendLast90Days"),
+        from_money(col("SpendPrior90")).alias("SpendPrior90Days"),
         col("InPrior90").alias("PurchasesPrior90Days"),
         ratio(col("ReturnedLines"), col("HistoryLines")).alias("ReturnRate"),
         ratio(col("CancelledLines"), col("HistoryLines")).alias("CancellationRate"),
-        col("FutureSpend").cast("double").alias("FutureSpend90Days"),
+        from_money(col("FutureSpend")).alias("FutureSpend90Days"),
         col("FutureBought").alias("RetentionLabel"),
     )
     return rows.withColumns(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.columns import ratio
+from tillwise.functions.columns import correlation, ratio
 from tillwise.functions.lineage import cut_lineage
 from tillwise.functions.ranking import (
     average_ranks,
@@ -50,9 +50,7 @@ def spearman(scored: DataFrame, actual: str, predicted: str, identifier: str) ->
     rows = scored.select(identifier, actual, predicted)
     for value, name in ((actual, "_rank_a"), (predicted, "_rank_p")):
         rows = join_ranks(rows, average_ranks(scored, value, name), value, name, identifier)
-    result = F.corr("_rank_a", "_rank_p")
-    constant = (F.min(actual) == F.max(actual)) | (F.min(predicted) == F.max(predicted))
-    return rows.agg(F.when(~constant, result).alias("Spearman"))
+    return rows.agg(correlation(F.col("_rank_a"), F.col("_rank_p")).alias("Spearman"))
 
 
 def regression_metrics(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillwise.functions.columns import money, ratio
+from tillwise.functions.columns import from_money, money, ratio
 
 REVENUE_LAGS = (1, 2, 4, 8, 12)
 ROLLING = (4, 8, 12)
@@ -39,7 +39,7 @@ def _series(purchases: DataFrame, label: Column, step: str, by: Sequence[str]) -
         F.sum(money(F.col("TransactionValue"))).alias("Value")
     )
     found = invoices.groupBy(*by, "Date").agg(
-        F.sum("Value").cast("double").alias("Revenue"),
+        from_money(F.sum("Value")).alias("Revenue"),
         F.countDistinct("Invoice").alias("OrderCount"),
         F.countDistinct("Customer_ID").alias("UniqueCustomers"),
     )

@@ -31,7 +31,7 @@ def attributed(spark, folder):
     features = kept_features(spark, folder)
     matrix = cut_lineage(scaled_matrix(features, keep=["Customer_ID", "RetentionLabel"]))
     weights = matrix.agg(
-        *[F.coalesce(F.nanvl(be.pearson(c, "RetentionLabel"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in COLUMNS]
+        *[F.coalesce(be.pearson(c, "RetentionLabel"), F.lit(0.0)).alias(c) for c in COLUMNS]
     )
     return cut_lineage(at.contributions(matrix, weights, COLUMNS))
 

@@ -45,6 +45,12 @@ def rule_score(score):
     return lambda spark, folder: settled(score(ruled_matrix(spark, folder)), 5)
 
 
+def squared_silhouette(spark, folder):
+    rows = sg.assembled(ruled_matrix(spark, folder))
+    score = sg.silhouette_squared(rows)
+    return settled(rows.agg(F.count(F.lit(1)).alias("Rows")).withColumn("Silhouette", F.lit(score)), 5)
+
+
 def density_labels(spark, folder):
     return de.density_clusters(matrix(spark, folder), sg.CLUSTER_FEATURES, [(2.0, 20)]).select(
         "Customer_ID", "Cluster"
@@ -128,13 +134,7 @@ QUERIES = {
     "seg04_silhouette": rule_score(
         lambda m: sg.silhouette_euclidean(m, sg.CLUSTER_FEATURES, ["Cluster"])
     ),
-    "seg04_silhouette_squared": lambda s, d: settled(
-        ruled_matrix(s, d)
-        .groupBy()
-        .agg(F.count(F.lit(1)).alias("Rows"))
-        .withColumn("Silhouette", F.lit(sg.silhouette_squared(sg.assembled(ruled_matrix(s, d))))),
-        5,
-    ),
+    "seg04_silhouette_squared": squared_silhouette,
     "seg05_davies_bouldin": rule_score(
         lambda m: sg.davies_bouldin(m, sg.CLUSTER_FEATURES, "Cluster")
     ),

@@ -56,43 +56,64 @@ def invoice_lines(
         orders = orders.where(F.col("o_orderdate") >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
         orders = orders.where(F.col("o_orderdate") < F.lit(end).cast("timestamp_ntz"))
-    countries = read_table(spark, folder, "customer").join(
-        read_table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    order_key = F.col("o_orderkey")
+    cancelled = order_key % 37 == 0
+    seconds = (order_key * 7919 % 86400).cast("decimal(18,6)")
+    invoices = orders.select(
+        "o_orderkey",
+        "o_custkey",
+        cancelled.alias("_cancelled"),
+        F.concat(F.when(cancelled, "C").otherwise(""), order_key.cast("string")).alias("Invoice"),
+        (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)).alias(
+            "InvoiceDate"
+        ),
+        F.when(order_key % 29 == 0, F.array(F.lit(1), F.lit(2)))
+        .otherwise(F.array(F.lit(1)))
+        .alias("_copies"),
+    )
+    nations = read_table(spark, folder, "nation").select(
+        "n_nationkey", F.lower("n_name").alias("Country")
+    )
+    customers = (
+        read_table(spark, folder, "customer")
+        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+        .select(
+            "c_custkey",
+            F.when(F.col("c_custkey") % 41 == 0, F.lit(None).cast("double"))
+            .otherwise(F.col("c_custkey").cast("double"))
+            .alias("Customer ID"),
+            "Country",
+        )
+    )
+    part_key = F.col("p_partkey")
+    products = read_table(spark, folder, "part").select(
+        "p_partkey",
+        F.when(part_key % 53 == 0, " post ")
+        .otherwise(F.concat(F.lit("p"), part_key.cast("string")))
+        .alias("StockCode"),
+        F.col("p_name").alias("Description"),
     )
+    # Customers meet invoices, not lines: the line table is shuffled once less.
+    headers = invoices.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     base = (
         read_table(spark, folder, "lineitem")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(countries, F.col("o_custkey") == F.col("c_custkey"))
-        .join(read_table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(headers, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(products, F.col("l_partkey") == F.col("p_partkey"))
     )
-    cancelled = F.col("o_orderkey") % 37 == 0
     returned = (F.col("l_returnflag") == "R") & (F.col("l_partkey") % 11 == 0)
-    seconds = (F.col("o_orderkey") * 7919 % 86400).cast("decimal(18,6)")
     unit_price = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5) / 100
-    copies = F.when(F.col("o_orderkey") % 29 == 0, F.array(F.lit(1), F.lit(2))).otherwise(
-        F.array(F.lit(1))
-    )
-    return base.withColumn("_copy", F.explode(copies)).select(
-        F.concat(F.when(cancelled, "C").otherwise(""), F.col("o_orderkey").cast("string")).alias(
-            "Invoice"
-        ),
-        F.when(F.col("l_partkey") % 53 == 0, " post ")
-        .otherwise(F.concat(F.lit("p"), F.col("l_partkey").cast("string")))
-        .alias("StockCode"),
-        F.col("p_name").alias("Description"),
-        F.when(cancelled | returned, -F.col("l_quantity"))
+    return base.withColumn("_copy", F.explode("_copies")).select(
+        "Invoice",
+        "StockCode",
+        "Description",
+        F.when(F.col("_cancelled") | returned, -F.col("l_quantity"))
         .otherwise(F.col("l_quantity"))
         .cast("int")
         .alias("Quantity"),
-        (
-            F.col("o_orderdate")
-            + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
-        ).alias("InvoiceDate"),
+        "InvoiceDate",
         F.when(F.col("l_partkey") % 97 == 0, 0.0).otherwise(unit_price).alias("Price"),
-        F.when(F.col("o_custkey") % 41 == 0, F.lit(None).cast("double"))
-        .otherwise(F.col("o_custkey").cast("double"))
-        .alias("Customer ID"),
-        F.lower("n_name").alias("Country"),
+        "Customer ID",
+        "Country",
     )
 
 
