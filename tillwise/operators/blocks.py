@@ -21,7 +21,7 @@ from tillwise.functions.lineage import cut_lineage
 from tillwise.functions.ranking import hash_key
 
 BLOCK_ROWS = 2000
-MAX_PIVOTS = 256
+MAX_PIVOTS = 1024
 ROWS_PER_CELL = 4000
 
 
@@ -62,7 +62,7 @@ class Cells:
 
 
 def build_cells(home: DataFrame, identifier: str, power: int = 2, pivots: int | None = None) -> tuple[DataFrame, Cells]:
-    """Put every row into the cell of its nearest pivot. At most 256 pivots reach the driver."""
+    """Put every row into the cell of its nearest pivot. At most MAX_PIVOTS rows reach the driver."""
     size = home.count()
     wanted = pivots or min(MAX_PIVOTS, max(1, -(-size // ROWS_PER_CELL)))
     picked = home.orderBy(hash_key(identifier), identifier).limit(wanted).select("Vector").collect()
