@@ -179,37 +179,25 @@ def pearson(a: str, b: str) -> Column:
     return correlation(F.col(a), F.col(b))
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All unordered pairs of columns with their correlation, in one aggregate."""
+def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFrame:
+    """All pairs of columns from one aggregate, rounded, undefined entries as 0."""
     names = list(columns)
     pairs = list(combinations(names, 2))
-    one = df.agg(*[pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [
-        F.struct(F.lit(a).alias("X"), F.lit(b).alias("Y"), F.col(f"c{i}").alias("Correlation"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return one.select(F.inline(F.array(*rows)))
+    one = df.agg(
+        *[pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
+        *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(names)],
+    )
 
+    def entry(x: str, y: str, value: Column) -> Column:
+        return F.struct(F.lit(x).alias("X"), F.lit(y).alias("Y"), value.alias("_value"))
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFrame:
-    """The full matrix, rounded, undefined entries as 0."""
-    pairs = correlation_pairs(df, columns)
-    whole = pairs.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("X"), F.col("Y"), F.col("Correlation")),
-                F.struct(F.col("Y").alias("X"), F.col("X").alias("Y"), F.col("Correlation")),
-            )
-        )
-    )
-    own = df.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in columns]).unpivot(
-        [], list(columns), "X", "Spread"
-    )
-    diagonal = own.select("X", F.col("X").alias("Y"), F.when(F.col("Spread") > 0, 1.0).alias("Correlation"))
+    entries = [entry(c, c, F.when(F.col(f"s{i}") > 0, 1.0)) for i, c in enumerate(names)]
+    for i, (a, b) in enumerate(pairs):
+        entries += [entry(a, b, F.col(f"c{i}")), entry(b, a, F.col(f"c{i}"))]
     scale = 10.0**digits
-    value = F.floor(F.col("Correlation") * scale + 0.5).cast("double") / scale
-    return whole.unionByName(diagonal).select(
-        "X", "Y", F.coalesce(value, F.lit(0.0)).alias("Correlation")
+    rounded = F.floor(F.col("_value") * scale + 0.5).cast("double") / scale
+    return one.select(F.inline(F.array(*entries))).select(
+        "X", "Y", F.coalesce(rounded, F.lit(0.0)).alias("Correlation")
     )
 
 

@@ -42,6 +42,14 @@ def distances(left: np.ndarray, right: np.ndarray, power: int = 2) -> np.ndarray
     return total if power == 1 else np.sqrt(total)
 
 
+def euclidean(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Euclidean distances by matrix product: faster, for sums where ties do not matter."""
+    centre = right.mean(axis=0)
+    a, b = left - centre, right - centre
+    squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * (a @ b.T)
+    return np.sqrt(np.maximum(squares, 0.0))
+
+
 def rounded_distances(left: np.ndarray, right: np.ndarray, power: int = 2) -> np.ndarray:
     """Distances to nine digits, so that equal ones tie whatever the order of the sums."""
     return np.floor(distances(left, right, power) * 1e9 + 0.5) / 1e9

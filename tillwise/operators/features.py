@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import from_money, money, ratio, whole_days
+from tillwise.functions.lineage import cut_lineage
 from tillwise.operators.cleaning import require_columns
 
 FEATURES = (
@@ -127,17 +128,28 @@ def invoice_rollup(lines: DataFrame, periods: Periods) -> DataFrame:
 
 def purchase_invoices(lines: DataFrame, periods: Periods) -> DataFrame:
     """Invoice rollup of the history: first date, value, quantity and distinct products."""
-    return (
-        invoice_rollup(lines, periods)
-        .where(F.col("InvoiceDate").isNotNull())
-        .select(
-            "Customer_ID",
-            "Invoice",
-            "InvoiceDate",
-            from_money(F.col("InvoiceValue")).alias("InvoiceValue"),
-            "InvoiceQuantity",
-            "InvoiceProducts",
-        )
+    return _shown(invoice_rollup(lines, periods).where(F.col("InvoiceDate").isNotNull()))
+
+
+def active_invoices(lines: DataFrame, periods: Periods) -> DataFrame:
+    """The purchase invoices of recently active customers."""
+    invoices = cut_lineage(invoice_rollup(lines, periods).where(F.col("InvoiceDate").isNotNull()))
+    active = (
+        invoices.where(F.col("LastLine") >= periods.day(-periods.active_days))
+        .select("Customer_ID")
+        .distinct()
+    )
+    return _shown(invoices.join(active, "Customer_ID", "left_semi"))
+
+
+def _shown(invoices: DataFrame) -> DataFrame:
+    return invoices.select(
+        "Customer_ID",
+        "Invoice",
+        "InvoiceDate",
+        from_money(F.col("InvoiceValue")).alias("InvoiceValue"),
+        "InvoiceQuantity",
+        "InvoiceProducts",
     )
 
 

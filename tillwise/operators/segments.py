@@ -18,7 +18,7 @@ from tillwise.functions.columns import ratio
 from tillwise.functions.joins import attach
 from tillwise.functions.lineage import cut_lineage
 from tillwise.functions.ranking import exact_quantiles
-from tillwise.operators.blocks import BLOCK_ROWS, distances, stack
+from tillwise.operators.blocks import BLOCK_ROWS, euclidean, stack
 from tillwise.operators.features import mark_missing_gap, require_columns
 from tillwise.operators.preparation import scaled_matrix
 
@@ -112,11 +112,11 @@ HEATMAP = (
 )
 
 
-def cluster_matrix(features: DataFrame) -> DataFrame:
-    """The scaled clustering features per customer."""
+def cluster_matrix(features: DataFrame, keep: Sequence[str] = ("Customer_ID",)) -> DataFrame:
+    """The scaled clustering features per customer, beside the kept columns."""
     marked = mark_missing_gap(features)
     require_columns(marked, CLUSTER_FEATURES)
-    return scaled_matrix(marked, CLUSTER_LOG, CLUSTER_PLAIN)
+    return scaled_matrix(marked, CLUSTER_LOG, CLUSTER_PLAIN, keep=keep)
 
 
 def assembled(matrix: DataFrame, columns: Sequence[str] = CLUSTER_FEATURES) -> DataFrame:
@@ -195,7 +195,7 @@ def silhouette_euclidean(
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
-            apart = distances(stack(a["Vector"]), stack(b["Vector"]))
+            apart = euclidean(stack(a["Vector"]), stack(b["Vector"]))
             ids = a["Id"].to_numpy()
             ours, theirs = np.stack(a["Labels"].to_numpy()), np.stack(b["Labels"].to_numpy())
             for t in range(len(names)):

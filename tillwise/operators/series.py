@@ -7,7 +7,7 @@ many invoice lines there are.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -34,7 +34,9 @@ def month_label(when: str = "InvoiceDate") -> Column:
     return F.trunc(F.to_date(when), "month")
 
 
-def _series(purchases: DataFrame, label: Column, step: str, by: Sequence[str]) -> DataFrame:
+def _series(purchases: DataFrame, label: Column, by: Sequence[str], before: Callable, step: str) -> DataFrame:
+    """Sums per calendar step. A gap before the next row is filled from the row ahead of it,
+    so the lines are read once and nothing is joined."""
     invoices = purchases.groupBy(*by, label.alias("Date"), "Customer_ID", "Invoice").agg(
         F.sum(money(F.col("TransactionValue"))).alias("Value")
     )
@@ -43,27 +45,29 @@ def _series(purchases: DataFrame, label: Column, step: str, by: Sequence[str]) -
         F.countDistinct("Invoice").alias("OrderCount"),
         F.countDistinct("Customer_ID").alias("UniqueCustomers"),
     )
-    spans = found.groupBy(*by).agg(F.min("Date").alias("_from"), F.max("Date").alias("_to"))
-    calendar = spans.select(
-        *by, F.explode(F.expr(f"sequence(_from, _to, interval {step})")).alias("Date")
-    )
-    return calendar.join(found, [*by, "Date"], "left").select(
+    following = F.lead("Date").over(per_series(by).orderBy("Date"))
+    until = found.withColumn("_until", F.coalesce(before(following), F.col("Date")))
+    filled = until.withColumn("_day", F.explode(F.expr(f"sequence(Date, _until, interval {step})")))
+    sold = F.col("_day") == F.col("Date")
+    return filled.select(
         *by,
-        "Date",
-        F.coalesce("Revenue", F.lit(0.0)).alias("Revenue"),
-        F.coalesce("OrderCount", F.lit(0)).alias("OrderCount"),
-        F.coalesce("UniqueCustomers", F.lit(0)).alias("UniqueCustomers"),
-        F.coalesce(ratio(F.col("Revenue"), F.col("OrderCount")), F.lit(0.0)).alias("AvgOrderValue"),
+        F.col("_day").alias("Date"),
+        F.when(sold, F.col("Revenue")).otherwise(0.0).alias("Revenue"),
+        F.when(sold, F.col("OrderCount")).otherwise(0).alias("OrderCount"),
+        F.when(sold, F.col("UniqueCustomers")).otherwise(0).alias("UniqueCustomers"),
+        F.when(sold, F.coalesce(ratio(F.col("Revenue"), F.col("OrderCount")), F.lit(0.0)))
+        .otherwise(0.0)
+        .alias("AvgOrderValue"),
     )
 
 
 def weekly_series(purchases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per week from the first to the last sale; weeks without a sale hold zeros."""
-    return _series(purchases, week_label(), "7 days", list(by))
+    return _series(purchases, week_label(), list(by), lambda day: F.date_sub(day, 7), "7 days")
 
 
 def monthly_series(purchases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return _series(purchases, month_label(), "1 month", list(by))
+    return _series(purchases, month_label(), list(by), lambda day: F.add_months(day, -1), "1 month")
 
 
 def holdout_rows(series: DataFrame, horizon: int, by: Sequence[str] = ()) -> DataFrame:

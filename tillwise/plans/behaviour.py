@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tillwise.functions.columns import settled
 from tillwise.operators import behaviour as be
 from tillwise.operators.features import FEATURES
-from tillwise.plans.inputs import features, lines, purchases
+from tillwise.functions.lineage import cut_lineage
+from tillwise.plans.inputs import features, kept_features, lines, purchases
 from tillwise.plans.oracle import r, ra, rounded, with_tables
 
 ALL_GAPS = """
@@ -34,7 +35,7 @@ def line_sample(column):
             ).alias("LineKey"),
             column,
         )
-        return be.trimmed_sample(keyed, column, 10000, "LineKey")
+        return be.trimmed_sample(cut_lineage(keyed), column, 10000, "LineKey")
 
     return query
 
@@ -72,16 +73,16 @@ QUERIES = {
     ),
     "eda15_value_counts": lambda s, d: settled(be.value_counts(features(s, d), "ReturnRate")),
     "eda16_label_profile": lambda s, d: settled(
-        be.label_profile(features(s, d), SPREAD, "RetentionLabel"), 4
+        be.label_profile(kept_features(s, d), SPREAD, "RetentionLabel"), 4
     ),
     "eda17_target_quantiles": lambda s, d: settled(
-        be.quantiles_and_skew(features(s, d), "FutureSpend90Days"), 4
+        be.quantiles_and_skew(kept_features(s, d), "FutureSpend90Days"), 4
     ),
     "eda18_target_histogram": lambda s, d: settled(
-        be.histogram(features(s, d), F.col("FutureSpend90Days"), 100), 2
+        be.histogram(kept_features(s, d), F.col("FutureSpend90Days"), 100), 2
     ),
     "eda18_log_target_histogram": lambda s, d: settled(
-        be.histogram(features(s, d), F.log1p("FutureSpend90Days"), 100), 4
+        be.histogram(kept_features(s, d), F.log1p("FutureSpend90Days"), 100), 4
     ),
     "eda19_negative_value_lines": lambda s, d: settled(
         be.negative_value_lines(lines(s, d)).select(

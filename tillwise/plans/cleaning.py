@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import settled
+from tillwise.functions.lineage import cut_lineage, ensure_checkpoint_dir
 from tillwise.operators import cleaning as cl
 from tillwise.plans.inputs import lines, purchases, raw, tidied
 from tillwise.plans.oracle import r, with_tables
@@ -15,8 +16,6 @@ TIDY_COLUMNS = "Invoice, StockCode, Description, Quantity, InvoiceDate, Price, C
 
 def result_folder(spark, name: str) -> str:
     """Where the sink queries write: beside the checkpoints, in a folder of their own."""
-    from tillwise.functions.lineage import ensure_checkpoint_dir
-
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/sinks/{name}-{spark.sparkContext.applicationId}"
 
@@ -67,8 +66,10 @@ def preview(spark, folder):
     from tillwise.operators.viewer import head_preview
 
     return head_preview(
-        purchases(spark, folder).select(
-            "Customer_ID", "InvoiceDate", "Invoice", "StockCode", "Quantity", "Price"
+        cut_lineage(
+            purchases(spark, folder).select(
+                "Customer_ID", "InvoiceDate", "Invoice", "StockCode", "Quantity", "Price"
+            )
         ),
         ["Customer_ID", "InvoiceDate", "Invoice", "StockCode", "Quantity", "Price"],
         20,
@@ -159,7 +160,7 @@ QUERIES = {
     "cln18_strict_purchases": lambda s, d: cl.strict_purchases(lines(s, d)),
     "cln19_flags_when_absent": derived_when_absent,
     "cln20_null_counts": lambda s, d: cl.null_counts(cl.trim_headers(raw(s, d))),
-    "cln21_describe": lambda s, d: settled(cl.describe(lines(s, d), MEASURES), 4),
+    "cln21_describe": lambda s, d: settled(cl.describe(cut_lineage(lines(s, d).select(*MEASURES)), MEASURES), 4),
     "cln22_distinct_counts": lambda s, d: cl.distinct_counts(lines(s, d)),
 }
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tillwise.functions.columns import settled
 from tillwise.operators import features as fe
 from tillwise.operators.preparation import impute_median
-from tillwise.plans.inputs import PERIODS, features, lines
+from tillwise.plans.inputs import PERIODS, features, kept_features, lines
 from tillwise.plans.oracle import ra, rounded, with_tables
 
 COUNTS = (
@@ -85,9 +85,7 @@ QUERIES = {
     "fea02_history_and_future": history_and_future,
     "fea03_recently_active": active,
     "fea04_invoice_rollup": lambda s, d: settled(
-        fe.purchase_invoices(lines(s, d), PERIODS).join(
-            fe.active_customers(lines(s, d), PERIODS), "Customer_ID", "left_semi"
-        ),
+        fe.active_invoices(lines(s, d), PERIODS),
         4,
     ),
     "fea05_customer_rollup": some(
@@ -118,7 +116,7 @@ QUERIES = {
         fe.fill_gap_with_sentinel(features(s, d)).select("Customer_ID", "AvgGapDays")
     ),
     "fea28_gap_indicator": lambda s, d: settled(
-        impute_median(fe.mark_missing_gap(features(s, d)), ["AvgGapDays"]).select(
+        impute_median(fe.mark_missing_gap(kept_features(s, d)), ["AvgGapDays"]).select(
             "Customer_ID", "AvgGapDays", "AvgGapDaysMissing"
         )
     ),

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.columns import safe_log1p, settled
 from tillwise.operators import preparation as pr
-from tillwise.plans.inputs import features, purchases
+from tillwise.functions.lineage import cut_lineage
+from tillwise.plans.inputs import features, kept_features, purchases
 from tillwise.plans.oracle import r, ra, with_tables
 
 MATRIX = (*pr.LOG_FEATURES, *pr.SCALE_FEATURES)
@@ -43,7 +44,7 @@ def matrix_sql(log=pr.LOG_FEATURES, plain=pr.SCALE_FEATURES, fit="features", sou
 
 
 def trained_matrix(spark, folder):
-    parts = pr.split_rows(features(spark, folder), 0.2, ["RetentionLabel"])
+    parts = cut_lineage(pr.split_rows(kept_features(spark, folder), 0.2, ["RetentionLabel"]))
     train = parts.where(F.col("Split") == "train")
     return settled(
         pr.scaled_matrix(parts, fitted_on=train, keep=["Customer_ID", "Split"]), 5
@@ -56,20 +57,20 @@ def infinite_ratio(spark, folder):
     grown = F.when(bottom != 0, top / F.nullif(bottom, F.lit(0.0))).otherwise(
         F.when(top > 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
     )
-    frame = features(spark, folder).select("Customer_ID", grown.alias("Growth"))
+    frame = kept_features(spark, folder).select("Customer_ID", grown.alias("Growth"))
     return settled(pr.finite_or_median(frame, ["Growth"]))
 
 
 def pca(spark, folder):
     from tillwise.operators.segments import principal_components
 
-    matrix = pr.scaled_matrix(features(spark, folder))
+    matrix = cut_lineage(pr.scaled_matrix(kept_features(spark, folder)))
     return principal_components(matrix, MATRIX, 3)
 
 
 QUERIES = {
     "pre01_median_imputation": lambda s, d: settled(
-        pr.impute_median(features(s, d), FEW).select("Customer_ID", *FEW)
+        pr.impute_median(kept_features(s, d), FEW).select("Customer_ID", *FEW)
     ),
     "pre02_log1p": lambda s, d: settled(
         pr.log_columns(features(s, d), ["Monetary"]).select("Customer_ID", "Monetary")
@@ -80,16 +81,16 @@ QUERIES = {
         )
     ),
     "pre04_standardise": lambda s, d: settled(
-        pr.standardise(features(s, d), ["Recency", "Monetary"]).select(
+        pr.standardise(kept_features(s, d), ["Recency", "Monetary"]).select(
             "Customer_ID", "Recency", "Monetary"
         )
     ),
     "pre05_scaled_groups": trained_matrix,
     "pre06_stratified_split": lambda s, d: pr.split_rows(
-        features(s, d).select("Customer_ID", "RetentionLabel"), 0.2, ["RetentionLabel"]
+        kept_features(s, d).select("Customer_ID", "RetentionLabel"), 0.2, ["RetentionLabel"]
     ),
     "pre07_plain_split": lambda s, d: pr.split_rows(
-        features(s, d).select("Customer_ID"), 0.25
+        kept_features(s, d).select("Customer_ID"), 0.25
     ),
     "pre09_finite_or_median": infinite_ratio,
     "pre10_class_weights": lambda s, d: settled(pr.class_weights(features(s, d))),

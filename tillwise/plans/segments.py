@@ -29,9 +29,7 @@ def ruled(spark, folder):
 
 def ruled_matrix(spark, folder):
     """The scaled features with the rule labels."""
-    customers = ruled(spark, folder)
-    labels = customers.select("Customer_ID", "Cluster")
-    return cut_lineage(sg.cluster_matrix(customers).join(labels, "Customer_ID"))
+    return cut_lineage(sg.cluster_matrix(ruled(spark, folder), ["Customer_ID", "Cluster"]))
 
 
 def fitted(fit):
