@@ -44,8 +44,12 @@ def test_sheet_dates_reach_the_scan(spark):
     assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
 
 
-def test_rank_limit_is_applied_before_the_shuffle(spark):
-    assert "WindowGroupLimit" in plan_of(QUERIES["eda08_feature_samples"](spark, FOLDER))
+def test_samples_number_rows_in_buckets(spark):
+    """No window takes all rows of a feature into one task."""
+    plan = plan_of(QUERIES["eda08_feature_samples"](spark, FOLDER))
+    assert "row_number() windowspecdefinition(Measure" in plan
+    for part in plan.split("row_number() windowspecdefinition(")[1:]:
+        assert "_bucket" in part.split("_hash")[0]
 
 
 def test_checkpoint_folder_is_kept(spark):

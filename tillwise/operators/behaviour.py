@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import correlation, money_sum, ratio, unpivot
-from tillwise.functions.ranking import exact_quantiles, hash_key
+from tillwise.functions.ranking import exact_quantiles, hash_key, hash_positions
 from tillwise.operators.features import gaps_between
 
 # The features whose distributions and correlations are explored.
@@ -162,14 +162,13 @@ def trimmed_sample(df: DataFrame, column: str, rows: int, identifier: str, share
 
 
 def feature_samples(df: DataFrame, columns: Sequence[str], rows: int, identifier: str = "Customer_ID") -> DataFrame:
-    """Up to ``rows`` non-null values per feature; the rank limit applies before the shuffle."""
+    """Up to ``rows`` non-null values per feature in md5 order, numbered in even buckets."""
     long = unpivot(df, [identifier], list(columns), "Measure", "Value").where(
         F.col("Value").isNotNull()
     )
-    order = W.partitionBy("Measure").orderBy(hash_key(identifier), identifier)
     return (
-        long.withColumn("Place", F.row_number().over(order))
-        .where(F.col("Place") <= rows)
+        hash_positions(long, identifier, ["Measure"])
+        .where(F.col("Position") <= rows)
         .select("Measure", identifier, "Value")
     )
 

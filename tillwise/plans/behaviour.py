@@ -61,7 +61,7 @@ QUERIES = {
     "eda06_price_sample": line_sample("Price"),
     "eda07_top_products": lambda s, d: be.top_values(lines(s, d), "Description", 10, "Product"),
     "eda08_feature_samples": lambda s, d: settled(
-        be.feature_samples(features(s, d), be.EXPLORED, 5000)
+        be.feature_samples(kept_features(s, d), be.EXPLORED, 5000)
     ),
     "eda09_correlation_matrix": lambda s, d: be.correlation_matrix(features(s, d), be.EXPLORED),
     "eda10_revenue_per_month": lambda s, d: settled(be.revenue_per_month(lines(s, d)), 2),
