@@ -182,8 +182,17 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 2) -
     """All pairs of columns from one aggregate, rounded, undefined entries as 0."""
     names = list(columns)
     pairs = list(combinations(names, 2))
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in names]).first()
+
+    def paired(a: str, b: str) -> Column:
+        """Columns without nulls need no mask per pair, so their spread is computed once."""
+        if nulls[a] or nulls[b]:
+            return pearson(a, b)
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
     one = df.agg(
-        *[pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
+        *[paired(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
         *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(names)],
     )
 

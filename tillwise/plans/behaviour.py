@@ -61,9 +61,9 @@ QUERIES = {
     "eda06_price_sample": line_sample("Price"),
     "eda07_top_products": lambda s, d: be.top_values(lines(s, d), "Description", 10, "Product"),
     "eda08_feature_samples": lambda s, d: settled(
-        be.feature_samples(kept_features(s, d), be.EXPLORED, 5000)
+        be.feature_samples(kept_features(s, d, *be.EXPLORED), be.EXPLORED, 5000)
     ),
-    "eda09_correlation_matrix": lambda s, d: be.correlation_matrix(features(s, d), be.EXPLORED),
+    "eda09_correlation_matrix": lambda s, d: be.correlation_matrix(kept_features(s, d, *be.EXPLORED), be.EXPLORED),
     "eda10_revenue_per_month": lambda s, d: settled(be.revenue_per_month(lines(s, d)), 2),
     "eda11_top_50_products": lambda s, d: be.top_values(lines(s, d), "Description", 50, "Product"),
     "eda12_lines_per_hour": lambda s, d: be.lines_per_hour(lines(s, d)),
@@ -73,16 +73,16 @@ QUERIES = {
     ),
     "eda15_value_counts": lambda s, d: settled(be.value_counts(features(s, d), "ReturnRate")),
     "eda16_label_profile": lambda s, d: settled(
-        be.label_profile(kept_features(s, d), SPREAD, "RetentionLabel"), 4
+        be.label_profile(kept_features(s, d, *SPREAD, "RetentionLabel"), SPREAD, "RetentionLabel"), 4
     ),
     "eda17_target_quantiles": lambda s, d: settled(
-        be.quantiles_and_skew(kept_features(s, d), "FutureSpend90Days"), 4
+        be.quantiles_and_skew(kept_features(s, d, "FutureSpend90Days"), "FutureSpend90Days"), 4
     ),
     "eda18_target_histogram": lambda s, d: settled(
-        be.histogram(kept_features(s, d), F.col("FutureSpend90Days"), 100), 2
+        be.histogram(kept_features(s, d, "FutureSpend90Days"), F.col("FutureSpend90Days"), 100), 2
     ),
     "eda18_log_target_histogram": lambda s, d: settled(
-        be.histogram(kept_features(s, d), F.log1p("FutureSpend90Days"), 100), 4
+        be.histogram(kept_features(s, d, "FutureSpend90Days"), F.log1p("FutureSpend90Days"), 100), 4
     ),
     "eda19_negative_value_lines": lambda s, d: settled(
         be.negative_value_lines(lines(s, d)).select(

@@ -116,7 +116,7 @@ QUERIES = {
         fe.fill_gap_with_sentinel(features(s, d)).select("Customer_ID", "AvgGapDays")
     ),
     "fea28_gap_indicator": lambda s, d: settled(
-        impute_median(fe.mark_missing_gap(kept_features(s, d)), ["AvgGapDays"]).select(
+        impute_median(fe.mark_missing_gap(kept_features(s, d, "AvgGapDays")), ["AvgGapDays"]).select(
             "Customer_ID", "AvgGapDays", "AvgGapDaysMissing"
         )
     ),

@@ -34,9 +34,13 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
     return customer_features(lines(spark, folder), PERIODS)
 
 
-def kept_features(spark: SparkSession, folder: str) -> DataFrame:
-    """The feature rows written once, for queries that go over them several times."""
-    return cut_lineage(features(spark, folder))
+def kept_features(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The feature rows (of these columns) written once, for queries that go over them again.
+
+    The columns are picked before the write, so the others are never computed.
+    """
+    frame = features(spark, folder)
+    return cut_lineage(frame.select("Customer_ID", *columns) if columns else frame)
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,17 +8,18 @@ from tillwise.functions.columns import settled
 from tillwise.operators import diagnostics as di
 from tillwise.operators import metrics as me
 from tillwise.operators import preparation as pr
-from tillwise.plans.inputs import kept_features, purchases, scored
+from tillwise.plans.inputs import features, kept_features, scored
 from tillwise.plans.oracle import r, ra, rounded, with_tables
 from tillwise.plans.preparation import split_sql
 
 # The grid of decision thresholds.
 THRESHOLDS = [i / 100 for i in range(10, 90)]
 POWER = 1.5
+NEEDED = ("RetentionLabel", "FutureSpend90Days", "SpendLast90Days")
 
 
 def deviance(spark, folder):
-    parts = pr.split_rows(kept_features(spark, folder), 0.2, ["RetentionLabel"])
+    parts = pr.split_rows(kept_features(spark, folder, *NEEDED), 0.2, ["RetentionLabel"])
     baseline = parts.where(F.col("Split") == "train").agg(F.avg("FutureSpend90Days").alias("Mean"))
     test = parts.where(F.col("Split") == "test").select(
         F.col("FutureSpend90Days").alias("Actual"), F.col("SpendLast90Days").alias("Predicted")
@@ -44,7 +45,7 @@ def calibrated(spark, folder):
 
 
 def mean_baseline(spark, folder):
-    parts = pr.split_rows(kept_features(spark, folder), 0.2, ["RetentionLabel"])
+    parts = pr.split_rows(kept_features(spark, folder, *NEEDED), 0.2, ["RetentionLabel"])
     mean = parts.where(F.col("Split") == "train").agg(F.avg("FutureSpend90Days").alias("Predicted"))
     test = parts.where(F.col("Split") == "test").select(
         "Customer_ID", F.col("FutureSpend90Days").alias("Actual")
@@ -55,7 +56,7 @@ def mean_baseline(spark, folder):
 def majority_baseline(spark, folder):
     from tillwise.operators.models import majority_class
 
-    return settled(majority_class(kept_features(spark, folder), "RetentionLabel"))
+    return settled(majority_class(features(spark, folder).select("RetentionLabel"), "RetentionLabel"))
 
 
 def clipped(spark, folder):

@@ -57,7 +57,7 @@ def infinite_ratio(spark, folder):
     grown = F.when(bottom != 0, top / F.nullif(bottom, F.lit(0.0))).otherwise(
         F.when(top > 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
     )
-    frame = kept_features(spark, folder).select("Customer_ID", grown.alias("Growth"))
+    frame = kept_features(spark, folder, "SpendLast90Days", "SpendPrior90Days").select("Customer_ID", grown.alias("Growth"))
     return settled(pr.finite_or_median(frame, ["Growth"]))
 
 
@@ -70,7 +70,7 @@ def pca(spark, folder):
 
 QUERIES = {
     "pre01_median_imputation": lambda s, d: settled(
-        pr.impute_median(kept_features(s, d), FEW).select("Customer_ID", *FEW)
+        pr.impute_median(kept_features(s, d, *FEW), FEW).select("Customer_ID", *FEW)
     ),
     "pre02_log1p": lambda s, d: settled(
         pr.log_columns(features(s, d), ["Monetary"]).select("Customer_ID", "Monetary")
@@ -81,16 +81,16 @@ QUERIES = {
         )
     ),
     "pre04_standardise": lambda s, d: settled(
-        pr.standardise(kept_features(s, d), ["Recency", "Monetary"]).select(
+        pr.standardise(kept_features(s, d, "Recency", "Monetary"), ["Recency", "Monetary"]).select(
             "Customer_ID", "Recency", "Monetary"
         )
     ),
     "pre05_scaled_groups": trained_matrix,
     "pre06_stratified_split": lambda s, d: pr.split_rows(
-        kept_features(s, d).select("Customer_ID", "RetentionLabel"), 0.2, ["RetentionLabel"]
+        kept_features(s, d, "RetentionLabel"), 0.2, ["RetentionLabel"]
     ),
     "pre07_plain_split": lambda s, d: pr.split_rows(
-        kept_features(s, d).select("Customer_ID"), 0.25
+        cut_lineage(features(s, d).select("Customer_ID")), 0.25
     ),
     "pre09_finite_or_median": infinite_ratio,
     "pre10_class_weights": lambda s, d: settled(pr.class_weights(features(s, d))),

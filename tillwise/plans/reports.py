@@ -166,7 +166,7 @@ QUERIES = {
     "att06_permutation_importance": permuted,
     "vue01_systematic_sample": lambda s, d: settled(
         vi.systematic_sample(
-            kept_features(s, d).select("Customer_ID", "Recency", "Monetary"), [F.col("Customer_ID")], 300
+            kept_features(s, d, "Recency", "Monetary"), [F.col("Customer_ID")], 300
         )
     ),
     "vue02_rows_with_numbers": lambda s, d: vi.rows_with_numbers(text_lines(s, d), ["Invoice"]),
