@@ -160,25 +160,34 @@ def recursive_forecast(series: DataFrame, fitted: PipelineModel, horizon: int, b
 
 
 def fitted_forecasts(
-    train: DataFrame, horizon: int, orders: dict[str, DataFrame], by: Sequence[str] = ()
+    train: DataFrame,
+    horizon: int,
+    orders: dict[str, DataFrame],
+    by: Sequence[str] = (),
+    wanted: set[str] | None = None,
 ) -> DataFrame:
     """Baselines, smoothing and autoregressive models on the same training rows.
 
-    ``orders`` holds the chosen order per series of the two autoregressive models.
+    ``orders`` holds the chosen order per series of the two autoregressive models; models
+    that are not ``wanted`` are not fitted.
     """
     columns = [*by, "Model", "Step", "Forecast"]
-    frames = [
-        baselines(train, horizon, by),
-        sm.simple_smoothing(train, horizon, by),
-        sm.trend_smoothing(train, horizon, by),
-        sm.seasonal_smoothing(train, horizon, 4, by),
-        sm.seasonal_smoothing(train, horizon, 13, by),
-        ar.keep_order(ar.autoregressive_candidates(train, horizon, by), orders["AR"], "AR", by),
-        ar.keep_order(ar.seasonal_candidates(train, horizon, by), orders["SeasonalAR"], "SeasonalAR", by),
-    ]
-    whole = frames[0].select(*columns)
-    for frame in frames[1:]:
-        whole = whole.unionByName(frame.select(*columns))
+    fits = {
+        "SES": lambda: sm.simple_smoothing(train, horizon, by),
+        "Holt": lambda: sm.trend_smoothing(train, horizon, by),
+        "HoltWinters_s4": lambda: sm.seasonal_smoothing(train, horizon, 4, by),
+        "HoltWinters_s13": lambda: sm.seasonal_smoothing(train, horizon, 13, by),
+        "AR": lambda: ar.keep_order(
+            ar.autoregressive_candidates(train, horizon, by), orders["AR"], "AR", by
+        ),
+        "SeasonalAR": lambda: ar.keep_order(
+            ar.seasonal_candidates(train, horizon, by), orders["SeasonalAR"], "SeasonalAR", by
+        ),
+    }
+    whole = baselines(train, horizon, by).select(*columns)
+    for name, fit in fits.items():
+        if wanted is None or name in wanted:
+            whole = whole.unionByName(fit().select(*columns))
     return whole
 
 
@@ -212,10 +221,11 @@ def future_forecast(series: DataFrame, horizon: int, by: Sequence[str] = ()) ->
     _, metrics, orders = evaluate_models(rows, horizon, by)
     best = cut_lineage(best_model(metrics, by))
     columns = [*by, "Model", "Date", "Step", "Forecast"]
-    dated = future_dates(fitted_forecasts(rows, horizon, orders, by), rows, by).select(*columns)
+    wanted = {row["Model"] for row in best.select("Model").distinct().collect()}
+    dated = future_dates(fitted_forecasts(rows, horizon, orders, by, wanted), rows, by).select(*columns)
     lagged = lag_features(rows, by)
     for model in MODELS:
-        if best.where(F.col("Model") == model).isEmpty():
+        if model not in wanted:
             continue
         ahead = recursive_forecast(rows, fit_lag_model(lagged, model), horizon, by)
         dated = dated.unionByName(
