@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +20,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         named = tempfile.mkdtemp(prefix="tillwise-checkpoint-")
     context.setCheckpointDir(named)
-    return named
+    return context.getCheckpointDir() or named
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write the frame as Parquet to the shared folder and read it back.
+
+    Later reads are pruned and pushed down, and a lost executor costs no recomputation.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
