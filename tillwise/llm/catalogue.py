@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality", "jaccard")
+MODULES = ("quality", "jaccard", "urls")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
