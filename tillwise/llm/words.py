@@ -89,12 +89,16 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     stops[1:] = inside
     stops[1:-1] &= ~inside[1:] | begins[1:]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops)
+    return Words(span_hashes(data, starts, ends), starts, ends, np.searchsorted(starts, texts), texts, data)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span: a polynomial in STEP, from running sums."""
     table = np.random.default_rng(SEED).integers(0, 2**64, 256, np.uint64)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(table[data] * powers(STEP, len(data)), out=sums[1:])
     back = powers(pow(STEP, -1, 2**64), len(data) + 1)
-    hashes = mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
-    return Words(hashes, starts, ends, np.searchsorted(starts, texts), texts, data)
+    return mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
