@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality", "jaccard", "urls", "chat", "packing")
+MODULES = ("quality", "jaccard", "urls", "chat", "packing", "mixing")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
