@@ -7,15 +7,13 @@ batch of texts is cut into such parts with numpy, and only parts not met before
 from __future__ import annotations
 
 import re
-import sys
-import types
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from struct import pack
 
 import numpy as np
 import pyarrow as pa
 
-from tillwise.llm.words import raw_bytes, slices, span_hashes
+from tillwise.llm.words import raw_bytes, slices, span_hashes, worker_state
 
 #: Parts of words that a worker keeps before it starts anew.
 CACHE_PARTS = 1_000_000
@@ -27,14 +25,6 @@ PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø
 UNCOMMON = re.compile("[\x1c-\x1f\x85\xa0  -​    　﻿]|<\\|")
 
 
-def worker_state(name: str, make: Callable[[], object]) -> object:
-    """Something that a Python worker makes once and keeps for its later tasks."""
-    home = sys.modules.setdefault("_tillwise_worker_state", types.ModuleType("_tillwise_worker_state"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
-
-
 def byte_marks() -> dict[int, str]:
     """Code point -> the printable stand-ins of its UTF-8 bytes (the byte-level alphabet)."""
     printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -63,7 +53,7 @@ class Encoder:
         if not PLAIN.fullmatch(unit):
             return self.whole(unit)
         tokens = []
-        for part in PARTS.findall(unit):
+        for part in PARTS.findall(unit) if "'" in unit else [unit]:
             tokens += self.model.tokenize(part if part.isascii() else part.translate(self.marks))
         return pack(f"<{len(tokens)}I", *[token.id for token in tokens])
 

@@ -6,7 +6,9 @@ the words alone, so every task and every run gives the same ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -17,7 +19,7 @@ SEED = 20260101
 STEP = 0x9E3779B97F4A7C15
 MIX_A = 0xBF58476D1CE4E5B9
 MIX_B = 0x94D049BB133111EB
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 class Words(NamedTuple):
@@ -31,6 +33,14 @@ class Words(NamedTuple):
     data: np.ndarray
 
 
+def worker_state(name: str, make: Callable[[], object]) -> object:
+    """Something that a Python worker makes once and keeps for its later tasks."""
+    home = sys.modules.setdefault("_tillwise_worker_state", types.ModuleType("_tillwise_worker_state"))
+    if not hasattr(home, name):
+        setattr(home, name, make())
+    return getattr(home, name)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all bits (a bijection)."""
     values = (values ^ (values >> np.uint64(30))) * np.uint64(MIX_A)
@@ -39,10 +49,15 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, count: int) -> np.ndarray:
-    out = np.full(count, base, np.uint64)
-    if count:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """base ** 0, 1, ... as 64-bit values; those for slices of the usual size are kept."""
+
+    def made(size: int) -> np.ndarray:
+        out = np.full(size, base, np.uint64)
+        out[:1] = 1
+        return np.cumprod(out, dtype=np.uint64)
+
+    usual = worker_state(f"powers:{base}", lambda: made(SLICE_BYTES + 1))
+    return usual[:count] if count <= len(usual) else made(count)
 
 
 def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
