@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality", "jaccard", "urls", "chat", "packing", "mixing", "fingerprints", "passages")
+MODULES = ("packing", "ordering", "chat", "passages", "quality", "fingerprints", "mixing", "urls", "jaccard")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
