@@ -117,8 +117,7 @@ def successors(docs: DataFrame) -> DataFrame:
     quarter = F.floor(F.max(F.char_length("text")) / 4).cast("int")
     ids = written(docs.groupBy("doc_id").agg(quarter.alias("need")))
     placed = written(row_positions(ids, [F.col("doc_id")]))
-    total = F.broadcast(placed.agg(F.count(F.lit(1)).alias("_n")))
-    before = placed.crossJoin(total).withColumn("Position", F.col("Position") % F.col("_n") + 1).drop("_n")
+    before = placed.withColumn("Position", F.col("Position") % F.lit(max(1, placed.count())) + 1)
     after = placed.select(F.col("doc_id").alias("next_id"), "Position")
     return written(before.join(after, "Position").select("next_id", "doc_id", "need"))
 

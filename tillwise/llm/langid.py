@@ -173,14 +173,14 @@ def fuse(scored: DataFrame, langs: Sequence[str]) -> DataFrame:
     pages = written(marked.withColumn("domain", domain).withColumns({f"p{k}": text[k] for k in n}))
     declared, address = (mark_likelihoods(pages, mark, langs) for mark in ("declared", "address"))
     count = F.count(F.lit(1)).cast("double")
-    totals = pages.agg(*[F.sum(f"p{k}").alias(f"all{k}") for k in n], count.alias("all_n"))
+    totals = pages.agg(*[F.coalesce(F.sum(f"p{k}"), F.lit(0.0)) for k in n], count).first()
     domains = pages.groupBy("domain").agg(*[F.sum(f"p{k}").alias(f"dom{k}") for k in n], count.alias("dom_n"))
     hosts = pages.groupBy("host").agg(*[F.sum(f"p{k}").alias(f"host{k}") for k in n], count.alias("host_n"))
-    joined = pages.join(hosts, "host").join(domains, "domain").crossJoin(F.broadcast(totals))
+    joined = pages.join(hosts, "host").join(domains, "domain")
 
     def prior(k: int) -> Column:
         own = F.col(f"p{k}")
-        every = (F.col(f"all{k}") - own + 1) / (F.col("all_n") - 1 + len(langs))
+        every = (F.lit(totals[k]) - own + 1) / F.lit(totals[len(langs)] - 1 + len(langs))
         wide = (F.col(f"dom{k}") - own + DOMAIN_WEIGHT * every) / (F.col("dom_n") - 1 + DOMAIN_WEIGHT)
         near = (F.col(f"host{k}") - own + HOST_WEIGHT * wide) / (F.col("host_n") - 1 + HOST_WEIGHT)
         return F.log(F.greatest(near, F.lit(1e-9)))

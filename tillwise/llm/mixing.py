@@ -53,13 +53,11 @@ def source_targets(
         [F.col("_full"), F.col("rank")],
         {"_taken": most, "_weight": F.col("weight")},
     )
-    total = known.agg(F.sum("source_size").alias("_size"), F.sum("weight").alias("_all"))
-    left = F.col("_size") * F.lit(share) - (F.col("_taken") - most)
-    level = filling.crossJoin(F.broadcast(total)).agg(
-        F.max(left / (F.col("_all") - (F.col("_weight") - F.col("weight")))).alias("_level")
-    )
-    target = F.least(most.cast("double"), F.col("_level") * F.col("weight"))
-    return known.crossJoin(F.broadcast(level)).select("source", "rank", "source_size", target.alias("target"))
+    size, every = known.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    left = F.lit(float(size) * share) - (F.col("_taken") - most)
+    level = filling.agg(F.max(left / (F.lit(every) - (F.col("_weight") - F.col("weight"))))).first()[0] or 0.0
+    target = F.least(most.cast("double"), F.lit(float(level)) * F.col("weight"))
+    return known.select("source", "rank", "source_size", target.alias("target"))
 
 
 def weighted_mix(
@@ -91,9 +89,8 @@ def weighted_mix(
         [F.col("finish"), F.col("rank"), F.col("turn"), F.col("place")],
         {"_upto": F.col("size")},
     )
-    budget = targets.agg(F.sum("source_size").alias("_all"))
-    cap = F.col("_all") * F.lit(float(min(share, passes)))
-    taken = merged.crossJoin(F.broadcast(budget)).withColumn("_in", (F.col("_upto") <= cap).cast("int"))
+    budget = float(targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]) * min(share, passes)
+    taken = merged.withColumn("_in", (F.col("_upto") <= F.lit(budget)).cast("int"))
     mixed = taken.groupBy(*columns).agg(F.sum("_in").cast("int").alias("times"))
     idle = queued.where("not target > 0").select(*columns, F.lit(0).alias("times"))
     return mixed.union(idle).drop("rank", "place")

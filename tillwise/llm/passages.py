@@ -315,13 +315,11 @@ def cut_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     keep = [c for c in docs.columns if c not in added]
     source = docs.select(*[f"`{c}`" for c in keep])
     base = source.select(F.col(f"`{id_column}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    spans = repeated_spans(base).select(
-        F.col("doc_id").alias("_span_id"), F.col("tag").alias("_span_tag"), F.col("spans").alias("_spans")
-    )
-    whole = packed_texts(source.withColumn("_null", F.col(f"`{text}`").isNull()), text, "_tag")
-    joined = whole.join(
-        spans, F.col(f"`{id_column}`").eqNullSafe(F.col("_span_id")) & (F.col("_tag") == F.col("_span_tag")), "left"
-    ).drop("_tag", "_span_id", "_span_tag")
+    own = free_prefix(keep, "_cut_")
+    spans = repeated_spans(base).withColumnsRenamed({name: own + "of_" + name for name in ("doc_id", "tag", "spans")})
+    whole = packed_texts(source.withColumn(own + "null", F.col(f"`{text}`").isNull()), text, own + "tag")
+    same = F.col(f"`{id_column}`").eqNullSafe(F.col(own + "of_doc_id")) & (F.col(own + "tag") == F.col(own + "of_tag"))
+    joined = whole.join(spans, same, "left").drop(own + "tag", own + "of_doc_id", own + "of_tag")
     schema = StructType(
         [
             *source.schema.fields,
