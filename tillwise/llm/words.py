@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # The seed of the byte table and odd 64-bit multipliers.
 SEED = 20260101
@@ -62,7 +63,7 @@ def powers(base: int, count: int) -> np.ndarray:
 
 def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     """Cut a text column into pieces of some megabytes; a longer text is a piece of its own."""
-    sizes = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     first, held = 0, 0
     for i, size in enumerate(sizes):
         if i > first and held + size > SLICE_BYTES:
