@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.lineage import written
 from tillwise.llm.components import components
-from tillwise.llm.words import shingle_sets
+from tillwise.llm.words import shingle_sets, small
 
 # Parameter: the share of the hash space in the first filter, as a multiple of 1 - threshold.
 SHARE = 1.75
@@ -48,7 +48,7 @@ def set_rows(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, digest, short) per row of (doc_id, text)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sizes, digests = [], []
             for tokens in shingle_sets(batch.column(1), width):
                 sizes.append(len(tokens))
@@ -68,7 +68,7 @@ def sampled_tokens(docs: DataFrame, width: int, share: float) -> DataFrame:
     below = np.uint64(min(int(share * 2**64), 2**64 - 1))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             seen: set[bytes] = set()
             held, owners, count = [], [], 0
             for tokens in shingle_sets(batch.column(0), width):
@@ -99,7 +99,7 @@ def token_sets(picked: DataFrame, width: int) -> DataFrame:
     """(digest, n, tokens) of the texts (text, digest) whose set has that digest."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             wanted = batch.column(1).to_pylist()
             digests, sets, count = [], [], 0
             for digest, tokens in zip(wanted, shingle_sets(batch.column(0), width), strict=True):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tillwise.functions.lineage import written
-from tillwise.llm.words import MIX_A, raw_bytes, slices
+from tillwise.llm.words import MIX_A, raw_bytes, slices, small
 
 # Parameters. The model is fitted on so many labelled texts of each language, taken by the hash of
 # their id; text evidence counts a trigram as TEMPER of an independent one.
@@ -52,7 +52,7 @@ def trigram_counts(labelled: DataFrame) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in small(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held = totals.setdefault(lang, np.zeros(FEATURES, np.int64))
                 held += np.bincount(trigram_slots(np.frombuffer((text or "").encode(), np.uint8)), minlength=FEATURES)
@@ -101,7 +101,7 @@ def text_scores(pages: DataFrame, model: np.ndarray, langs: Sequence[str]) -> Da
     names = set(langs)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             marks: list[str] = []
             texts: list[str] = []
             for value in batch.column(2):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.lineage import ensure_checkpoint_dir
 from tillwise.llm.tokens import encoder
-from tillwise.llm.words import mixed
+from tillwise.llm.words import mixed, small
 
 # Parameters.
 LENGTH = 256
@@ -87,7 +87,7 @@ def sequence_counts(docs: DataFrame, tokenizer: str, length: int) -> dict[int, i
         from pyspark import TaskContext
 
         made = 0
-        for batch in batches:
+        for batch in small(batches):
             made += sum(-(-(len(ids) + 1) // length) for ids in encoder(tokenizer).encode(batch.column(1)))
         yield pa.RecordBatch.from_arrays(
             [pa.array([TaskContext.get().partitionId()]), pa.array([made])], names=["part", "made"]
@@ -108,7 +108,7 @@ def placed_sequences(docs: DataFrame, tokenizer: str, length: int, counts: dict[
         task = TaskContext.get().partitionId()
         at, tail = firsts.get(task, 0), np.array([END], "<u2")
         last = at + counts.get(task, 0)
-        for batch in batches:
+        for batch in small(batches):
             owners: list = []
             parts: list[int] = []
             cut: list[bytes] = []
@@ -160,7 +160,7 @@ def write_shards(sequences: DataFrame, layout: Layout) -> DataFrame:
             store.move(f"{target}.{attempt}", target)
             return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(records)])], names=["shard", "records"])
 
-        for batch in batches:
+        for batch in small(batches):
             for slot, owner, part, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if slot // layout.per_shard != shard:
                     if shard is not None:
@@ -188,7 +188,7 @@ def read_slots(spark: SparkSession, layout: Layout, first: int = 0, last: int |
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = file_system(layout.folder)
-        for batch in batches:
+        for batch in small(batches):
             for shard in batch.column(0).to_pylist():
                 base = shard * layout.per_shard
                 low, high = max(first, base), min(last, base + layout.per_shard)

@@ -21,6 +21,7 @@ from pyspark.sql.types import StructType
 
 from tillwise.functions.lineage import written
 from tillwise.llm.tokens import encoder
+from tillwise.llm.words import small
 
 LENGTH = 2048
 END = 1
@@ -139,7 +140,7 @@ def pack(
         part = TaskContext.get().partitionId()
         packer, base, id_type = Packer(length, open_windows), part << 32, None
         tail = np.array([end], np.uint32)
-        for batch in batches:
+        for batch in small(batches):
             id_type = batch.column(0).type
             rows: list[tuple] = []
             held = 0
@@ -187,7 +188,7 @@ def merge(
             base = (level << 56) + (group << 32)
             return [*packer.rows(base, group, keep_ids), *packer.left(base, group)]
 
-        for batch in batches:
+        for batch in small(batches):
             id_type = batch.column(0).type
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[-1] != group:

@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 
 from tillwise.functions.lineage import written
 from tillwise.llm.quality import free_prefix
-from tillwise.llm.words import slices, windows, words_of
+from tillwise.llm.words import slices, small, windows, words_of
 
 # Parameters: least words of a passage, words of a gram; every SPAN grams in a row keep one.
 LEAST = 50
@@ -73,7 +73,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
     schema = StructType([*StructType.fromDDL("key bigint").fields, docs.schema["doc_id"], *StructType.fromDDL("place bigint").fields])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for first, piece in slices(batch.column(1)):
                 words = words_of(piece)
                 text, at, key = kept_suffixes(words.hashes, words.bounds)
@@ -101,7 +101,7 @@ def packed_texts(docs: DataFrame, text: str, tag: str) -> DataFrame:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in small(batches):
             contents = [(value.as_py() or "").encode() for value in batch.column(place)]
             columns = list(batch.columns)
             columns[place] = pa.array([pack(c) for c in contents], pa.binary())
@@ -132,7 +132,7 @@ def contexts(found: DataFrame) -> DataFrame:
     )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = unpacked(batch.column(2))
             ids, tags, places = batch.column(0), batch.column(1).to_pylist(), batch.column(3)
             for first, piece in slices(texts):
@@ -242,7 +242,7 @@ def neighbour_spans(sorted_rows: DataFrame, whole: bool) -> DataFrame:
             columns = [pa.array(c, t) for c, t in zip(zip(*lines, strict=True), types, strict=True)]
             return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-        for batch in batches:
+        for batch in small(batches):
             id_type = batch.schema.field("doc_id").type
             for k, *row in zip(*(batch.column(name).to_pylist() for name in KEY), strict=True):
                 if k != key:
@@ -331,7 +331,7 @@ def cut_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     at = keep.index(text)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts, lists = unpacked(batch.column(at)), batch.column(len(keep) + 1).to_pylist()
             nulls = batch.column(len(keep)).to_pylist()
             done: list[str | None] = []

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from tillwise.llm.words import small
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 
@@ -137,7 +139,7 @@ def quality(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
 
         pack = zstandard.ZstdCompressor(level=LEVEL).compress
         kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
-        for batch in batches:
+        for batch in small(batches):
             rows = [measure(value.as_py(), pack) for value in batch.column(keep.index(text))]
             columns = [
                 pa.array([row[k] for row in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)

@@ -20,7 +20,8 @@ SEED = 20260101
 STEP = 0x9E3779B97F4A7C15
 MIX_A = 0xBF58476D1CE4E5B9
 MIX_B = 0x94D049BB133111EB
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+BATCH_ROWS = 512
 
 
 class Words(NamedTuple):
@@ -61,8 +62,15 @@ def powers(base: int, count: int) -> np.ndarray:
     return usual[:count] if count <= len(usual) else made(count)
 
 
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ``BATCH_ROWS``: what a task makes of one piece is soon let go."""
+    for batch in batches:
+        for first in range(0, max(1, batch.num_rows), BATCH_ROWS):
+            yield batch.slice(first, BATCH_ROWS)
+
+
 def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Cut a text column into pieces of some megabytes; a longer text is a piece of its own."""
+    """Cut a text column into pieces of half a megabyte; a longer text is a piece of its own."""
     sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     first, held = 0, 0
     for i, size in enumerate(sizes):
