@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import unpivot
+from tillwise.functions.joins import join_on
 from tillwise.functions.lineage import cut_lineage
 
 
@@ -50,7 +51,7 @@ def running_totals(
         W.unboundedPreceding, W.currentRow
     )
     local = placed.select("*", *[F.sum(expr).over(inside).alias(f"_{n}_in") for n, expr in sums.items()])
-    joined = local.join(offsets, ["_part", *groups])
+    joined = join_on(local, offsets, ["_part", *groups])
     return joined.select(
         *[F.col(f"`{c}`") for c in df.columns],
         *[(F.col(f"_{name}_in") + F.col(f"_{name}_before")).alias(name) for name in sums],
@@ -92,7 +93,7 @@ def exact_quantiles(
     )
     placed = running_totals(counts, [F.col("Value")], {"_upto": F.col("Copies")}, groups)
     sizes = placed.groupBy(*groups).agg(F.sum("Copies").alias("_n"))
-    rows = placed.join(sizes, groups)
+    rows = join_on(placed, sizes, groups)
     picks = []
     for name, p in probabilities.items():
         spot = F.lit(p) * (F.col("_n") - 1)
@@ -136,7 +137,7 @@ def hash_positions(
     )
     inside = W.partitionBy(*groups, "_bucket").orderBy("_hash", F.col(identifier))
     numbered = keyed.withColumn("_in", F.row_number().over(inside))
-    joined = numbered.join(offsets, [*groups, "_bucket"])
+    joined = join_on(numbered, offsets, [*groups, "_bucket"])
     return joined.select(
         *[F.col(f"`{c}`") for c in df.columns],
         (F.col("_in") + F.col("_before")).alias("Position"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import ratio
+from tillwise.functions.joins import join_on
 from tillwise.operators.series import back_transform, per_series
 
 # Pure autoregressive orders (lags, differences) and the seasonal periods.
@@ -69,7 +70,7 @@ def _coefficients(train: DataFrame, lags: int, differences: int, by: Sequence[st
 
 
 def _attach(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    return left.join(right, list(by)) if by else left.join(F.broadcast(right))
+    return join_on(left, right, by) if by else left.join(F.broadcast(right))
 
 
 def _unfold(frame: DataFrame, by: Sequence[str], values: Column, keep: Sequence[str]) -> DataFrame:
@@ -194,7 +195,7 @@ def best_order(candidates: DataFrame, test: DataFrame, by: Sequence[str] = ()) -
     numbered = test.select(
         *by, F.row_number().over(per_series(by).orderBy("Date")).alias("Step"), "Revenue"
     )
-    errors = candidates.join(numbered, [*by, "Step"]).groupBy(*by, "Order").agg(
+    errors = join_on(candidates, numbered, [*by, "Step"]).groupBy(*by, "Order").agg(
         F.sqrt(F.avg(F.pow(F.col("Revenue") - F.col("Forecast"), F.lit(2.0)))).alias("RMSE")
     )
     return errors.groupBy(*by).agg(
@@ -203,6 +204,6 @@ def best_order(candidates: DataFrame, test: DataFrame, by: Sequence[str] = ()) -
 
 
 def keep_order(candidates: DataFrame, best: DataFrame, model: str, by: Sequence[str] = ()) -> DataFrame:
-    return candidates.join(best.select(*by, "Order"), [*by, "Order"]).select(
+    return join_on(candidates, best.select(*by, "Order"), [*by, "Order"]).select(
         *by, F.lit(model).alias("Model"), "Step", "Forecast"
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import money_sum, title_case
@@ -61,16 +61,21 @@ def positive_price(df: DataFrame) -> DataFrame:
     return df.where(F.col("Price") > 0)
 
 
+def false_if_null(condition: Column) -> Column:
+    """A missing invoice, quantity or code carries no flag."""
+    return F.coalesce(condition, F.lit(False))
+
+
 def flag_cancelled(df: DataFrame) -> DataFrame:
-    return df.withColumn("IsCancelled", F.col("Invoice").cast("string").startswith("C"))
+    return df.withColumn("IsCancelled", false_if_null(F.col("Invoice").cast("string").startswith("C")))
 
 
 def flag_return(df: DataFrame) -> DataFrame:
-    return df.withColumn("IsReturn", F.col("Quantity") <= 0)
+    return df.withColumn("IsReturn", false_if_null(F.col("Quantity") <= 0))
 
 
 def flag_non_product(df: DataFrame) -> DataFrame:
-    return df.withColumn("IsNonProduct", F.col("StockCode").isin(*NON_PRODUCT_CODES))
+    return df.withColumn("IsNonProduct", false_if_null(F.col("StockCode").isin(*NON_PRODUCT_CODES)))
 
 
 def transaction_value(df: DataFrame) -> DataFrame:
@@ -112,7 +117,9 @@ def chronological(df: DataFrame) -> DataFrame:
 
 
 def genuine_purchases(df: DataFrame) -> DataFrame:
-    return df.where(~F.col("IsCancelled") & ~F.col("IsReturn") & ~F.col("IsNonProduct"))
+    for flag in ("IsCancelled", "IsReturn", "IsNonProduct"):
+        df = df.where(~false_if_null(F.col(flag)))
+    return df
 
 
 def strict_purchases(df: DataFrame) -> DataFrame:
@@ -215,11 +222,3 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .join(quartiles.drop("Rows"), "Measure", "left")
         .select("Measure", "Count", "Mean", "Std", "Min", "P25", "P50", "P75", "Max")
     )
-
-
-def flag_totals(lines: DataFrame) -> DataFrame:
-    return lines.agg(
-        F.count(F.lit(1)).alias("Rows"),
-        F.count_if("IsNonProduct").alias("NonProductRows"),
-        money_sum(F.col("TransactionValue")).alias("Value"),
-    )

@@ -94,7 +94,7 @@ def invoice_rollup(lines: DataFrame, periods: Periods) -> DataFrame:
     ahead = is_purchase() & periods.in_future(when)
 
     def spend(condition: Column) -> Column:
-        return F.sum(F.when(condition, value).otherwise(F.lit(0).cast("bigint")))
+        return F.sum(F.coalesce(F.when(condition, value), F.lit(0).cast("bigint")))
 
     def seen(condition: Column) -> Column:
         return F.max(F.when(condition, 1).otherwise(0)).cast("bigint")
@@ -109,7 +109,7 @@ def invoice_rollup(lines: DataFrame, periods: Periods) -> DataFrame:
             F.min(F.when(bought, when)).alias("InvoiceDate"),
             F.max(F.when(bought, when)).alias("LastLine"),
             spend(bought).alias("InvoiceValue"),
-            F.sum(F.when(bought, F.col("Quantity")).otherwise(0)).alias("InvoiceQuantity"),
+            F.sum(F.coalesce(F.when(bought, F.col("Quantity")), F.lit(0))).alias("InvoiceQuantity"),
             F.countDistinct(F.when(bought, F.col("StockCode"))).alias("InvoiceProducts"),
             seen(last30).alias("In30"),
             spend(last30).alias("Spend30"),

@@ -10,6 +10,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.functions.joins import join_on
 from tillwise.functions.lineage import cut_lineage
 from tillwise.operators import autoregression as ar
 from tillwise.operators import smoothing as sm
@@ -55,7 +56,7 @@ def fit_lag_model(lagged: DataFrame, model: str) -> PipelineModel:
 def lag_model_forecast(series: DataFrame, horizon: int, model: str, by: Sequence[str] = ()) -> DataFrame:
     """Train on the lag rows before the test weeks, predict the test weeks one step ahead."""
     marked = holdout_rows(series, horizon, by).select(*by, "Date", "Split")
-    lagged = lag_features(series, by).join(marked, [*by, "Date"])
+    lagged = join_on(lag_features(series, by), marked, [*by, "Date"])
     fitted = fit_lag_model(lagged.where(F.col("Split") == "train"), model)
     test = fitted.transform(lagged.where(F.col("Split") == "test"))
     return test.select(
@@ -231,7 +232,7 @@ def future_forecast(series: DataFrame, horizon: int, by: Sequence[str] = ()) ->
         dated = dated.unionByName(
             ahead.select(*by, F.lit(model).alias("Model"), "Date", "Step", F.col("Revenue").alias("Forecast"))
         )
-    return dated.join(best, [*by, "Model"]).select(
+    return join_on(dated, best, [*by, "Model"]).select(
         *by, "Model", "Date", "Step", F.col("Forecast").alias("ForecastRevenue")
     )
 

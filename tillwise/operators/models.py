@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import ratio
+from tillwise.functions.joins import join_on
 from tillwise.functions.lineage import cut_lineage
 from tillwise.functions.ranking import hash_positions
 from tillwise.operators.diagnostics import calibrate, calibration_factor, clip_at_zero
@@ -99,12 +100,13 @@ def model_rows(features: DataFrame, test_share: float = 0.2) -> DataFrame:
     matrix = scaled_matrix(parts, fitted_on=train, keep=["Customer_ID", "Split", LABEL, SPEND])
     weights = class_weights(train, LABEL).select(F.col("Label").alias(LABEL), "Weight")
     vectors = VectorAssembler(inputCols=list(MODEL_FEATURES), outputCol="vector").transform(matrix)
-    joined = vectors.withColumn(LABEL, F.col(LABEL).cast("int")).join(F.broadcast(weights), LABEL)
+    joined = join_on(vectors.withColumn(LABEL, F.col(LABEL).cast("int")), F.broadcast(weights), [LABEL], "left")
     return cut_lineage(joined)
 
 
 def train_rows(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("Split") == "train")
+    """The rows to fit on; those without a label can only be scored."""
+    return rows.where((F.col("Split") == "train") & F.col(LABEL).isNotNull())
 
 
 def test_rows(rows: DataFrame) -> DataFrame:

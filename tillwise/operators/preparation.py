@@ -154,10 +154,6 @@ def class_weights(df: DataFrame, label: str = "RetentionLabel") -> DataFrame:
     )
 
 
-def with_class_weight(df: DataFrame, label: str = "RetentionLabel") -> DataFrame:
-    weights = class_weights(df, label).select(F.col("Label").alias(label), F.col("Weight"))
-    return df.join(F.broadcast(weights), label)
-
 
 def hash_sample(df: DataFrame, rows: int, identifier: str = "Customer_ID") -> DataFrame:
     """A repeatable sample: the first rows in the md5 order of the id."""

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import from_money, money, ratio
+from tillwise.functions.joins import join_on
 
 REVENUE_LAGS = (1, 2, 4, 8, 12)
 ROLLING = (4, 8, 12)
@@ -82,15 +83,27 @@ def long_enough(series: DataFrame, horizon: int, by: Sequence[str] = ()) -> Data
     return counts.withColumn("LongEnough", F.col("Rows") > horizon + 20)
 
 
-def keep_long_series(series: DataFrame, horizon: int, by: Sequence[str] = ()) -> DataFrame:
+
+def split_by_length(
+    series: DataFrame, horizon: int, by: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """The series that are long enough for a forecast, and one row per series that is not.
+
+    A rejected row has the keys, its ``Rows`` and the ``RowsNeeded``.
+    """
     size = F.count(F.lit(1)).over(per_series(by))
-    return series.withColumn("_rows", size).where(F.col("_rows") > horizon + 20).drop("_rows")
+    kept = series.withColumn("_rows", size).where(F.col("_rows") > horizon + 20).drop("_rows")
+    rejected = (
+        long_enough(series, horizon, by)
+        .where(~F.col("LongEnough"))
+        .select(*by, "Rows", F.lit(horizon + 21).cast("bigint").alias("RowsNeeded"))
+    )
+    return kept, rejected
 
 
 def require_long_series(series: DataFrame, horizon: int, by: Sequence[str] = ()) -> DataFrame:
-    """Raise when a series is too short; one boolean comes to the driver."""
-    short = long_enough(series, horizon, by).where(~F.col("LongEnough"))
-    if not short.isEmpty():
+    """Raise when a series is too short; one row comes to the driver."""
+    if not split_by_length(series, horizon, by)[1].isEmpty():
         raise ValueError(f"a series has no more than {horizon + 20} rows")
     return series
 
@@ -143,7 +156,7 @@ def clean_forecast(forecast: DataFrame, horizon: int, by: Sequence[str] = ()) ->
     order = W.partitionBy(*keys).orderBy("Step").rowsBetween(W.unboundedPreceding, 0)
     last = F.last("Forecast", ignorenulls=True).over(order)
     return (
-        grid.join(cleaned.select(*keys, "Step", "Forecast"), [*keys, "Step"], "left")
+        join_on(grid, cleaned.select(*keys, "Step", "Forecast"), [*keys, "Step"], "left")
         .withColumn("Forecast", F.coalesce(last, F.lit(0.0)))
     )
 
@@ -160,7 +173,7 @@ def match_actuals(forecast: DataFrame, test: DataFrame, by: Sequence[str] = ())
         "Date",
         F.col("Revenue").alias("Actual"),
     )
-    return forecast.join(numbered, [*by, "Step"]).select(
+    return join_on(forecast, numbered, [*by, "Step"]).select(
         *by, "Model", "Step", "Date", "Actual", "Forecast"
     )
 
@@ -168,7 +181,7 @@ def match_actuals(forecast: DataFrame, test: DataFrame, by: Sequence[str] = ())
 def future_dates(forecast: DataFrame, series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Date the steps of a forecast past the last week of each series."""
     last = series.groupBy(*by).agg(F.max("Date").alias("_last"))
-    joined = forecast.join(last, list(by)) if by else forecast.join(F.broadcast(last))
+    joined = join_on(forecast, last, by) if by else forecast.join(F.broadcast(last))
     return joined.withColumn("Date", F.date_add("_last", F.col("Step") * 7)).drop("_last")
 
 
@@ -256,7 +269,7 @@ def decompose(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def forecast_residuals(matched: DataFrame, best: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Actual minus forecast of the best model, finite values only."""
     keys = [*by, "Model"]
-    rows = matched.join(F.broadcast(best.select(*keys)) if not by else best.select(*keys), keys)
+    rows = join_on(matched, F.broadcast(best.select(*keys)) if not by else best.select(*keys), keys)
     residual = F.col("Actual") - F.col("Forecast")
     finite = ~F.isnan(residual) & (F.abs(residual) < F.lit(float("inf")))
     return rows.withColumn("Residual", residual).where(residual.isNotNull() & finite)
@@ -282,4 +295,4 @@ def series_summary(
         F.count(F.lit(1)).alias("MonthlyObservations"),
         F.max_by("Revenue", "Date").alias("LatestMonthlyRevenue"),
     )
-    return weeks.join(months, list(by)) if by else weeks.join(F.broadcast(months))
+    return join_on(weeks, months, by) if by else weeks.join(F.broadcast(months))

@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 from tillwise.functions.ranking import row_positions
 
+# How a finite decimal number is spelt, with blanks around it.
+NUMBER = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
 
 def head_preview(df: DataFrame, order: Sequence[str], rows: int = 20) -> DataFrame:
     """The first rows in a total order, with the number shown and the number there are."""
@@ -53,14 +56,21 @@ def systematic_sample(df: DataFrame, order: Sequence[Column], limit: int) -> Dat
     )
 
 
+def finite_number(name: str) -> Column:
+    """The number that a column's text spells, or null.
+
+    A cast alone also takes type suffixes (``85123D``), ``NaN`` and ``Infinity``.
+    """
+    text = F.col(f"`{name}`").cast("string")
+    number = F.when(text.rlike(NUMBER), text).try_cast("double")
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
+
+
 def rows_with_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Cast the columns to double and drop the rows where one does not parse."""
-    cast = df.withColumns({c: F.expr(f"try_cast(nullif(`{c}`, '') as double)") for c in columns})
-    finite = [
-        F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < F.lit(float("inf"))) for c in columns
-    ]
-    for condition in finite:
-        cast = cast.where(condition)
+    """Cast the columns to double and drop the rows where one is no finite number."""
+    cast = df.withColumns({c: finite_number(c) for c in columns})
+    for c in columns:
+        cast = cast.where(F.col(c).isNotNull())
     return cast
 
 
@@ -121,17 +131,23 @@ def horizon_slice(forecast: DataFrame, steps: int, by: Sequence[str] = ()) -> Da
 
 
 def column_kinds(df: DataFrame) -> DataFrame:
-    """Which columns hold numbers: rows that parse as one, per column."""
-    names = list(df.columns)
+    """Per column the rows that spell a finite number and the other non-blank rows.
 
-    def parses(name: str) -> Column:
-        return F.expr(f"try_cast(cast(`{name}` as string) as double)").isNotNull()
+    A mixed column is listed both as numeric and as text.
+    """
+    names = list(df.columns)
 
-    counts = df.agg(*[F.count_if(parses(c)).alias(c) for c in names])
-    return counts.unpivot([], names, "Column", "NumericRows").withColumn(
-        "Kind", F.when(F.col("NumericRows") > 0, "numeric").otherwise("text")
+    def counted(name: str) -> Column:
+        filled = F.col(f"`{name}`").cast("string").rlike(r"\S")
+        number = finite_number(name).isNotNull()
+        return F.struct(F.count_if(number).alias("number"), F.count_if(filled & ~number).alias("text")).alias(name)
+
+    counts = df.agg(*[counted(c) for c in names])
+    return counts.unpivot([], names, "Column", "Rows").select(
+        "Column",
+        F.col("Rows.number").alias("NumericRows"),
+        F.col("Rows.text").alias("TextRows"),
+        F.when(F.col("Rows.number") > 0, "numeric").otherwise("text").alias("Kind"),
+        (F.col("Rows.number") > 0).alias("IsNumeric"),
+        (F.col("Rows.text") > 0).alias("IsText"),
     )
-
-
-def is_text(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, T.StringType)

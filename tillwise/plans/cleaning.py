@@ -42,7 +42,7 @@ def weekly_csv(spark, folder):
     from tillwise.operators.series import weekly_series
 
     path = result_folder(spark, "weekly_csv")
-    frame = weekly_series(purchases(spark, folder))
+    frame = weekly_series(cl.strict_purchases(lines(spark, folder)))
     sinks.write_csv(frame, path)
     return readers.read_csv(spark, path, frame.schema)
 
@@ -51,7 +51,7 @@ def weekly_json(spark, folder):
     from tillwise.operators.series import weekly_series
 
     path = result_folder(spark, "weekly_json")
-    frame = weekly_series(purchases(spark, folder))
+    frame = weekly_series(cl.strict_purchases(lines(spark, folder)))
     sinks.write_json_records(frame, path)
     return spark.read.schema(frame.schema).json(path)
 
@@ -124,8 +124,8 @@ QUERIES = {
     "src01_union_parts": union_parts,
     "src02_csv_read": csv_round_trip,
     "src03_column_subset": column_subset,
-    "src04_csv_sink": weekly_csv,
-    "src05_json_sink": weekly_json,
+    "src04_csv_sink": lambda s, d: settled(weekly_csv(s, d), 4),
+    "src05_json_sink": lambda s, d: settled(weekly_json(s, d), 4),
     "src06_head_preview": preview,
     "src07_table_profile": profile,
     "cln01_trim_headers": lambda s, d: cl.trim_headers(raw(s, d)),
@@ -224,7 +224,7 @@ ORACLES = {
     ),
     "cln10_flag_non_product": with_tables(
         "tidy",
-        """select StockCode, StockCode in ('POST', 'DOT', 'BANK CHARGES', 'AMAZONFEE', 'MANUAL', 'CRUK') as IsNonProduct,
+        """select StockCode, coalesce(StockCode in ('POST', 'DOT', 'BANK CHARGES', 'AMAZONFEE', 'MANUAL', 'CRUK'), false) as IsNonProduct,
            count(*) as Lines from tidy group by 1, 2""",
     ),
     "cln11_flag_cancelled": with_tables(
@@ -232,7 +232,7 @@ ORACLES = {
         "select Invoice, starts_with(Invoice, 'C') as IsCancelled, count(*) as Lines from tidy group by 1, 2",
     ),
     "cln12_flag_return": with_tables(
-        "tidy", "select Invoice, Quantity <= 0 as IsReturn, count(*) as Lines from tidy group by 1, 2"
+        "tidy", "select Invoice, coalesce(Quantity <= 0, false) as IsReturn, count(*) as Lines from tidy group by 1, 2"
     ),
     "cln13_transaction_value": with_tables(
         "tidy", f"select Invoice, StockCode, {r('Quantity * Price', 4)} as TransactionValue from tidy"
@@ -265,8 +265,8 @@ ORACLES = {
     ),
     "cln19_flags_when_absent": with_tables(
         "tidy",
-        f"""select {TIDY_COLUMNS}, starts_with(Invoice, 'C') as IsCancelled, Quantity <= 0 as IsReturn,
-            StockCode in ('POST', 'DOT', 'BANK CHARGES', 'AMAZONFEE', 'MANUAL', 'CRUK') as IsNonProduct,
+        f"""select {TIDY_COLUMNS}, starts_with(Invoice, 'C') as IsCancelled, coalesce(Quantity <= 0, false) as IsReturn,
+            coalesce(StockCode in ('POST', 'DOT', 'BANK CHARGES', 'AMAZONFEE', 'MANUAL', 'CRUK'), false) as IsNonProduct,
             Quantity * Price as TransactionValue from tidy""",
     ),
     "cln20_null_counts": with_tables("raw", _NULLS),

@@ -7,7 +7,7 @@ CUTOFF = "2001-04-01"
 RAW = """
 base as (
   select o.o_orderkey, o.o_custkey, o.o_orderdate, l.l_partkey, l.l_quantity, l.l_extendedprice,
-         l.l_returnflag, n.n_name, p.p_name
+         l.l_returnflag, case when n.n_nationkey % 13 <> 5 then n.n_name end as n_name, p.p_name
   from lineitem l join orders o on l.l_orderkey = o.o_orderkey
   join customer c on o.o_custkey = c.c_custkey
   join nation n on c.c_nationkey = n.n_nationkey
@@ -15,9 +15,11 @@ base as (
 raw_once as (
   select o_orderkey, o_orderdate,
     concat(case when o_orderkey % 37 = 0 then 'C' else '' end, cast(o_orderkey as varchar)) as Invoice,
-    case when l_partkey % 53 = 0 then ' post ' else concat('p', cast(l_partkey as varchar)) end as StockCode,
+    case when l_partkey % 53 = 0 then ' post ' when l_partkey % 61 = 0 then null
+         when l_partkey % 59 = 0 then concat(cast(l_partkey as varchar), 'D') when l_partkey % 67 = 0 then 'NaN'
+         else concat('p', cast(l_partkey as varchar)) end as StockCode,
     p_name as Description,
-    cast(case when o_orderkey % 37 = 0 or (l_returnflag = 'R' and l_partkey % 11 = 0)
+    cast(case when l_partkey % 89 = 0 then null when o_orderkey % 37 = 0 or (l_returnflag = 'R' and l_partkey % 11 = 0)
               then -l_quantity else l_quantity end as int) as Quantity,
     o_orderdate + to_seconds(cast(o_orderkey * 7919 % 86400 as int)) as InvoiceDate,
     case when l_partkey % 97 = 0 then cast(0 as double)
@@ -42,8 +44,8 @@ tidy as (
 
 CLEAN = """
 clean as (
-  select *, starts_with(Invoice, 'C') as IsCancelled, Quantity <= 0 as IsReturn,
-         StockCode in ('POST', 'DOT', 'BANK CHARGES', 'AMAZONFEE', 'MANUAL', 'CRUK') as IsNonProduct,
+  select *, coalesce(starts_with(Invoice, 'C'), false) as IsCancelled, coalesce(Quantity <= 0, false) as IsReturn,
+         coalesce(StockCode in ('POST', 'DOT', 'BANK CHARGES', 'AMAZONFEE', 'MANUAL', 'CRUK'), false) as IsNonProduct,
          Quantity * Price as TransactionValue
   from (select distinct * from tidy where Customer_ID is not null) where Price > 0),
 purchases as (
@@ -60,8 +62,8 @@ active as (select distinct Customer_ID from history_all, periods where InvoiceDa
 history as (select h.* from history_all h semi join active using (Customer_ID)),
 invoices as (
   select Customer_ID, Invoice, min(InvoiceDate) as InvoiceDate,
-         sum(cast(TransactionValue as decimal(18,4))) as InvoiceValue,
-         cast(sum(Quantity) as bigint) as InvoiceQuantity,
+         coalesce(sum(cast(TransactionValue as decimal(18,4))), 0) as InvoiceValue,
+         cast(coalesce(sum(Quantity), 0) as bigint) as InvoiceQuantity,
          count(distinct StockCode) as InvoiceProducts
   from history group by Customer_ID, Invoice),
 customers as (

@@ -170,6 +170,9 @@ QUERIES = {
         )
     ),
     "vue02_rows_with_numbers": lambda s, d: vi.rows_with_numbers(text_lines(s, d), ["Invoice"]),
+    "vue02_codes_are_no_numbers": lambda s, d: vi.rows_with_numbers(
+        text_lines(s, d).withColumn("StockCode", F.regexp_replace("StockCode", "^p([0-9]*[02468])$", "$1")), ["StockCode"]
+    ),
     "vue03_first_per_key": first_lines,
     "vue04_average_categories": lambda s, d: settled(
         vi.average_categories(trim_headers(raw(s, d)), "Country", ["Customer_ID", "Quantity", "Price"]), 4
@@ -289,10 +292,16 @@ ORACLES = {
         """select try_cast(Invoice as double) as Invoice, StockCode, Description, Country from raw
            where try_cast(Invoice as double) is not null""",
     ),
+    "vue02_codes_are_no_numbers": with_tables(
+        "raw",
+        """select Invoice, try_cast(Code as double) as StockCode, Description, Country from (
+             select *, regexp_replace(StockCode, '^p([0-9]*[02468])$', '\\1') as Code from raw)
+           where regexp_full_match(Code, '[0-9]+')""",
+    ),
     "vue03_first_per_key": with_tables(
         "clean",
         """select Customer_ID, InvoiceDate, Invoice, StockCode, Quantity, Price, Description from (
-             select *, row_number() over (partition by Customer_ID order by InvoiceDate, Invoice, StockCode, Quantity, Price, Description) as k
+             select *, row_number() over (partition by Customer_ID order by InvoiceDate, Invoice, StockCode nulls first, Quantity nulls first, Price, Description) as k
              from clean) where k = 1""",
     ),
     "vue04_average_categories": with_tables(
@@ -334,8 +343,10 @@ ORACLES = {
     "vue10_column_kinds": with_tables(
         "raw",
         " union all ".join(
-            f"""select '{c}' as "Column", count(*) filter (try_cast({c} as double) is not null) as NumericRows,
-                case when count(*) filter (try_cast({c} as double) is not null) > 0 then 'numeric' else 'text' end as Kind from raw"""
+            f"""select *, case when IsNumeric then 'numeric' else 'text' end as Kind from (
+                  select *, NumericRows > 0 as IsNumeric, TextRows > 0 as IsText from (
+                    select '{c}' as "Column", count(*) filter (regexp_full_match({c}, '[0-9]+')) as NumericRows,
+                      count(*) filter (not regexp_full_match({c}, '[0-9]+')) as TextRows from raw))"""
             for c in ("Invoice", "StockCode", "Description", "Country")
         ),
     ),

@@ -18,6 +18,7 @@ from tillwise.plans.inputs import lines
 from tillwise.plans.oracle import r, ra, rounded, with_tables
 
 HORIZON = 12
+LONG_HORIZON = 323  # longer than what many countries have
 
 
 def weekly(spark: SparkSession, folder: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -182,6 +183,7 @@ QUERIES = {
     "tsr19_series_summary": summary,
     "tsr20_long_enough": lambda s, d: se.long_enough(weekly(s, d, ("Country",)), HORIZON, ("Country",)),
     "tsr20_rolling_origin": rolling_origin,
+    "tsr20_rejected": lambda s, d: se.split_by_length(weekly(s, d, ("Country",)), LONG_HORIZON, ("Country",))[1],
     "vue08_horizon_slice": sliced,
     "pre08_last_weeks_holdout": lambda s, d: settled(
         se.holdout_rows(weekly(s, d), HORIZON).select("Date", "Revenue", "Split"), 4
@@ -191,17 +193,17 @@ QUERIES = {
 
 def series_sql(name, label, step, by=""):
     keys = f"{by}, " if by else ""
-    join = f"using ({keys}Date)"
+    same = "and g.{0} is not distinct from f.{0}".format(by) if by else ""
     return f"""{name}_found as (
       select {keys}{label} as Date, cast(sum(cast(TransactionValue as decimal(18,4))) as double) as Revenue,
         count(distinct Invoice) as OrderCount, count(distinct Customer_ID) as UniqueCustomers
       from purchases where Quantity > 0 and Price > 0 and TransactionValue > 0 group by all),
     {name} as (
-      select {keys}Date, coalesce(Revenue, 0) as Revenue, coalesce(OrderCount, 0) as OrderCount,
+      select {keys.replace(by, f"g.{by}") if by else ""}g.Date, coalesce(Revenue, 0) as Revenue, coalesce(OrderCount, 0) as OrderCount,
         coalesce(UniqueCustomers, 0) as UniqueCustomers, coalesce(Revenue / OrderCount, 0) as AvgOrderValue
       from (select {keys}cast(unnest(generate_series(min(Date), max(Date), interval {step})) as date) as Date
-            from {name}_found {'group by ' + by if by else ''})
-      left join {name}_found {join})"""
+            from {name}_found {'group by ' + by if by else ''}) g
+      left join {name}_found f on g.Date = f.Date {same})"""
 
 
 WEEK = "cast(date_trunc('week', InvoiceDate) as date) + 6"
@@ -432,6 +434,12 @@ ORACLES = {
         f"select Country, count(*) as Rows, count(*) > {HORIZON} + 20 as LongEnough from countries group by 1",
         COUNTRIES,
     ),
+    "tsr20_rejected": with_tables(
+        "clean",
+        f"""select Country, count(*) as Rows, cast({LONG_HORIZON} + 21 as bigint) as RowsNeeded from countries
+            group by 1 having count(*) <= {LONG_HORIZON} + 20""",
+        COUNTRIES,
+    ),
     "vue08_horizon_slice": week_sql(
         f"""select 'Naive' as Model, cast(k as int) as Step, cast((select max(Date) from weekly) + cast(7 * k as int) as date) as Date,
               {r('(select max_by(Revenue, Date) from weekly)', 4)} as Forecast from (select unnest(range(1, 5)) as k)"""

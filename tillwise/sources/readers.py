@@ -22,15 +22,9 @@ RAW_LINE = T.StructType(
 )
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One table of a folder. Its schema is inferred once per path; later reads start no job."""
-    path = f"{folder}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """One table of a folder as it is now."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
@@ -55,8 +49,8 @@ def invoice_lines(
 ) -> DataFrame:
     """Raw invoice lines over the order tables, with the defects cleaning has to deal with.
 
-    Cancelled invoices, returns, missing customers, zero prices, untidy codes and exact
-    copies are put in by rule. The copies come from an explode, so the tables are read once.
+    Cancelled invoices, returns, missing customers, codes, quantities and countries, zero prices,
+    untidy codes, codes that look like numbers, and exact copies are put in by rule. The copies come from an explode, so the tables are read once.
     """
     orders = read_table(spark, folder, "orders")
     if start is not None:
@@ -79,7 +73,7 @@ def invoice_lines(
         .alias("_copies"),
     )
     nations = read_table(spark, folder, "nation").select(
-        "n_nationkey", F.lower("n_name").alias("Country")
+        "n_nationkey", F.when(F.col("n_nationkey") % 13 != 5, F.lower("n_name")).alias("Country")
     )
     customers = (
         read_table(spark, folder, "customer")
@@ -96,6 +90,9 @@ def invoice_lines(
     products = read_table(spark, folder, "part").select(
         "p_partkey",
         F.when(part_key % 53 == 0, " post ")
+        .when(part_key % 61 == 0, F.lit(None))
+        .when(part_key % 59 == 0, F.concat(part_key.cast("string"), F.lit("D")))
+        .when(part_key % 67 == 0, "NaN")
         .otherwise(F.concat(F.lit("p"), part_key.cast("string")))
         .alias("StockCode"),
         F.col("p_name").alias("Description"),
@@ -113,7 +110,8 @@ def invoice_lines(
         "Invoice",
         "StockCode",
         "Description",
-        F.when(F.col("_cancelled") | returned, -F.col("l_quantity"))
+        F.when(F.col("l_partkey") % 89 == 0, F.lit(None))
+        .when(F.col("_cancelled") | returned, -F.col("l_quantity"))
         .otherwise(F.col("l_quantity"))
         .cast("int")
         .alias("Quantity"),

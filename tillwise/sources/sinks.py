@@ -18,7 +18,3 @@ def write_json_records(df: DataFrame, path: str) -> None:
         .option("ignoreNullFields", False)
         .json(path)
     )
-
-
-def write_parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
