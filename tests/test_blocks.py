@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tillwise.operators import centroids as ce
 from tillwise.operators import density as de
 from tillwise.operators import neighbours as ne
 from tillwise.operators import segments as sg
@@ -81,7 +82,7 @@ def test_density_clusters(points):
 
 
 def test_trial_choice(spark):
-    columns = "Eps double, MinSamples int, Clusters int, Noise_Pct double, Silhouette double"
+    columns = "Eps double, MinSamples int, Clusters int, Noise_Pct double, SilhouetteSquared double"
     rows = [(0.6, 5, 9, 80.0, 0.9), (2.0, 20, 4, 22.43, 0.3669), (2.0, 5, 3, 10.0, 0.1), (1.8, 5, 1, 5.0, None)]
     best = de.choose_trial(spark.createDataFrame(rows, columns)).first()
     assert (best["Eps"], best["MinSamples"]) == (2.0, 20)
@@ -103,6 +104,52 @@ def test_silhouette(points):
     assert found == pytest.approx(np.mean(values))
 
 
+def test_squared_silhouettes(points):
+    pdf, df = points
+    halves = F.when(F.col("x") > 2, "a").otherwise("b")
+    rows = df.withColumns(
+        {
+            "three": F.when(F.col("x") > 2, 1).when(F.col("y") > 2.5, 2).otherwise(0),
+            "noisy": F.when(F.col("z") < 1.5, halves),
+            "one": F.lit("x"),
+            "alone": F.when(F.col("Customer_ID") == "0000", "only").otherwise(halves),
+        }
+    )
+    names = ["three", "noisy", "one", "alone"]
+    squared = ((pdf[COLUMNS].to_numpy()[:, None] - pdf[COLUMNS].to_numpy()[None]) ** 2).sum(-1)
+    found = {r["Label"]: r["SilhouetteSquared"] for r in ce.silhouettes_squared(rows, COLUMNS, names).collect()}
+    labels = rows.toPandas()
+    for name in names:
+        mark = labels[name].to_numpy()
+        kept = [i for i in range(len(mark)) if mark[i] is not None]
+        values = []
+        for i in kept:
+            sizes = {c: [j for j in kept if mark[j] == c] for c in set(mark[kept])}
+            if len(sizes) < 2:
+                continue
+            own = sizes.pop(mark[i])
+            if len(own) == 1:
+                values.append(0.0)
+                continue
+            a, b = squared[i, own].sum() / (len(own) - 1), min(squared[i, c].mean() for c in sizes.values())
+            values.append((b - a) / max(a, b))
+        assert found[name] == (pytest.approx(np.mean(values)) if values else None)
+
+
+def test_kmeans_of_many_starts(points):
+    pdf, df = points
+    rows = ce.vector_rows(df, COLUMNS)
+    fits = ce.fit_many(rows, [1, 2, 3, 5], starts=6)
+    costs = [fits[k].cost for k in (1, 2, 3, 5)]
+    assert costs == sorted(costs, reverse=True)
+    assert costs[0] == pytest.approx(((pdf[COLUMNS] - pdf[COLUMNS].mean()) ** 2).to_numpy().sum())
+    labels = ce.nearest_labels(rows, fits).toPandas().set_index("Id").loc[pdf["Customer_ID"]]
+    for k, fit in fits.items():
+        own = labels[f"K{k}"].to_numpy()
+        for cluster in range(k):
+            assert np.allclose(fit.centres[cluster], pdf[COLUMNS].to_numpy()[own == cluster].mean(axis=0))
+
+
 def test_segment_names(spark):
     columns = (
         "Cluster int, AvgFutureSpend90Days double, RetentionRate_Pct double, AvgFrequency double, "

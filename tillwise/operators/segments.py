@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -15,10 +15,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import ratio
-from tillwise.functions.joins import attach
+from tillwise.functions.joins import attach, join_on
 from tillwise.functions.lineage import cut_lineage
 from tillwise.functions.ranking import exact_quantiles
 from tillwise.operators.blocks import BLOCK_ROWS, euclidean, stack
+from tillwise.operators.centroids import fit_many, nearest_labels, silhouettes_squared, vector_rows
 from tillwise.operators.features import mark_missing_gap, require_columns
 from tillwise.operators.preparation import scaled_matrix
 
@@ -74,6 +75,7 @@ INSIGHTS = {
 }
 OTHER_INSIGHT = "Behaviorally distinct customer group."
 
+# Names of the profile measures and the columns they average.
 PROFILE_MEANS = {
     "AvgRecency": "Recency",
     "AvgFrequency": "Frequency",
@@ -99,6 +101,7 @@ PROFILE_MEANS = {
     "IsNewCustomer_mean": "IsNewCustomer",
     "AvgFutureSpend90Days": "FutureSpend90Days",
 }
+# The measures of the profile heatmap.
 HEATMAP = (
     "AvgRecency",
     "AvgFrequency",
@@ -136,18 +139,16 @@ def principal_components(matrix: DataFrame, columns: Sequence[str], k: int) -> D
     )
 
 
-def kmeans_best(vectors: DataFrame, k: int, starts: int = 3):
-    """The model with the lowest cost out of several seeded starts."""
-    models = [KMeans(k=k, seed=42 + i, featuresCol="vector").fit(vectors) for i in range(starts)]
-    return min(models, key=lambda m: m.summary.trainingCost)
-
-
 def labelled(model, vectors: DataFrame) -> DataFrame:
     return model.transform(vectors).withColumnRenamed("prediction", "Cluster")
 
 
-def kmeans_labels(vectors: DataFrame, k: int = 4, starts: int = 3) -> DataFrame:
-    return labelled(kmeans_best(vectors, k, starts), vectors)
+def kmeans_labels(matrix: DataFrame, k: int = 4, starts: int = 20) -> DataFrame:
+    """(Customer_ID, Cluster) of the k-means fit of least cost out of several starts."""
+    rows = cut_lineage(vector_rows(matrix, CLUSTER_FEATURES))
+    return nearest_labels(rows, fit_many(rows, [k], starts)).select(
+        F.col("Id").alias("Customer_ID"), F.col(f"K{k}").alias("Cluster")
+    )
 
 
 def mixture_labels(vectors: DataFrame, k: int = 4) -> DataFrame:
@@ -258,7 +259,7 @@ def calinski_harabasz(matrix: DataFrame, columns: Sequence[str], label: str, by:
     )
     whole = sum((F.var_pop(c) * F.count(c) for c in columns), F.lit(0.0))
     total = matrix.groupBy(*by).agg(whole.alias("_t"))
-    joined = inside.join(total, list(by)) if by else inside.join(F.broadcast(total))
+    joined = join_on(inside, total, by) if by else inside.join(F.broadcast(total))
     between = F.col("_t") - F.col("_w")
     score = ratio(between * (F.col("_n") - F.col("_k")), F.col("_w") * (F.col("_k") - 1))
     return joined.select(*by, F.when(F.col("_k") > 1, score).alias("CalinskiHarabasz"))
@@ -287,39 +288,24 @@ def davies_bouldin(matrix: DataFrame, columns: Sequence[str], label: str, by: Se
     return worst.groupBy(*by).agg(F.avg("_r").alias("DaviesBouldin"))
 
 
-def cluster_scores(matrix: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
-    """Silhouette, Davies-Bouldin and Calinski-Harabasz of one labelling, one row."""
-    rows = cut_lineage(matrix.where(F.col(label).isNotNull()))
-    return (
-        silhouette_euclidean(rows, columns, [label])
-        .select("Silhouette")
-        .join(F.broadcast(davies_bouldin(rows, columns, label)), how="left")
-        .join(F.broadcast(calinski_harabasz(rows, columns, label)), how="left")
-    )
-
-
-def k_search(vectors: DataFrame, ks: Sequence[int], starts: int = 3) -> DataFrame:
-    """Inertia and the three scores for each number of clusters."""
-    whole = None
-    costs = []
-    for k in ks:
-        model = kmeans_best(vectors, k, starts)
-        costs.append((k, float(model.summary.trainingCost)))
-        labels = labelled(model, vectors).select("Customer_ID", F.col("Cluster").alias(f"K{k}"))
-        whole = labels if whole is None else whole.join(labels, "Customer_ID")
+def k_search(matrix: DataFrame, ks: Sequence[int], starts: int = 20) -> DataFrame:
+    """Inertia and three scores for each number of clusters, all fitted together."""
+    rows = cut_lineage(vector_rows(matrix, CLUSTER_FEATURES))
+    fits = fit_many(rows, list(ks), starts)
     names = [f"K{k}" for k in ks]
-    rows = cut_lineage(vectors.drop("vector").join(whole, "Customer_ID"))
-    scores = silhouette_euclidean(rows, CLUSTER_FEATURES, names)
-    long = rows.unpivot(["Customer_ID", *CLUSTER_FEATURES], names, "Label", "Cluster")
+    labels = nearest_labels(rows, fits).withColumnRenamed("Id", "Customer_ID")
+    placed = cut_lineage(matrix.select("Customer_ID", *CLUSTER_FEATURES).join(labels, "Customer_ID"))
+    long = placed.unpivot(["Customer_ID", *CLUSTER_FEATURES], names, "Label", "Cluster")
     scores = (
-        scores.join(davies_bouldin(long, CLUSTER_FEATURES, "Cluster", ["Label"]), "Label")
+        silhouettes_squared(placed, CLUSTER_FEATURES, names)
+        .join(davies_bouldin(long, CLUSTER_FEATURES, "Cluster", ["Label"]), "Label")
         .join(calinski_harabasz(long, CLUSTER_FEATURES, "Cluster", ["Label"]), "Label")
     )
-    inertia = F.create_map(*[F.lit(v) for k, cost in costs for v in (f"K{k}", cost)])
+    inertia = F.create_map(*[F.lit(v) for k in ks for v in (f"K{k}", float(fits[k].cost))])
     return scores.select(
         F.substring("Label", 2, 3).cast("int").alias("K"),
         inertia[F.col("Label")].alias("Inertia"),
-        "Silhouette",
+        "SilhouetteSquared",
         "DaviesBouldin",
         "CalinskiHarabasz",
     )
@@ -464,4 +450,4 @@ def profile_heatmap(profile: DataFrame, label: str = "Cluster") -> DataFrame:
 
 
 def compare_clusterings(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(F.col("Silhouette").desc_nulls_last(), "Model")
+    return rows.orderBy(F.col("SilhouetteSquared").desc_nulls_last(), "Model")

@@ -17,6 +17,7 @@ SECTIONS = (
     "models",
     "segments",
     "reports",
+    "checks",
 )
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -8,6 +8,7 @@ from tillwise.functions.columns import settled
 from tillwise.functions.lineage import cut_lineage
 from tillwise.operators import density as de
 from tillwise.operators import segments as sg
+from tillwise.operators.centroids import silhouettes_squared
 from tillwise.plans.inputs import kept_features
 from tillwise.plans.oracle import r, ra, rounded, with_tables
 from tillwise.plans.preparation import matrix_sql
@@ -63,8 +64,8 @@ def density_trials(rows, trials):
     names = [f"T{i}" for i in range(len(trials))]
     wide = wide.toDF("Customer_ID", *names)
     joined = cut_lineage(rows.join(wide, "Customer_ID"))
-    silhouettes = sg.silhouette_euclidean(joined, sg.CLUSTER_FEATURES, names).select(
-        F.substring("Label", 2, 3).cast("int").alias("Trial"), "Silhouette"
+    silhouettes = silhouettes_squared(joined, sg.CLUSTER_FEATURES, names).select(
+        F.substring("Label", 2, 3).cast("int").alias("Trial"), "SilhouetteSquared"
     )
     long = cut_lineage(
         labels.where(F.col("Cluster").isNotNull()).select("Trial", "Customer_ID", "Cluster").join(rows, "Customer_ID")
@@ -90,14 +91,14 @@ def comparison(spark, folder):
     rows = matrix(spark, folder)
     prepared = sg.assembled(rows)
     found = {
-        "KMeans": sg.kmeans_labels(prepared),
+        "KMeans": sg.kmeans_labels(rows),
         "Divisive": sg.divisive_labels(prepared),
         "GaussianMixture": sg.mixture_labels(prepared),
         "Density": de.density_clusters(rows, sg.CLUSTER_FEATURES, [(2.0, 20)]),
     }
     whole = cut_lineage(sg.join_labels(rows, found))
     names = list(found)
-    silhouettes = sg.silhouette_euclidean(whole, sg.CLUSTER_FEATURES, names)
+    silhouettes = silhouettes_squared(whole, sg.CLUSTER_FEATURES, names)
     labels = whole.select(
         "Customer_ID", *sg.CLUSTER_FEATURES, *[F.col(n).cast("string").alias(n) for n in names]
     ).unpivot(["Customer_ID", *sg.CLUSTER_FEATURES], names, "Label", "Cluster")
@@ -127,8 +128,8 @@ def segmented(spark, folder):
 
 QUERIES = {
     "seg01_scaled_matrix": lambda s, d: settled(sg.cluster_matrix(kept_features(s, d)), 5),
-    "seg02_kmeans": fitted(sg.kmeans_labels),
-    "seg03_k_search": lambda s, d: sg.k_search(vectors(s, d), range(2, 11), 1),
+    "seg02_kmeans": lambda s, d: sg.kmeans_labels(matrix(s, d)),
+    "seg03_k_search": lambda s, d: sg.k_search(matrix(s, d), range(2, 11)),
     "seg04_silhouette": rule_score(
         lambda m: sg.silhouette_euclidean(m, sg.CLUSTER_FEATURES, ["Cluster"])
     ),
@@ -152,7 +153,7 @@ QUERIES = {
     ),
     "seg15_segment_names": lambda s, d: named(s, d).select("Cluster", "SegmentName"),
     "seg16_feature_means": lambda s, d: settled(
-        sg.feature_means(sg.mark_missing_gap(ruled(s, d))), 4
+        sg.feature_means(sg.mark_missing_gap(ruled(s, d))), 3
     ),
     "seg17_segment_cards": lambda s, d: settled(sg.segment_cards(named(s, d)), 4),
     "seg18_profile_heatmap": lambda s, d: settled(sg.profile_heatmap(sg.cluster_profile(ruled(s, d)))),
@@ -272,7 +273,7 @@ ORACLES = {
     ),
     "seg15_segment_names": ruled_sql("select Cluster, SegmentName from named", PROFILE, NAMED),
     "seg16_feature_means": ruled_sql(
-        "select Cluster, " + ", ".join(f"{r(f'avg({c})', 4)} as {c}" for c in sg.CLUSTER_FEATURES) + " from ruled group by 1"
+        "select Cluster, " + ", ".join(f"{r(f'avg({c})', 3)} as {c}" for c in sg.CLUSTER_FEATURES) + " from ruled group by 1"
     ),
     "seg17_segment_cards": ruled_sql(
         f"""select Cluster, SegmentName, ClusterSize, {rounded('CustomerShare_Pct AvgRecency AvgFrequency AvgMonetary '
