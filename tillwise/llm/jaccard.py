@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwise.functions.components import components
 from tillwise.functions.lineage import written
-from tillwise.llm.components import components
+from tillwise.llm.texts import packed_texts, unpacked
 from tillwise.llm.words import shingle_sets, small
 
 # Parameter: the share of the hash space in the first filter, as a multiple of 1 - threshold.
-SHARE = 1.75
+SHARE = 1.4
 
 
 def digest_of(tokens: np.ndarray) -> bytes:
@@ -96,13 +97,13 @@ def token_batch(held: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBa
 
 
 def token_sets(picked: DataFrame, width: int) -> DataFrame:
-    """(digest, n, tokens) of the texts (text, digest) whose set has that digest."""
+    """(digest, n, tokens) of the packed texts (text, digest) whose set has that digest."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             wanted = batch.column(1).to_pylist()
             digests, sets, count = [], [], 0
-            for digest, tokens in zip(wanted, shingle_sets(batch.column(0), width), strict=True):
+            for digest, tokens in zip(wanted, shingle_sets(unpacked(batch.column(0)), width), strict=True):
                 if digest_of(tokens) != digest:
                     continue  # another row of the same doc_id
                 digests.append(digest)
@@ -147,7 +148,7 @@ def close_sets(docs: DataFrame, classes: DataFrame, width: int, percent: int) ->
         .select("doc_id", "digest")
     )
     sets = written(
-        token_sets(docs.join(first, "doc_id"), width)
+        token_sets(packed_texts(docs, "text", "_tag").join(first, "doc_id"), width)
         .dropDuplicates(["digest"])
         .withColumn("node", F.monotonically_increasing_id())
     )

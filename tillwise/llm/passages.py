@@ -25,6 +25,7 @@ from pyspark.sql.types import StructType
 
 from tillwise.functions.lineage import written
 from tillwise.llm.quality import free_prefix
+from tillwise.llm.texts import packed_texts, unpacked
 from tillwise.llm.words import slices, small, windows, words_of
 
 # Parameters: least words of a passage, words of a gram; every SPAN grams in a row keep one.
@@ -87,37 +88,6 @@ def suffixes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, schema)
 
 
-def packed_texts(docs: DataFrame, text: str, tag: str) -> DataFrame:
-    """The frame with the text column compressed (null: empty) and its tag added."""
-    schema = StructType(
-        [
-            *[f if f.name != text else StructType.fromDDL(f"`{text}` binary").fields[0] for f in docs.schema.fields],
-            *StructType.fromDDL(f"`{tag}` bigint").fields,
-        ]
-    )
-    place = docs.columns.index(text)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in small(batches):
-            contents = [(value.as_py() or "").encode() for value in batch.column(place)]
-            columns = list(batch.columns)
-            columns[place] = pa.array([pack(c) for c in contents], pa.binary())
-            tags = pa.array([zlib.crc32(c) & 0x7FFFFFFF for c in contents], pa.int64())
-            yield pa.RecordBatch.from_arrays([*columns, tags], names=schema.names)
-
-    return docs.mapInArrow(rows, schema)
-
-
-def unpacked(column: pa.Array) -> pa.Array:
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor().decompress
-    return pa.array([unpack(value.as_py()) for value in column], pa.binary()).cast(pa.string())
-
-
 def contexts(found: DataFrame) -> DataFrame:
     """The suffixes (doc_id, tag, text, places) with the words before (backwards) and after the gram.
 
