@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tillwise.functions.columns import HALF
+
 CUTOFF = "2001-04-01"
 
 RAW = """
@@ -148,7 +150,7 @@ def with_tables(level: str, body: str, *extra: str) -> str:
 def r(expression: str, digits: int = 6) -> str:
     """The rounding both sides of a comparison use."""
     scale = float(10**digits)
-    return f"floor(cast({expression} as double) * {scale!r} + 0.5) / {scale!r}"
+    return f"floor(cast({expression} as double) * {scale!r} + {HALF}) / {scale!r}"
 
 
 def ra(name: str, digits: int = 6) -> str:

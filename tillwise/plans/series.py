@@ -177,7 +177,7 @@ QUERIES = {
     "tsr13_recursive_forecast": recursive,
     "tsr14_clean_forecast": cleaned_forecast,
     "tsr15_back_transform": back_transformed,
-    "tsr16_decomposition": lambda s, d: settled(se.decompose(weekly(s, d)), 5),
+    "tsr16_decomposition": lambda s, d: settled(se.decompose(weekly(s, d)), 3),
     "tsr17_future_forecast": future,
     "tsr18_forecast_residuals": residual_rows,
     "tsr19_series_summary": summary,
@@ -395,8 +395,8 @@ ORACLES = {
         f"select Date, {r('exp(ln(1 + Revenue) * 0.5::double) - 1', 4)} as Forecast from weekly"
     ),
     "tsr16_decomposition": week_sql(
-        f"""select Date, Period, {ra('Revenue', 5)}, {ra('Trend', 5)}, {r('mean - centre', 5)} as Seasonal,
-              {r('Revenue - Trend - (mean - centre)', 5)} as Residual
+        f"""select Date, Period, {ra('Revenue', 3)}, {ra('Trend', 3)}, {r('mean - centre', 3)} as Seasonal,
+              {r('Revenue - Trend - (mean - centre)', 3)} as Residual
             from (select *, avg(case when t < Period then mean end) over () as centre
                   from (select *, avg(Revenue - Trend) over (partition by t % Period) as mean
                         from (select *, case when Period = 52
