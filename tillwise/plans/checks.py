@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.columns import settled
 from tillwise.functions.lineage import cut_lineage
+from tillwise.operators import boosting as bo
+from tillwise.operators import models as mo
 from tillwise.operators import segments as sg
 from tillwise.operators.centroids import vector_rows
 
@@ -159,6 +161,22 @@ def permutation(spark, folder):
     )
 
 
+def boosting(spark, folder):
+    """The train deviance of the boosted trees falls from step to step, and the calibrated train total is right."""
+    prepared = pm.rows(spark, folder)
+    state, path = bo.boosted_margin(prepared)
+    falls = [later < before for (_, before), (_, later) in zip(path, path[1:])]
+    train = F.col("Split") == "train"
+    guess, spend = F.exp("Margin") * F.col("SpendMean"), F.col(mo.SPEND)
+    factor = state.where(train).agg(F.sum(spend) / F.sum(guess)).first()[0]
+    out = state.where(train).agg(
+        F.count(F.lit(1)).alias("Rows"),
+        F.sum(spend).alias("ActualTotal"),
+        F.sum(guess * F.lit(factor)).alias("PredictedTotal"),
+    )
+    return settled(out.withColumns({"Steps": F.lit(len(falls)), "Falls": F.lit(sum(falls))}), 2)
+
+
 def attributed(spark, folder):
     """One line per feature; no mean contribution is negative in size."""
     found = pr.logistic_attribution(spark, folder)
@@ -195,6 +213,7 @@ QUERIES = {
     **{name: classifier(pm.QUERIES[fit]) for name, fit in CLASSIFIERS.items()},
     **{name: regressor(pm.QUERIES[fit]) for name, fit in REGRESSORS.items()},
     **{name: forecast(pt.QUERIES[fit]) for name, (fit, _) in SMOOTHED.items()},
+    "mod14_boosting_checked": boosting,
     "pre11_components_checked": components,
     "seg02_kmeans_checked": kmeans,
     "seg03_search_checked": search,
@@ -229,6 +248,12 @@ ORACLES = {
     **{name: with_tables("features", TESTED, pm.FILLED) for name in CLASSIFIERS},
     **{name: with_tables("features", SPENT, pm.FILLED) for name in REGRESSORS},
     **{name: held_out(models) for name, (_, models) in SMOOTHED.items()},
+    "mod14_boosting_checked": with_tables(
+        "features",
+        f"""select count(*) as Rows, {r('sum(FutureSpend90Days)', 2)} as ActualTotal, {r('sum(FutureSpend90Days)', 2)} as PredictedTotal,
+            cast(10 as int) as Steps, cast(10 as int) as Falls from parts where Split = 'train'""",
+        pm.FILLED,
+    ),
     "pre11_components_checked": with_tables(
         "features",
         """select count(*) as Rows, 0.0::double as Centre, 0.0::double as Correlation12, 0.0::double as Correlation23,

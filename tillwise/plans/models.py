@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import settled
+from tillwise.operators import boosting as bo
 from tillwise.operators import metrics as me
 from tillwise.operators import models as mo
 from tillwise.operators import neighbours as ne
@@ -87,6 +88,7 @@ QUERIES = {
     "mod14_tweedie_power_search": lambda s, d: mo.tweedie_search(rows(s, d)).select(
         "Model", F.col("Params")["variancePower"].alias("VariancePower"), "MeanScore", "StdScore"
     ),
+    "mod14_tweedie_boosted": lambda s, d: bo.boosted_spend(rows(s, d)),
     "mod15_two_stage": lambda s, d: mo.two_stage_spend(rows(s, d)),
     "mod19_search": lambda s, d: mo.classifier_search(rows(s, d)).select(
         "Model", F.to_json("Params").alias("Params"), "MeanScore", "StdScore"
