@@ -6,7 +6,9 @@ the words alone, so every task and every run gives the same ones.
 
 from __future__ import annotations
 
+import ctypes
 import sys
+import time
 import types
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -22,6 +24,7 @@ MIX_A = 0xBF58476D1CE4E5B9
 MIX_B = 0x94D049BB133111EB
 SLICE_BYTES = 1 << 19
 BATCH_ROWS = 512
+IDLE_SECONDS = 20
 
 
 class Words(NamedTuple):
@@ -38,9 +41,22 @@ class Words(NamedTuple):
 def worker_state(name: str, make: Callable[[], object]) -> object:
     """Something that a Python worker makes once and keeps for its later tasks."""
     home = sys.modules.setdefault("_tillwise_worker_state", types.ModuleType("_tillwise_worker_state"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    held = home.__dict__.setdefault("held", {})
+    made = held[name][0] if name in held else make()
+    held[name] = (made, time.monotonic())
+    return made
+
+
+def let_go() -> None:
+    """Give back what an earlier stage kept in this worker and no task has used for a while."""
+    home = sys.modules.get("_tillwise_worker_state")
+    held = getattr(home, "held", {})
+    for name in [name for name, (_, used) in held.items() if time.monotonic() - used > IDLE_SECONDS]:
+        del held[name]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -64,6 +80,7 @@ def powers(base: int, count: int) -> np.ndarray:
 
 def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of ``BATCH_ROWS``: what a task makes of one piece is soon let go."""
+    let_go()
     for batch in batches:
         for first in range(0, max(1, batch.num_rows), BATCH_ROWS):
             yield batch.slice(first, BATCH_ROWS)
