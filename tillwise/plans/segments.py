@@ -51,7 +51,7 @@ def squared_silhouette(spark, folder):
 
 
 def density_labels(spark, folder):
-    return de.density_clusters(matrix(spark, folder), sg.CLUSTER_FEATURES, [(2.0, 20)]).select(
+    return de.density_clusters(matrix(spark, folder), sg.CLUSTER_FEATURES, [(REACH, LEAST)]).select(
         "Customer_ID", "Cluster"
     )
 
@@ -230,7 +230,28 @@ def ruled_sql(body, *extra):
     return with_tables("features", body, MARKED, RULED, *extra)
 
 
+REACH, LEAST = 2.0, 20
+DENSE = f"""
+points as (select Customer_ID, [{_COLUMNS}] as v from matrix),
+near as (
+  select * from (select a.Customer_ID as a, b.Customer_ID as b, floor(list_distance(a.v, b.v) * 1e9 + 0.5) / 1e9 as d
+                 from points a, points b) where d <= {REACH}),
+core as (select a as id from near group by 1 having count(*) >= {LEAST}),
+links as (select a, b from near where a in (select id from core) and b in (select id from core)),
+reach as (select id, id as seen from core union select l.b, r.seen from reach r join links l on l.a = r.id),
+grouped as (select id, min(seen) as Cluster from reach group by 1),
+edge as (
+  select a as id, min_by(b, (d, b)) as nearest from near
+  where a not in (select id from core) and b in (select id from core) group by 1),
+clusters as (
+  select Customer_ID, coalesce(g.Cluster, h.Cluster) as Cluster from points p left join grouped g on g.id = p.Customer_ID
+  left join edge e on e.id = p.Customer_ID left join grouped h on h.id = e.nearest)
+"""
+
 ORACLES = {
+    "seg07_density_clusters": with_tables(
+        "features", "select Customer_ID, Cluster from clusters", MARKED, MATRIX, DENSE
+    ).replace("with ", "with recursive ", 1),
     "seg01_scaled_matrix": with_tables(
         "features",
         "select Customer_ID, " + ", ".join(ra(c, 5) for c in sg.CLUSTER_FEATURES) + " from matrix",
