@@ -88,7 +88,7 @@ def sequence_counts(docs: DataFrame, tokenizer: str, length: int) -> dict[int, i
 
         made = 0
         for batch in small(batches):
-            made += sum(-(-(len(ids) + 1) // length) for ids in encoder(tokenizer).encode(batch.column(1)))
+            made += sum(-(-(count + 1) // length) for count in encoder(tokenizer).counts(batch.column(1)))
         yield pa.RecordBatch.from_arrays(
             [pa.array([TaskContext.get().partitionId()]), pa.array([made])], names=["part", "made"]
         )

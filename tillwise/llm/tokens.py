@@ -16,7 +16,8 @@ import pyarrow as pa
 from tillwise.llm.words import raw_bytes, slices, span_hashes, worker_state
 
 #: Parts of words that a worker keeps before it starts anew.
-CACHE_PARTS = 1_000_000
+CACHE_PARTS = 2_000_000
+SMALL_PARTS = 1 << 16
 # Characters whose lower case and composition need no context, and how the
 # vocabulary splits lower-cased words.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -71,29 +72,46 @@ SUSPECT[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 
 
 class Known:
-    """Hash of a part -> its ids, as sorted arrays that are looked up by the batch."""
+    """Hash of a part -> its ids, as sorted arrays that are looked up by the batch.
+
+    New parts go to a small table first, which is merged into the large one when it is full.
+    """
 
     def __init__(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.large = self.small = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def __len__(self) -> int:
+        return len(self.large[0]) + len(self.small[0])
+
+    @staticmethod
+    def merged(table: tuple, more: tuple) -> tuple:
+        at = np.searchsorted(table[0], more[0])
+        return tuple(np.insert(held, at, new) for held, new in zip(table, more, strict=True))
 
     def add(self, hashes: np.ndarray, encoded: list[bytes]) -> None:
-        count = np.array([len(x) // 4 for x in encoded], np.int64)
-        first = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(encoded), "<u4")])
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes = np.insert(self.hashes, at, hashes)
-        self.first, self.count = np.insert(self.first, at, first), np.insert(self.count, at, count)
-
-    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each hash would be, and whether it is there."""
-        at = np.searchsorted(self.hashes, hashes)
+        count = np.array([len(x) // 4 for x in encoded], np.int32)
+        new = np.frombuffer(b"".join(encoded), "<u4")
+        if self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), len(new)), np.uint32)])
+        self.ids[self.used : self.used + len(new)] = new
+        first = self.used + np.cumsum(count, dtype=np.int64) - count
+        self.used += len(new)
+        self.small = self.merged(self.small, (hashes, first, count))
+        if len(self.small[0]) > SMALL_PARTS:
+            self.large, self.small = self.merged(self.large, self.small), tuple(x[:0] for x in self.small)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each part's ids begin, how many they are, and whether the part is known."""
+        first, count = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int32)
         there = np.zeros(len(hashes), bool)
-        inside = at < len(self.hashes)
-        there[inside] = self.hashes[at[inside]] == hashes[inside]
-        return at, there
+        for table in (self.large, self.small):
+            if len(table[0]):
+                at = np.minimum(np.searchsorted(table[0], hashes), len(table[0]) - 1)
+                hit = table[0][at] == hashes
+                first[hit], count[hit] = table[1][at[hit]], table[2][at[hit]]
+                there |= hit
+        return first, count, there
 
 
 def gathered(ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -157,14 +175,27 @@ class BatchEncoder:
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order (a null text has none)."""
+        for piece, special, first, count, places in self.pieces(column):
+            flat = gathered(self.known.ids, first, count)
+            for k, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)):
+                yield np.frombuffer(self.words.whole(piece[k].as_py()), "<u4") if special[k] else flat[a:b]
+
+    def counts(self, column: pa.Array) -> Iterator[int]:
+        """How many ids each text has."""
+        for piece, special, _, _, places in self.pieces(column):
+            for k, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)):
+                yield len(self.words.whole(piece[k].as_py())) // 4 if special[k] else b - a
+
+    def pieces(self, column: pa.Array) -> Iterator[tuple]:
+        """Per slice: its texts, which are special, where each part's ids are, and where each text's begin."""
         for _, piece in slices(column):
             data, texts = raw_bytes(piece)
             special = self.special(piece, data, texts)
             lower, starts, ends = parts_of(data, texts, special)
             hashes, back = np.unique(span_hashes(lower, starts, ends), return_inverse=True)
-            at, there = self.known.places(hashes)
+            first, count, there = self.known.find(hashes)
             if not there.all():
-                if len(self.known.hashes) >= CACHE_PARTS:
+                if len(self.known) >= CACHE_PARTS:
                     self.known = Known()
                     there[:] = False
                 example = np.zeros(len(hashes), np.int64)
@@ -172,15 +203,10 @@ class BatchEncoder:
                 content, new = lower.tobytes(), np.flatnonzero(~there)
                 spans = zip(starts[example[new]].tolist(), ends[example[new]].tolist(), strict=True)
                 self.known.add(hashes[new], [self.words.unit(content[a:b].decode()) for a, b in spans])
-                at, _ = self.known.places(hashes)
-            count = self.known.count[at][back]
-            flat = gathered(self.known.ids, self.known.first[at][back], count)
+                first, count, _ = self.known.find(hashes)
+            count = count[back]
             places = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(starts, texts)]
-            for k, (a, b) in enumerate(zip(places[:-1].tolist(), places[1:].tolist(), strict=True)):
-                if special[k]:
-                    yield np.frombuffer(self.words.whole(piece[k].as_py()), "<u4")
-                else:
-                    yield flat[a:b]
+            yield piece, special, first[back], count, places.tolist()
 
 
 def encoder(path: str) -> BatchEncoder:
