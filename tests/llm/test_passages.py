@@ -76,6 +76,27 @@ def test_a_passage_in_most_rows_crosses_partitions(spark, monkeypatch):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
 
 
+def test_edited_copies_match_brute_force(spark):
+    """Each copy has a few words changed, so an earlier text that is not next in any order holds the passage."""
+    draw, base = random.Random(5), prose(11, 110).split()
+    rows = []
+    for k in range(400):
+        words = list(base)
+        for at in draw.sample(range(len(words)), 2):
+            words[at] = f"edit{draw.randint(0, 9)}"
+        rows.append((k, " ".join(words)))
+    compare(cut_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect(), rows)
+
+
+def test_periodic_texts_match_brute_force(spark):
+    rows = []
+    for k in range(60):
+        cycle = prose(200 + k % 6, 1 + k % 5 + 4 * (k % 3)).split()
+        body = (cycle * 200)[k % 7 : k % 7 + 60 + 11 * (k % 8)]
+        rows.append((k, " ".join([own(k, 300 + k, k % 30), *body, own(k, 400 + k, (5 * k) % 40)])))
+    compare(cut_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect(), rows)
+
+
 def test_clean_texts_stay_as_they_are(spark):
     line = prose(3, LEAST - 1)  # one word short of a passage, in every text
     rows = [(k, prose(50 + k, 60) + "\n" + line + "\n" + prose(150 + k, 60)) for k in range(40)]
@@ -83,6 +104,12 @@ def test_clean_texts_stay_as_they_are(spark):
     assert all(r["cut_words"] == 0 and r["text"] == dict(rows)[r["doc_id"]] for r in got)
 
 
+def test_lines_a_word_short_of_a_passage_stay(spark):
+    line = prose(3, LEAST - 1)
+    rows = [(k, own(k, 50 + k, 60) + "\n" + line + "\n" + own(k, 150 + k, 60)) for k in range(40)]
+    compare(cut_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
 def test_odd_rows_and_stage(spark, odd, clashing, empty):
     found = {(r["doc_id"], r["text"]): r for r in cut_passages(odd).collect()}
     by_id = {}

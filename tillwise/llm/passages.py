@@ -1,15 +1,15 @@
 """Suffix-array dedup: passages of fifty words and more that occur again are cut.
 
 A sparse suffix array: of every window of ``SPAN`` starts of ``GRAM``-word grams the least hash is
-kept, so each passage of ``GRAM + SPAN - 1`` words, wherever it stands, keeps the same suffix.
-Suffixes whose gram occurs once are dropped. The others are range-sorted by gram and by the words
-that follow. Every suffix is compared with its nearest neighbours above and below that come from
-an earlier place, extending the match word by word to the left and right. Where it reaches the least
-length, the later place is cut, so the first occurrence of every passage stays.
-
-The neighbours are found as a stream with a stack in each range partition; a gram with a third of
-all suffixes is spread over many. What has no neighbour yet in a gram that goes on in the next
-partition, a few suffixes per partition, is sorted again until one task holds it.
+kept, so each passage of ``GRAM + SPAN - 1`` = ``LEAST`` words, wherever it stands, keeps the same
+suffix. Suffixes whose gram occurs once are dropped, and with them every passage that cannot occur
+again. The passages of the others, each under the one suffix it keeps, are range-sorted by gram and
+by all their words, then by place. Of equal passages all but the first are cut, so the result is
+exact: a word is cut if and only if it is in a passage that stands at an earlier place.
+
+Equal passages are told from the first one as a stream in each range partition; a passage with a
+third of all rows is spread over many. Only the first row of a partition and the first row of the
+passage it ends in, two per partition, are sorted again until one task holds them.
 """
 
 from __future__ import annotations
@@ -32,12 +32,10 @@ from tillwise.llm.words import slices, small, windows, words_of
 LEAST = 50
 GRAM = 25
 SPAN = LEAST - GRAM + 1
-#: Bytes kept of a neighbouring word's hash.
-CODE = 3
-#: Suffixes at the borders of partitions that one task sorts.
+#: Passages at the borders of partitions that one task sorts.
 BORDER_ROWS = 50_000
 
-KEY = ["key", "doc_id", "place", "left", "right"]
+KEY = ["key", "window", "doc_id", "place"]
 
 
 def tag_of(text: Column) -> Column:
@@ -46,27 +44,23 @@ def tag_of(text: Column) -> Column:
 
 
 def kept_suffixes(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first word in the text, and gram hash of the suffixes that are kept.
+    """First word of each passage of ``LEAST`` words, first word of the suffix it keeps, and all gram hashes.
 
-    In a run of kept suffixes with the same gram (periodic text) the first, the last and one in
-    ``SPAN`` words stay.
+    Words are counted through the texts; a passage stays within its text.
     """
     grams = windows(hashes, GRAM)
     starts = len(grams) - SPAN + 1
     if starts <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), grams
     least = np.lib.stride_tricks.sliding_window_view(grams, SPAN).argmin(axis=1) + np.arange(starts)
-    at = np.unique(least[owner[:starts] == owner[LEAST - 1 : LEAST - 1 + starts]])
-    if not len(at):
-        return at, at, np.zeros(0, np.uint64)
-    key, text = grams[at], owner[at]
-    first = np.ones(len(at), bool)
-    first[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-    into = (at - at[np.flatnonzero(first)][np.cumsum(first) - 1]) // SPAN
-    stay = first | np.append(first[1:], True)
-    stay[1:] |= into[1:] != into[:-1]
-    return text[stay], (at - bounds[text])[stay], key[stay]
+    owner = owners(bounds)
+    whole = np.flatnonzero(owner[:starts] == owner[LEAST - 1 : LEAST - 1 + starts])
+    return whole, least[whole], grams
+
+
+def owners(bounds: np.ndarray) -> np.ndarray:
+    """The text of each word."""
+    return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
@@ -77,7 +71,10 @@ def suffixes(docs: DataFrame) -> DataFrame:
         for batch in small(batches):
             for first, piece in slices(batch.column(1)):
                 words = words_of(piece)
-                text, at, key = kept_suffixes(words.hashes, words.bounds)
+                _, least, grams = kept_suffixes(words.hashes, words.bounds)
+                here = np.unique(least)
+                text, key = owners(words.bounds)[here], grams[here]
+                at = here - words.bounds[text]
                 content, cuts = words.data.tobytes(), words.texts.tolist()
                 tags = np.array([zlib.crc32(content[a:b]) & 0x7FFFFFFF for a, b in zip(cuts, cuts[1:], strict=False)], np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -88,152 +85,90 @@ def suffixes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, schema)
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """The suffixes (doc_id, tag, text, places) with the words before (backwards) and after the gram.
+def passages_of(found: DataFrame) -> DataFrame:
+    """The passages (key, window, doc_id, place) that keep one of the suffixes (doc_id, tag, text, places).
 
-    Words stand as a few bytes of their hashes, up to ``SPAN`` of them on each side.
+    ``key`` and ``window`` are the hashes of the suffix's gram and of all words of the passage.
     """
     schema = StructType(
         [
-            *StructType.fromDDL("key bigint").fields,
+            *StructType.fromDDL("key bigint, window bigint").fields,
             found.schema["doc_id"],
-            *StructType.fromDDL("place bigint, `left` binary, `right` binary").fields,
+            *StructType.fromDDL("place bigint").fields,
         ]
     )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             texts = unpacked(batch.column(2))
-            ids, tags, places = batch.column(0), batch.column(1).to_pylist(), batch.column(3)
+            ids, places = batch.column(0), batch.column(3)
+            tags = batch.column(1).to_numpy(zero_copy_only=False)
             for first, piece in slices(texts):
                 words = words_of(piece)
-                grams = windows(words.hashes, GRAM)
-                codes = np.ascontiguousarray(words.hashes).view(np.uint8).reshape(-1, 8)[:, :CODE]
-                ahead, back = codes.tobytes(), codes[::-1].tobytes()
-                total = len(codes)
-                out: list[tuple] = []
+                asked = np.zeros(len(words.hashes), bool)
                 for k in range(len(piece)):
-                    low, high = int(words.bounds[k]), int(words.bounds[k + 1])
-                    for at in sorted(set(places[first + k].as_py())):
-                        here = low + at
-                        before, after = max(low, here - SPAN), min(high, here + GRAM + SPAN)
-                        left = back[(total - here) * CODE : (total - before) * CODE]
-                        right = ahead[(here + GRAM) * CODE : after * CODE]
-                        out.append((int(grams[here].view(np.int64)), first + k, (tags[first + k] << 32) | at, left, right))
-                if out:
-                    key, owner, place, left, right = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(key, pa.int64()),
-                            ids.take(pa.array(owner, pa.int64())),
-                            pa.array(place, pa.int64()),
-                            pa.array(left, pa.binary()),
-                            pa.array(right, pa.binary()),
-                        ],
-                        names=schema.names,
-                    )
+                    asked[places[first + k].values.to_numpy(zero_copy_only=False) + words.bounds[k]] = True
+                starts, least, grams = kept_suffixes(words.hashes, words.bounds)
+                mine = asked[least]
+                starts, key = starts[mine], grams[least[mine]]
+                text = owners(words.bounds)[starts]
+                place = (tags[first + text] << 32) | (starts - words.bounds[text])
+                window = windows(words.hashes, LEAST)[starts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(window.view(np.int64)), ids.take(pa.array(first + text)), pa.array(place)],
+                    names=schema.names,
+                )
 
     return found.select("doc_id", "tag", "text", "places").mapInArrow(rows, schema)
 
 
-def common_words(one: bytes, other: bytes) -> int:
-    """How many whole words two contexts share from their beginnings."""
-    low, high = 0, min(len(one), len(other)) // CODE
-    if one[: high * CODE] == other[: high * CODE]:
-        return high
-    while high - low > 1:
-        middle = (low + high) // 2
-        if one[low * CODE : middle * CODE] == other[low * CODE : middle * CODE]:
-            low = middle
-        else:
-            high = middle
-    return low
-
-
-class Neighbours:
-    """One gram's suffixes in sorted order; each meets the nearest earlier places on both sides.
-
-    The stack holds the suffixes for which no earlier place has followed yet, with rising places.
-    """
-
-    def __init__(self) -> None:
-        self.stack: list[tuple] = []
-        self.first: list[tuple] = []  # those that no earlier place precedes
-
-    def compare(self, later: tuple, earlier: tuple, spans: list[tuple]) -> None:
-        left, right = common_words(later[2], earlier[2]), common_words(later[3], earlier[3])
-        if left + GRAM + right >= LEAST:
-            place = later[1]
-            at = place & 0xFFFFFFFF
-            spans.append((later[0], place >> 32, at - left, at + GRAM + right))
-
-    def add(self, row: tuple, spans: list[tuple]) -> None:
-        """``row``: (doc_id, place, left, right)."""
-        order = (row[0] is not None, row[0], row[1])
-        while self.stack and self.stack[-1][0] > order:
-            self.compare(self.stack.pop()[1], row, spans)
-        if not self.stack:
-            self.first.append(row)
-        else:
-            top = self.stack[-1][1]
-            if self.stack[-1][0] == order:
-                return  # a repeated row
-            self.compare(row, top, spans)
-            if row[2] == top[2] and row[3] == top[3]:
-                return  # whoever matches it matches the earlier one just as far
-        self.stack.append((order, row))
-
-
-def neighbour_spans(sorted_rows: DataFrame, whole: bool) -> DataFrame:
-    """(doc_id, tag, first, last) to be cut, and the suffixes (key set) to be sorted again.
+def later_places(sorted_rows: DataFrame, whole: bool) -> DataFrame:
+    """(doc_id, tag, at): first words of passages to be cut, and the rows (key set) to be sorted again.
 
     ``whole``: all rows are in this one partition, so none is left over.
     """
-    id_field = sorted_rows.schema["doc_id"]
     schema = StructType(
         [
-            id_field,
-            *StructType.fromDDL("tag bigint, `first` bigint, `last` bigint, key bigint, place bigint, `left` binary, `right` binary").fields,
+            sorted_rows.schema["doc_id"],
+            *StructType.fromDDL("tag bigint, at int, key bigint, window bigint, place bigint").fields,
         ]
     )
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, opening = None, Neighbours(), True
-        spans: list[tuple] = []
-        over: list[tuple] = []
-        id_type = None
-
-        def packed() -> pa.RecordBatch:
-            lines = [(i, tag, a, b, None, None, None, None) for i, tag, a, b in spans]
-            lines += [(i, None, None, None, k, place, left, right) for k, (i, place, left, right) in over]
-            spans.clear()
-            over.clear()
-            types = [id_type, *[pa.int64()] * 5, pa.binary(), pa.binary()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*lines, strict=True), types, strict=True)]
-            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+    def packed(rows: pa.RecordBatch, cut: bool) -> pa.RecordBatch:
+        place = rows.column(3).to_numpy()
+        none = pa.nulls(len(place), pa.int64())
+        if cut:
+            columns = [pa.array(place >> 32), pa.array((place & 0xFFFFFFFF).astype(np.int32)), none, none, none]
+        else:
+            columns = [none, none.cast(pa.int32()), rows.column(0), rows.column(1), rows.column(3)]
+        return pa.RecordBatch.from_arrays([rows.column(2), *columns], names=schema.names)
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opening, leader = None, None  # first row of the partition, and of the passage the last batch ended in
         for batch in small(batches):
-            id_type = batch.schema.field("doc_id").type
-            for k, *row in zip(*(batch.column(name).to_pylist() for name in KEY), strict=True):
-                if k != key:
-                    if opening and key is not None:
-                        over += [(key, line) for line in group.first if not whole]
-                        opening = False
-                    key, group = k, Neighbours()
-                group.add(tuple(row), spans)
-            if len(spans) + len(over) > 20_000:
-                yield packed()
-        if key is not None and not whole:
-            rest = {id(line): line for line in [line for _, line in group.stack] + (group.first if opening else [])}
-            over += [(key, line) for line in rest.values()]
-        if spans or over:
-            yield packed()
+            if not batch.num_rows:
+                continue
+            if leader is None:
+                opening = leader = batch.slice(0, 1)
+            line = pa.Table.from_batches([leader, batch]).combine_chunks().to_batches()[0]
+            key, window, place = (line.column(i).to_numpy() for i in (0, 1, 3))
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (window[1:] != window[:-1])
+            head = np.flatnonzero(new)[np.cumsum(new) - 1]
+            ids = line.column(2).dictionary_encode("encode").indices.to_numpy()
+            later = (place != place[head]) | (ids != ids[head])  # not a repeated row
+            if later.any():
+                yield packed(line.take(pa.array(np.flatnonzero(later))), True)
+            leader = line.slice(int(head[-1]), 1)
+        if leader is not None and not whole:
+            yield packed(opening, False)
+            yield packed(leader, False)
 
     return sorted_rows.select(*KEY).mapInArrow(rows, schema)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, spans): the words [first, last) to be cut from (doc_id, text), text not null."""
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, starts): first words of the passages to be cut from (doc_id, text), text not null."""
     kept = suffixes(docs)
     again = kept.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
     places = (
@@ -244,31 +179,30 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = packed_texts(docs, "text", "tag")
     renamed = places.withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
     found = texts.join(renamed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")))
-    order = ["key", "right", "doc_id", "place"]
-    result = written(neighbour_spans(contexts(found).orderBy(*order), False))
+    result = written(later_places(passages_of(found).orderBy(*KEY), False))
     out, parts = [result.where("key is null")], 1 << 30
     while left := result.where("key is not null").count():
         rest = result.where("key is not null").select(*KEY)
         parts = min(parts // 2, left // BORDER_ROWS)
         if parts <= 1:
-            out.append(neighbour_spans(rest.coalesce(1).sortWithinPartitions(*order), True))
+            out.append(later_places(rest.coalesce(1).sortWithinPartitions(*KEY), True))
             break
-        result = written(neighbour_spans(rest.repartitionByRange(parts, *order).sortWithinPartitions(*order), False))
+        result = written(later_places(rest.repartitionByRange(parts, *KEY).sortWithinPartitions(*KEY), False))
         out.append(result.where("key is null"))
-    spans = out[0]
+    starts = out[0]
     for more in out[1:]:
-        spans = spans.union(more)
-    return spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+        starts = starts.union(more)
+    return starts.groupBy("doc_id", "tag").agg(F.collect_list("at").alias("starts"))
 
 
-def merged_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for first, last in sorted((s["first"], s["last"]) for s in spans or []):
-        if out and first <= out[-1][1]:
-            out[-1] = (out[-1][0], max(last, out[-1][1]))
-        else:
-            out.append((first, last))
-    return out
+def merged_spans(starts: list[int] | None) -> list[tuple[int, int]]:
+    """The words [first, last) of passages with these first words."""
+    if not starts:
+        return []
+    at = np.unique(np.asarray(starts, np.int64))
+    apart = np.flatnonzero(np.diff(at) > LEAST)
+    first, last = at[np.append(0, apart + 1)], at[np.append(apart, len(at) - 1)] + LEAST
+    return list(zip(first.tolist(), last.tolist(), strict=True))
 
 
 def cut_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
@@ -286,10 +220,10 @@ def cut_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     source = docs.select(*[f"`{c}`" for c in keep])
     base = source.select(F.col(f"`{id_column}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     own = free_prefix(keep, "_cut_")
-    spans = repeated_spans(base).withColumnsRenamed({name: own + "of_" + name for name in ("doc_id", "tag", "spans")})
+    starts = repeated_passages(base).withColumnsRenamed({name: own + "of_" + name for name in ("doc_id", "tag", "starts")})
     whole = packed_texts(source.withColumn(own + "null", F.col(f"`{text}`").isNull()), text, own + "tag")
     same = F.col(f"`{id_column}`").eqNullSafe(F.col(own + "of_doc_id")) & (F.col(own + "tag") == F.col(own + "of_tag"))
-    joined = whole.join(spans, same, "left").drop(own + "tag", own + "of_doc_id", own + "of_tag")
+    joined = whole.join(starts, same, "left").drop(own + "tag", own + "of_doc_id", own + "of_tag")
     schema = StructType(
         [
             *source.schema.fields,
