@@ -7,7 +7,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("packing", "ordering", "chat", "langid", "passages", "quality", "fingerprints", "mixing", "urls", "jaccard")
+MODULES = (
+    "packing",
+    "ordering",
+    "chat",
+    "langid",
+    "passages",
+    "quality",
+    "fingerprints",
+    "mixing",
+    "urls",
+    "jaccard",
+    "exact",
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
