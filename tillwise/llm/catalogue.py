@@ -19,6 +19,7 @@ MODULES = (
     "urls",
     "jaccard",
     "exact",
+    "trie",
 )
 
 
