@@ -20,6 +20,7 @@ MODULES = (
     "jaccard",
     "exact",
     "trie",
+    "negatives",
 )
 
 
