@@ -5,18 +5,12 @@ from __future__ import annotations
 from math import sqrt
 
 from tillwise.operators import models as mo
+from tillwise.operators import search as se
 from tillwise.plans.inputs import kept_features
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-def test_grids_have_the_published_sizes(spark):
-    sizes = {name: len(grid) for name, (_, grid) in mo.classifier_grids(100).items()}
-    assert sizes == {"LogisticRegression": 6, "DecisionTree": 5, "LinearSVC": 3, "RandomForest": 12, "BoostedTrees": 12}
-    estimator, grid = mo.classifier_grids(100)["LogisticRegression"]
-    assert [round(s[estimator.regParam], 9) for s in grid] == [10.0, 1.0, 0.1, 0.01, 0.001, 0.0001]
-
-
 def f1(pairs):
     hits = sum(a and b for a, b in pairs)
     return 2 * hits / max(1, 2 * hits + sum(bool(a) != bool(b) for a, b in pairs))
@@ -24,7 +18,7 @@ def f1(pairs):
 
 def test_neighbour_search_matches_brute_force(spark):
     train = mo.train_rows(mo.model_rows(kept_features(spark, FOLDER)))
-    found = mo.classifier_search(train, models=("KNN",)).collect()
+    found = se.classifier_search(train, models=("KNN",)).collect()
     got = {int(r["Params"]["k"]): (r["MeanScore"], r["StdScore"]) for r in found}
     rows = mo.with_folds(train, 5).collect()
     assert sorted(got) == [3, 5, 7, 9, 11, 15, 21]
@@ -42,3 +36,42 @@ def test_neighbour_search_matches_brute_force(spark):
         expected = sum(scores) / 5
         assert abs(mean - expected) < 1e-9
         assert abs(deviation - sqrt(sum((s - expected) ** 2 for s in scores) / 5)) < 1e-9
+
+
+def train(spark):
+    return mo.train_rows(mo.model_rows(kept_features(spark, FOLDER)))
+
+
+def test_cut_trees_equal_single_fits(spark):
+    fold = se.fold_parts(train(spark), 5)[1]
+    nested = {dict(t.params)["maxDepth"]: t[3:] for t in se.nested_trees(fold)}
+    assert sorted(map(int, nested)) == sorted(se.TREE_DEPTHS)
+    for depth in se.TREE_DEPTHS:
+        single = mo.CLASSIFIERS["DecisionTree"](maxDepth=depth).fit(fold.fit)
+        assert nested[str(depth)] == se.held_counts(single, fold.held)
+
+
+def test_a_whole_forest_votes_as_the_fitted_model(spark):
+    fold = se.fold_parts(train(spark), 5)[0]
+    model = mo.CLASSIFIERS["RandomForest"](maxDepth=6, numTrees=20).fit(fold.fit)
+    found = se.cut_counts(fold.held, se.grown_trees(model, se.fresh_folder(fold.fit)), (3, 6), (5, 20))
+    assert sorted(found) == [(3, 5), (3, 20), (6, 5), (6, 20)]
+    assert found[6, 20] == se.held_counts(model, fold.held)
+
+
+def test_grids_have_the_published_sizes():
+    sizes = {name: len(se.fits(name)) for name in ("LogisticRegression", "LinearSVC", "BoostedTrees")}
+    assert sizes == {"LogisticRegression": 6, "LinearSVC": 3, "BoostedTrees": 12}
+    assert len(se.FOREST_TREES) * len(se.FOREST_DEPTHS) == 12
+    assert se.penalty(10.0)(se.Fold(0, None, None, 100)) == {"regParam": 0.001}
+
+
+def test_one_row_per_setting(spark):
+    found = se.classifier_search(mo.model_rows(kept_features(spark, FOLDER)), models=("DecisionTree", "RandomForest", "LinearSVC"))
+    rows = found.collect()
+    assert sorted(r["Model"] for r in rows) == ["DecisionTree"] * 5 + ["LinearSVC"] * 3 + ["RandomForest"] * 12
+    assert all(0 <= r["MeanScore"] <= 1 and r["StdScore"] >= 0 for r in rows)
+    best = {r["Model"]: r["BestScore"] for r in se.best_trials(found).collect()}
+    assert best == {m: max(r["MeanScore"] for r in rows if r["Model"] == m) for m in best}
+    flat = se.flat_trials(found).where("Model = 'RandomForest'").collect()
+    assert {(r["maxDepth"], r["numTrees"], r["k"]) for r in flat} == {(d, n, None) for d in (3, 5, 10) for n in (50, 100, 200, 300)}

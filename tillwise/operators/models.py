@@ -11,7 +11,7 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
@@ -31,8 +31,7 @@ from tillwise.functions.lineage import cut_lineage
 from tillwise.functions.ranking import hash_positions
 from tillwise.operators.diagnostics import calibrate, calibration_factor, clip_at_zero
 from tillwise.operators.features import fill_gap_with_sentinel
-from tillwise.operators.metrics import confusion_counts, rescale_scores
-from tillwise.operators.neighbours import nearest_rows
+from tillwise.operators.metrics import rescale_scores
 from tillwise.operators.preparation import (
     LOG_FEATURES,
     SCALE_FEATURES,
@@ -73,7 +72,7 @@ CLASSIFIERS = {
     ),
     "BoostedTrees": lambda **o: GBTClassifier(
         featuresCol="vector", labelCol=LABEL, maxIter=o.get("maxIter", 20), maxDepth=o.get("maxDepth", 3),
-        stepSize=0.1, seed=42,
+        stepSize=o.get("stepSize", 0.1), seed=42,
     ),
 }
 REGRESSORS = {
@@ -89,13 +88,6 @@ REGRESSORS = {
     ),
 }
 VARIANCE_POWERS = (1.1, 1.3, 1.5, 1.7, 1.9)
-# Settings of the classifier search, as published. C is the weight of the loss against the penalty.
-LOGISTIC_C = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
-NEIGHBOUR_COUNTS = (3, 5, 7, 9, 11, 15, 21)
-TREE_DEPTHS = (3, 5, 10, 15, 20)
-SVC_C = (0.1, 1.0, 10.0)
-FOREST_TREES, FOREST_DEPTHS = (50, 100, 200, 300), (3, 5, 10)
-BOOSTING_RATES, BOOSTING_DEPTHS, BOOSTING_ROUNDS = (0.01, 0.05, 0.1, 0.2), (3, 5, 7), 100
 
 
 def model_rows(features: DataFrame, test_share: float = 0.2) -> DataFrame:
@@ -235,81 +227,3 @@ def search(train: DataFrame, name: str, estimator, grid, evaluator, folds: int =
     return train.sparkSession.createDataFrame(
         trials, "Model string, Params map<string,string>, MeanScore double, StdScore double"
     )
-
-
-def classifier_grids(fitted: int) -> dict[str, tuple]:
-    """Estimator and settings per model; ``fitted``: rows of one fit, which turn C into a mean-loss penalty."""
-
-    def grid(estimator, **values):
-        builder = ParamGridBuilder()
-        for name, choices in values.items():
-            builder = builder.addGrid(estimator.getParam(name), list(choices))
-        return estimator, builder.build()
-
-    def penalties(strengths):
-        return [1.0 / (c * max(fitted, 1)) for c in strengths]
-
-    return {
-        "LogisticRegression": grid(CLASSIFIERS["LogisticRegression"](), regParam=penalties(LOGISTIC_C)),
-        "DecisionTree": grid(CLASSIFIERS["DecisionTree"](), maxDepth=TREE_DEPTHS),
-        "LinearSVC": grid(CLASSIFIERS["LinearSVC"](), regParam=penalties(SVC_C)),
-        "RandomForest": grid(CLASSIFIERS["RandomForest"](), numTrees=FOREST_TREES, maxDepth=FOREST_DEPTHS),
-        "BoostedTrees": grid(
-            CLASSIFIERS["BoostedTrees"](maxIter=BOOSTING_ROUNDS), stepSize=BOOSTING_RATES, maxDepth=BOOSTING_DEPTHS
-        ),
-    }
-
-
-def neighbour_search(train: DataFrame, counts: Sequence[int] = NEIGHBOUR_COUNTS, folds: int = 5) -> DataFrame:
-    """Fold F1 of the neighbour classifier; one pass per fold finds the neighbours for every count."""
-    rows = cut_lineage(with_folds(train, folds))
-    found = None
-    for fold in range(folds):
-        held, others = rows.where(F.col("Fold") == fold), rows.where(F.col("Fold") != fold)
-        near = nearest_rows(others, held, MODEL_FEATURES, LABEL, max(counts)).withColumn("Fold", F.lit(fold))
-        found = near if found is None else found.unionByName(near)
-    settings = F.explode(F.array(*[F.lit(k) for k in counts]))
-    voted = (
-        found.withColumn("Count", settings)
-        .where(F.col("Place") <= F.col("Count"))
-        .groupBy("Fold", "Customer_ID", "Count")
-        .agg((F.avg("Target") > 0.5).cast("int").alias("Decision"))
-    )
-    scored = join_on(voted, rows.select("Customer_ID", F.col(LABEL).alias("Label")), ["Customer_ID"])
-    confused = {n: c.alias(n) for n, c in confusion_counts(F.col("Label"), F.col("Decision")).items()}
-    hits, wrong, missed = F.col("TruePositives"), F.col("FalsePositives"), F.col("FalseNegatives")
-    f1 = F.coalesce(ratio(2.0 * hits, 2 * hits + wrong + missed), F.lit(0.0))
-    return (
-        scored.groupBy("Count", "Fold").agg(*confused.values())
-        .groupBy("Count").agg(F.avg(f1).alias("MeanScore"), F.stddev_pop(f1).alias("StdScore"))
-        .select(
-            F.lit("KNN").alias("Model"),
-            F.create_map(F.lit("k"), F.col("Count").cast("string")).alias("Params"),
-            "MeanScore", "StdScore",
-        )
-    )
-
-
-def classifier_search(rows: DataFrame, folds: int = 5, models: Sequence[str] | None = None) -> DataFrame:
-    """The published grids over all classifiers (or those named), scored by the F1 of the positive class."""
-    train = train_rows(rows)
-    evaluator = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="fMeasureByLabel", metricLabel=1.0)
-    parts = [
-        search(train, name, estimator, grid, evaluator, folds)
-        for name, (estimator, grid) in classifier_grids(train.count() * (folds - 1) // folds).items()
-        if models is None or name in models
-    ]
-    if models is None or "KNN" in models:
-        parts.append(neighbour_search(train, NEIGHBOUR_COUNTS, folds))
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
-    return found
-
-
-def best_trials(trials: DataFrame) -> DataFrame:
-    """The best setting per model."""
-    return trials.groupBy("Model").agg(
-        F.max("MeanScore").alias("BestScore"),
-        F.max_by("Params", "MeanScore").alias("BestParams"),
-    )

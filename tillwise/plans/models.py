@@ -9,6 +9,7 @@ from tillwise.operators import boosting as bo
 from tillwise.operators import metrics as me
 from tillwise.operators import models as mo
 from tillwise.operators import neighbours as ne
+from tillwise.operators import search as se
 from tillwise.plans.inputs import kept_features
 from tillwise.plans.oracle import r, ra, with_tables
 from tillwise.plans.preparation import matrix_sql, split_sql
@@ -66,8 +67,21 @@ def trial_rows(features):
     ).withColumn("Params", F.format_string("minimum=%d", F.col("Minimum")))
 
 
-def best_rules(spark, folder):
-    return settled(mo.best_trials(rule_trials(spark, folder)))
+def searched(*models):
+    return lambda spark, folder: se.classifier_search(rows(spark, folder), models=models or se.MODELS)
+
+
+def shown(search):
+    return lambda spark, folder: search(spark, folder).withColumn("Params", F.to_json("Params"))
+
+
+def best_settings(spark, folder, *models):
+    return se.best_trials(searched(*models)(spark, folder)).withColumn("BestParams", F.to_json("BestParams"))
+
+
+def neighbour_trials(spark, folder):
+    """Trials of the neighbour classifier, with their parameter as a column."""
+    return se.flat_trials(searched("KNN")(spark, folder)).select("Model", F.col("k").cast("int").alias("k"), "MeanScore", "StdScore")
 
 
 QUERIES = {
@@ -90,11 +104,17 @@ QUERIES = {
     ),
     "mod14_tweedie_boosted": lambda s, d: bo.boosted_spend(rows(s, d)),
     "mod15_two_stage": lambda s, d: mo.two_stage_spend(rows(s, d)),
-    "mod19_search": lambda s, d: mo.classifier_search(rows(s, d)).select(
-        "Model", F.to_json("Params").alias("Params"), "MeanScore", "StdScore"
-    ),
+    "mod19_search": shown(searched()),
+    "mod19_search_boosted_trees": shown(searched("BoostedTrees")),
+    "mod19_search_random_forest": shown(searched("RandomForest")),
+    "mod19_search_logistic": shown(searched("LogisticRegression")),
+    "mod19_search_svc": shown(searched("LinearSVC")),
+    "mod19_search_tree": shown(searched("DecisionTree")),
+    "mod19_search_neighbours": lambda s, d: settled(neighbour_trials(s, d)),
     "mod19_rule_trials": lambda s, d: settled(rule_trials(s, d)),
-    "mod20_best_trials": best_rules,
+    "mod19_flat_trials": lambda s, d: se.flat_trials(searched("DecisionTree", "LinearSVC", "KNN")(s, d)),
+    "mod20_best_trials": lambda s, d: settled(best_settings(s, d, "KNN")),
+    "mod20_best_of_models": lambda s, d: best_settings(s, d, "DecisionTree", "LinearSVC", "KNN"),
 }
 
 FILLED = f"""
@@ -124,7 +144,35 @@ def knn_sql(select, k, target, power=2):
     )
 
 
-TRIALS = f"""
+# Neighbour search: every training row is held out once, the other folds are its neighbours.
+NEIGHBOUR_TRIALS = f"""
+folded as (
+  select Customer_ID, RetentionLabel as Label, v,
+    row_number() over (partition by RetentionLabel order by md5(Customer_ID), Customer_ID) % {se.FOLDS} as Fold
+  from vectors where Split = 'train'),
+close_rows as (
+  select Customer_ID, Label, Fold, Target, row_number() over (partition by Customer_ID order by Distance, Neighbour) as Place
+  from (select a.Customer_ID, a.Label, a.Fold, b.Customer_ID as Neighbour, cast(b.Label as double) as Target,
+          {r('list_distance(a.v, b.v)', 9)} as Distance
+        from folded a join folded b on a.Fold <> b.Fold)
+  qualify Place <= {max(se.NEIGHBOUR_COUNTS)}),
+decided as (
+  select Customer_ID, any_value(Label) as Label, any_value(Fold) as Fold, n.k, avg(Target) > 0.5 as Decision
+  from close_rows, (select unnest([{', '.join(map(str, se.NEIGHBOUR_COUNTS))}]) as k) n where Place <= n.k group by Customer_ID, n.k),
+fold_scores as (
+  select k, Fold, coalesce(2.0::double * count(*) filter (Label = 1 and Decision) / nullif(
+      2 * count(*) filter (Label = 1 and Decision) + count(*) filter (Label = 0 and Decision)
+      + count(*) filter (Label = 1 and not Decision), 0), 0) as f1
+  from decided group by 1, 2),
+trials as (select 'KNN' as Model, cast(k as int) as k, avg(f1) as MeanScore, stddev_pop(f1) as StdScore from fold_scores group by 2)
+"""
+
+
+def neighbour_trials_sql(select):
+    return with_tables("features", select, FILLED, matrix_sql(fit="train", source="parts"), VECTORS, NEIGHBOUR_TRIALS)
+
+
+RULE_TRIALS = f"""
 folded as (
   select *, row_number() over (partition by RetentionLabel order by md5(Customer_ID), Customer_ID) % {FOLDS} as Fold from features),
 fold_scores as (
@@ -163,15 +211,14 @@ ORACLES = {
     "mod10_knn_regressor_manhattan": knn_sql(
         f"select Customer_ID, {r('avg(Target)')} as Predicted from nearest group by 1", 5, "FutureSpend90Days", 1
     ),
+    "mod19_search_neighbours": neighbour_trials_sql(f"select Model, k, {ra('MeanScore')}, {ra('StdScore')} from trials"),
     "mod19_rule_trials": with_tables(
         "features",
         f"select Model, cast(Minimum as int) as Minimum, {ra('MeanScore')}, {ra('StdScore')}, Params from trials",
-        TRIALS,
+        RULE_TRIALS,
     ),
-    "mod20_best_trials": with_tables(
-        "features",
-        f"""select Model, {r('max(MeanScore)')} as BestScore, max_by(Params, MeanScore) as BestParams
-            from trials group by 1""",
-        TRIALS,
+    "mod20_best_trials": neighbour_trials_sql(
+        f"""select Model, {r('MeanScore')} as BestScore, '{{"k":"' || k || '"}}' as BestParams from trials
+            qualify row_number() over (order by MeanScore desc, k) = 1"""
     ),
 }

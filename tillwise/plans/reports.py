@@ -47,7 +47,7 @@ def logistic_attribution(spark, folder):
 def tree_importances(spark, folder):
     """Importances of two tree models side by side."""
     train = mo.train_rows(pm.rows(spark, folder))
-    forest = mo.CLASSIFIERS["RandomForest"](numTrees=50).fit(train)
+    forest = mo.CLASSIFIERS["RandomForest"]().fit(train)
     tree = mo.CLASSIFIERS["DecisionTree"]().fit(train)
     return at.importances(spark, COLUMNS, forest, "ForestImportance").join(
         at.importances(spark, COLUMNS, tree, "TreeImportance"), "Feature"
@@ -56,18 +56,14 @@ def tree_importances(spark, folder):
 
 def permuted(spark, folder):
     rows = pm.rows(spark, folder)
-    forest = mo.CLASSIFIERS["RandomForest"](numTrees=50).fit(mo.train_rows(rows))
+    forest = mo.CLASSIFIERS["RandomForest"]().fit(mo.train_rows(rows))
     return at.permutation_importance(forest, mo.test_rows(rows), COLUMNS, "RetentionLabel")
 
 
-def trials(spark, folder):
-    return cut_lineage(pm.rule_trials(spark, folder))
-
-
 def by_setting(spark, folder):
-    """Mean score per setting value over the models, best five first."""
-    means = trials(spark, folder).groupBy("Minimum").agg(F.avg("MeanScore").alias("MeanScore"))
-    return settled(vi.top_rows(means, "MeanScore", ["Minimum"], 5))
+    """Mean score per setting value, best five first."""
+    means = pm.neighbour_trials(spark, folder).groupBy("k").agg(F.avg("MeanScore").alias("MeanScore"))
+    return settled(vi.top_rows(means, "MeanScore", ["k"], 5))
 
 
 def text_lines(spark, folder):
@@ -185,9 +181,7 @@ QUERIES = {
         )
     ),
     "vue07_top_trials": lambda s, d: settled(
-        vi.top_rows(trials(s, d).where(F.col("Model") == "Recent"), "MeanScore", ["Params"], 10).select(
-            "Model", "Params", "MeanScore", "StdScore"
-        )
+        vi.top_rows(pm.neighbour_trials(s, d).where(F.col("Model") == "KNN"), "MeanScore", ["k"], 5)
     ),
     "vue09_lift_row": lift_row,
     "vue10_column_kinds": lambda s, d: vi.column_kinds(text_lines(s, d)),
@@ -326,11 +320,9 @@ ORACLES = {
         ps.PROFILE,
         ps.NAMED,
     ),
-    "vue07_top_trials": with_tables(
-        "features",
-        f"""select Model, Params, {ra('MeanScore')}, {ra('StdScore')} from (
-              select * from trials where Model = 'Recent' order by MeanScore desc, Params limit 10)""",
-        pm.TRIALS,
+    "vue07_top_trials": pm.neighbour_trials_sql(
+        f"""select Model, k, {ra('MeanScore')}, {ra('StdScore')} from (
+              select * from trials where Model = 'KNN' order by MeanScore desc, k limit 5)"""
     ),
     "vue09_lift_row": with_tables(
         "scored",
@@ -350,11 +342,9 @@ ORACLES = {
             for c in ("Invoice", "StockCode", "Description", "Country")
         ),
     ),
-    "vue11_score_by_setting": with_tables(
-        "features",
-        f"""select cast(Minimum as int) as Minimum, {ra('MeanScore')} from (
-              select Minimum, avg(MeanScore) as MeanScore from trials group by 1 order by 2 desc, 1 limit 5)""",
-        pm.TRIALS,
+    "vue11_score_by_setting": pm.neighbour_trials_sql(
+        f"""select k, {ra('MeanScore')} from (
+              select k, avg(MeanScore) as MeanScore from trials group by 1 order by 2 desc, 1 limit 5)"""
     ),
     "rep01_best_model_row": pt.week_sql(
         "select * from best_forecast", pt.SPLIT, pt.BASELINES, BEST_FORECAST
