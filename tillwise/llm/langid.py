@@ -16,22 +16,71 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tillwise.functions.lineage import written
+from tillwise.llm.hot import join_by_size
 from tillwise.llm.words import MIX_A, raw_bytes, slices, small
 
 # Parameters. The model is fitted on so many labelled texts of each language, taken by the hash of
 # their id; text evidence counts a trigram as TEMPER of an independent one.
 SAMPLE = 1000
-MAX_LANGUAGES = 50
 FEATURES = 1 << 14
 TEMPER = 0.1
 HOST_WEIGHT, DOMAIN_WEIGHT, MARK_WEIGHT = 5.0, 20.0, 1.0
 
-TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)")
+WORD = re.compile(r"\w")
+ENDINGS = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style")}
+HTML = re.compile(r"(?i)<html\b")
+LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?([a-z]+)")
+
+
+def declared_language(html: str) -> str | None:
+    """The lang attribute of the first html tag that has one. A tag is looked through once."""
+    start = HTML.search(html)
+    while start:
+        end = html.find(">", start.end())
+        found = LANG.search(html, start.end(), end if end >= 0 else len(html))
+        if found or end < 0:
+            return found[1].lower() if found else None
+        start = HTML.search(html, end)
+    return None
+
+
+def visible_text(html: str) -> str:
+    """The page without scripts, styles, comments and tags, each a blank; one pass over it.
+
+    What is never closed is text from its first character on; an end that does not follow one
+    opening follows no later one either, so it is looked for once.
+    """
+    pieces: list[str] = []
+    missing: set[str] = set()
+    kept, at = 0, html.find("<")
+    while at >= 0:
+        end = -1
+        for name, ending in ENDINGS.items():
+            after = at + 1 + len(name)
+            if name in missing or html[at + 1 : after].lower() != name or WORD.match(html, after):
+                continue
+            closed = ending.search(html, after)
+            end = closed.end() if closed else -1
+            if not closed:
+                missing.add(name)
+        if end < 0 and "comment" not in missing and html.startswith("<!--", at):
+            end = html.find("-->", at + 4) + 3
+            if end < 3:
+                missing.add("comment")
+                end = -1
+        if end < 0:
+            end = html.find(">", at) + 1
+            if not end:
+                break
+        pieces += (html[kept:at], " ")
+        kept = end
+        at = html.find("<", end)
+    return "".join([*pieces, html[kept:]])
 
 
 def trigram_slots(data: np.ndarray) -> np.ndarray:
@@ -69,23 +118,17 @@ def trigram_counts(labelled: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and the log probability of each feature under each of them.
 
-    From at most ``sample`` rows of (doc_id, text, lang) per language, the least hashes of the id;
-    rows without a language are not labelled. At most ``MAX_LANGUAGES`` languages are taken.
+    From at most ``sample`` rows of (doc_id, text, lang) per language, the least hashes of the id
+    (ties by id and text), in one pass; rows without a language are not labelled.
     """
-    known = docs.where("lang is not null")
-    langs = sorted(row["lang"] for row in known.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = [
-        row["doc_id"]
-        for lang in langs
-        for row in known.where(F.col("lang") == lang).select("doc_id").orderBy(*order).limit(sample).collect()
-    ]
+    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    known = docs.select("doc_id", "text", "lang").where("lang is not null").withColumn("_place", F.row_number().over(order))
+    rows = trigram_counts(known.where(F.col("_place") <= sample)).collect()
+    langs = sorted({row["lang"] for row in rows} | {r["lang"] for r in docs.where("lang is not null").select("lang").distinct().collect()})
+    number = {lang: k for k, lang in enumerate(langs)}
     counts = np.full((max(1, len(langs)), FEATURES), 0.5)
-    if ids:
-        for row in trigram_counts(known.where(F.col("doc_id").isin(ids))).collect():
-            counts[langs.index(row["lang"]), row["slot"]] += row["n"]
+    for row in rows:
+        counts[number[row["lang"]], row["slot"]] += row["n"]
     return langs or ["und"], np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
@@ -106,10 +149,9 @@ def text_scores(pages: DataFrame, model: np.ndarray, langs: Sequence[str]) -> Da
             texts: list[str] = []
             for value in batch.column(2):
                 html = value.as_py() or ""
-                found = DECLARED.search(html)
-                mark = found[1].lower() if found else "none"
+                mark = declared_language(html) or "none"
                 marks.append(mark if mark in names or mark == "none" else "other")
-                texts.append(TAGS.sub(" ", html))
+                texts.append(visible_text(html))
             scores: list[list[float]] = []
             for _, piece in slices(pa.array(texts, pa.string())):
                 data, bounds = raw_bytes(piece)
@@ -137,75 +179,83 @@ def address_mark(url: Column, langs: Sequence[str]) -> Column:
     return F.coalesce(*known, F.lit("none"))
 
 
-def normalised(weights: list[Column]) -> list[Column]:
-    """Log weights as probabilities."""
-    top = F.greatest(*weights) if len(weights) > 1 else weights[0]
-    shares = [F.exp(w - top) for w in weights]
-    total = sum(shares[1:], shares[0])
-    return [s / total for s in shares]
+def normalised(logs: Column) -> Column:
+    """An array of log weights as probabilities."""
+    shares = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
+    return F.transform(shares, lambda x: x / F.aggregate(shares, F.lit(0.0), lambda a, b: a + b))
 
 
-def mark_likelihoods(pages: DataFrame, mark: str, langs: Sequence[str]) -> dict[str, list[float]]:
-    """log P(mark | language), counted over all pages by their text posteriors; a few marks only."""
-    sums = pages.groupBy(mark).agg(*[F.sum(f"p{k}").alias(f"p{k}") for k in range(len(langs))]).collect()
-    seen = {row[mark]: [row[f"p{k}"] for k in range(len(langs))] for row in sums}
+def summed(pages: DataFrame, key: str) -> DataFrame:
+    """(key, sums, n): the text posteriors ``p`` of a key's pages, added up per language."""
+    each = pages.select(key, F.posexplode("p").alias("k", "share")).groupBy(key, "k").agg(
+        F.sum("share").alias("share"), F.count(F.lit(1)).alias("n")
+    )
+    sums = F.transform(F.array_sort(F.collect_list(F.struct("k", "share"))), lambda x: x["share"])
+    return each.groupBy(key).agg(sums.alias("sums"), F.max("n").alias("n"))
+
+
+def mark_likelihoods(pages: DataFrame, mark: str, langs: Sequence[str]) -> DataFrame:
+    """(mark, logs): log P(mark | language) from the text posteriors of all pages.
+
+    A mark is a language or one of two other words, so there are few.
+    """
+    seen = {row[mark]: row["sums"] for row in summed(pages, mark).collect()}
     totals = [sum(held[k] for held in seen.values()) for k in range(len(langs))]
     weight = MARK_WEIGHT * len(seen)
-    return {
-        value: [math.log((held[k] + MARK_WEIGHT) / (totals[k] + weight)) for k in range(len(langs))]
-        for value, held in seen.items()
-    }
+    logs = [
+        (value, [math.log((held[k] + MARK_WEIGHT) / (totals[k] + weight)) for k in range(len(langs))])
+        for value, held in sorted(seen.items())
+    ]
+    return pages.sparkSession.createDataFrame(logs, f"{mark} string, {mark}_logs array<double>")
 
 
-def looked_up(mark: str, table: dict[str, list[float]], k: int) -> Column:
-    pairs = [F.lit(x) for value, logs in sorted(table.items()) for x in (value, logs[k])]
-    return F.create_map(*pairs)[F.col(mark)] if pairs else F.lit(0.0)
+def leading(shares: Column, langs: Sequence[str]) -> Column:
+    """The language of the largest share; of equal ones the later name."""
+    named = F.zip_with(shares, F.lit(list(langs)), lambda s, lang: F.struct(s.alias("share"), lang.alias("lang")))
+    return F.array_max(named)["lang"]
 
 
 def fuse(scored: DataFrame, langs: Sequence[str]) -> DataFrame:
     """(page_id, host, declared, address, text_lang, lang, confidence) from ``text_scores``."""
-    n = range(len(langs))
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, "://([^/?#]*)", 1))
     marked = scored.withColumns({"host": host, "address": address_mark(url, langs)})
     domain = F.substring_index(F.regexp_replace("host", ":[0-9]*$", ""), ".", -2)
-    text = normalised([F.element_at("scores", k + 1) * TEMPER for k in n])
-    pages = written(marked.withColumn("domain", domain).withColumns({f"p{k}": text[k] for k in n}))
-    declared, address = (mark_likelihoods(pages, mark, langs) for mark in ("declared", "address"))
-    count = F.count(F.lit(1)).cast("double")
-    totals = pages.agg(*[F.coalesce(F.sum(f"p{k}"), F.lit(0.0)) for k in n], count).first()
-    domains = pages.groupBy("domain").agg(*[F.sum(f"p{k}").alias(f"dom{k}") for k in n], count.alias("dom_n"))
-    hosts = pages.groupBy("host").agg(*[F.sum(f"p{k}").alias(f"host{k}") for k in n], count.alias("host_n"))
-    joined = pages.join(hosts, "host").join(domains, "domain")
-
-    def prior(k: int) -> Column:
-        own = F.col(f"p{k}")
-        every = (F.lit(totals[k]) - own + 1) / F.lit(totals[len(langs)] - 1 + len(langs))
-        wide = (F.col(f"dom{k}") - own + DOMAIN_WEIGHT * every) / (F.col("dom_n") - 1 + DOMAIN_WEIGHT)
-        near = (F.col(f"host{k}") - own + HOST_WEIGHT * wide) / (F.col("host_n") - 1 + HOST_WEIGHT)
-        return F.log(F.greatest(near, F.lit(1e-9)))
-
-    evidence = [
-        prior(k)
-        + F.element_at("scores", k + 1) * TEMPER
-        + looked_up("declared", declared, k)
-        + looked_up("address", address, k)
-        for k in n
-    ]
-    weighed = joined.withColumns({f"e{k}": evidence[k] for k in n})
-    shares = normalised([F.col(f"e{k}") for k in n])
-    best = F.greatest(*shares) if len(langs) > 1 else shares[0]
-    top = lambda columns: F.array_max(  # noqa: E731  ties go to the later name
-        F.array(*[F.struct(c.alias("share"), F.lit(lang).alias("lang")) for c, lang in zip(columns, langs, strict=True)])
-    )["lang"]
+    tempered = marked.withColumn("text_logs", F.transform("scores", lambda x: x * TEMPER))
+    pages = written(
+        tempered.withColumns({"domain": domain, "p": normalised(F.col("text_logs"))}).drop("scores", "url")
+    )
+    marks = [mark_likelihoods(pages, mark, langs) for mark in ("declared", "address")]
+    whole = summed(pages.withColumn("all", F.lit(0)), "all").first()
+    totals, count = (whole["sums"], whole["n"]) if whole else ([0.0] * len(langs), 0)
+    hosts = written(summed(pages, "host").withColumnsRenamed({"sums": "host_sums", "n": "host_n"}))
+    domains = written(summed(pages, "domain").withColumnsRenamed({"sums": "domain_sums", "n": "domain_n"}))
+    placed = written(join_by_size(pages, hosts, ["host"], F.col("host_n"), count))
+    joined = join_by_size(placed, domains, ["domain"], F.col("domain_n"), count)
+    for side, name in zip(marks, ("declared", "address"), strict=True):
+        joined = joined.join(F.broadcast(side), name)
+
+    def smoothed(total: Column, own: Column, rows: Column, wider: Column, weight: float) -> Column:
+        return (total - own + weight * wider) / (rows - 1 + weight)
+
+    each = F.arrays_zip("p", F.lit(totals).alias("totals"), "host_sums", "domain_sums", "text_logs", "declared_logs", "address_logs")
+
+    def evidence(x: Column) -> Column:
+        own = x["p"]
+        every = (x["totals"] - own + 1) / F.lit(float(count - 1 + len(langs)))
+        wide = smoothed(x["domain_sums"], own, F.col("domain_n"), every, DOMAIN_WEIGHT)
+        near = smoothed(x["host_sums"], own, F.col("host_n"), wide, HOST_WEIGHT)
+        return F.log(F.greatest(near, F.lit(1e-9))) + x["text_logs"] + x["declared_logs"] + x["address_logs"]
+
+    weighed = joined.withColumn("logs", F.transform(each, evidence)).withColumn("shares", normalised(F.col("logs")))
     return weighed.select(
         "page_id",
         "host",
         "declared",
         "address",
-        top([F.col(f"p{k}") for k in n]).alias("text_lang"),
-        top(shares).alias("lang"),
-        best.alias("confidence"),
+        leading(F.col("p"), langs).alias("text_lang"),
+        leading(F.col("shares"), langs).alias("lang"),
+        F.array_max("shares").alias("confidence"),
     )
 
 
@@ -214,8 +264,10 @@ def identify(pages: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Dat
 
     Columns: page_id, host, declared, address, text_lang (text alone), lang (all evidence) and
     confidence. Null and empty pages are judged by the rest of the evidence; a null address has
-    host "" and no mark; repeated rows are judged alike; an empty table gives an empty one.
-    Without any labelled text the only language is "und".
+    host "" and no mark; repeated rows are judged alike; an empty table gives an empty one. Of
+    equally likely languages the later name is taken. Pages are read whole, one at a time, in time
+    in proportion to their length. Other columns are not read, so their names may clash. There may
+    be any number of languages that a list can hold; without any labelled text it is "und".
     """
     langs, model = fit(labelled, sample)
     return fuse(text_scores(pages, model, langs), langs)
