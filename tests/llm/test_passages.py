@@ -4,6 +4,7 @@ import random
 import re
 
 from conftest import prose
+from pyspark.sql import functions as F
 
 from tillwise.llm import passages
 from tillwise.llm.passages import LEAST, cut_passages, passages_stage
@@ -99,9 +100,10 @@ def test_periodic_texts_match_brute_force(spark):
 
 def test_clean_texts_stay_as_they_are(spark):
     line = prose(3, LEAST - 1)  # one word short of a passage, in every text
-    rows = [(k, prose(50 + k, 60) + "\n" + line + "\n" + prose(150 + k, 60)) for k in range(40)]
-    got = cut_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert all(r["cut_words"] == 0 and r["text"] == dict(rows)[r["doc_id"]] for r in got)
+    rows = [(k, own(k, 50 + k, 60) + "\n" + line + "\n" + own(k, 150 + k, 60)) for k in range(40)]
+    found = cut_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    compare(found, rows)
+    assert all(r["cut_words"] == 0 and r["text"] == dict(rows)[r["doc_id"]] for r in found)
 
 
 def test_lines_a_word_short_of_a_passage_stay(spark):
@@ -110,6 +112,34 @@ def test_lines_a_word_short_of_a_passage_stay(spark):
     compare(cut_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
 
 
+def test_neighbours_leave_little_to_the_exact_pass(spark):
+    """Copies and shared lines are settled by comparing neighbours; edits are what stays open."""
+    line = prose(8, 70)
+    rows = [(k, own(k, k, 40) + " " + line + " " + own(k, 500 + k, 40)) for k in range(60)]
+    rows += [(100 + k, prose(9, 400)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kept = passages.suffixes(docs)
+    places = kept.groupBy("doc_id", F.shiftright("place", 32).alias("tag")).agg(
+        F.collect_set(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))).alias("places")
+    )
+    found = passages.packed_texts(docs, "text", "tag").join(places, ["doc_id", "tag"])
+    left = passages.contexts(found).coalesce(1).sortWithinPartitions(*passages.SORTED)
+    result = passages.compared(left)
+    windows = sum(len(re.findall(WORD, text)) - LEAST + 1 for _, text in rows)
+    assert result.where("key is not null").count() < windows / 10
+    compare(cut_passages(docs).collect(), rows)
+
+
+def test_ids_of_text_nulls_among_them_and_a_text_of_some_megabytes(spark):
+    shared = prose(21, 80)
+    long = " ".join(own(k, 600 + k, 3000) for k in range(40)) + " " + shared + " " + own(99, 31, 200_000)
+    assert len(long) > 1_500_000
+    rows = [("b", "x " + shared), (None, shared + " y"), ("a", long), ("b", shared + " another text of the id")]
+    found = cut_passages(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    cut = {(r["doc_id"], r["n_words"]): r["cut_words"] for r in found}
+    assert cut[None, 81] == 0 and sorted(v for k, v in cut.items() if k[0] is not None) == [80, 80, 80]
+
+
 def test_odd_rows_and_stage(spark, odd, clashing, empty):
     found = {(r["doc_id"], r["text"]): r for r in cut_passages(odd).collect()}
     by_id = {}
