@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from math import sqrt
 
+import numpy as np
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
 from tillwise.operators import models as mo
 from tillwise.operators import search as se
+from tillwise.operators import shared_boosting as sb
 from tillwise.plans.inputs import kept_features
 
 FOLDER = "/root/testdata/sf0.001"
@@ -60,8 +66,8 @@ def test_a_whole_forest_votes_as_the_fitted_model(spark):
 
 
 def test_grids_have_the_published_sizes():
-    sizes = {name: len(se.fits(name)) for name in ("LogisticRegression", "LinearSVC", "BoostedTrees")}
-    assert sizes == {"LogisticRegression": 6, "LinearSVC": 3, "BoostedTrees": 12}
+    assert {name: len(se.fits(name)) for name in ("LogisticRegression", "LinearSVC")} == {"LogisticRegression": 6, "LinearSVC": 3}
+    assert len(se.BOOSTING_RATES) * len(se.BOOSTING_DEPTHS) == 12 and se.BOOSTING_ROUNDS == 100
     assert len(se.FOREST_TREES) * len(se.FOREST_DEPTHS) == 12
     assert se.penalty(10.0)(se.Fold(0, None, None, 100)) == {"regParam": 0.001}
 
@@ -75,3 +81,65 @@ def test_one_row_per_setting(spark):
     assert best == {m: max(r["MeanScore"] for r in rows if r["Model"] == m) for m in best}
     flat = se.flat_trials(found).where("Model = 'RandomForest'").collect()
     assert {(r["maxDepth"], r["numTrees"], r["k"]) for r in flat} == {(d, n, None) for d in (3, 5, 10) for n in (50, 100, 200, 300)}
+
+
+def grown_by_hand(bins, labels, model, folds, rounds):
+    """Newton boosting of one model, node by node."""
+    fit, margins = folds != model.fold, np.zeros(len(bins))
+    for _ in range(rounds):
+        chance = 1 / (1 + np.exp(-margins))
+        g, h, step = chance - labels, chance * (1 - chance), np.zeros(len(bins))
+
+        def grow(rows, level):
+            mine = rows & fit
+            whole_g, whole_h = g[mine].sum(), h[mine].sum()
+            step[rows] = -model.rate * whole_g / (whole_h + sb.PENALTY)
+            if level == model.depth or (level and whole_h < 2 * sb.LEAST_HESSIAN):
+                return
+            best = (sb.LEAST_GAIN, None, None)
+            for k in range(bins.shape[1]):
+                for cut in range(sb.BINS - 1):
+                    left = mine & (bins[:, k] <= cut)
+                    lg, lh = g[left].sum(), h[left].sum()
+                    if min(lh, whole_h - lh) < sb.LEAST_HESSIAN:
+                        continue
+                    gain = (lg**2 / (lh + 1) + (whole_g - lg) ** 2 / (whole_h - lh + 1) - whole_g**2 / (whole_h + 1)) / 2
+                    if round(gain, 9) > round(best[0], 9):
+                        best = (gain, k, cut)
+            if best[1] is not None:
+                left = rows & (bins[:, best[1]] <= best[2])
+                grow(left, level + 1)
+                grow(rows & ~left, level + 1)
+
+        grow(np.ones(len(bins), bool), 0)
+        margins += step
+    return margins
+
+
+def test_shared_boosting_equals_models_grown_alone(spark):
+    draw = np.random.default_rng(4)
+    values = draw.normal(size=(160, 4)).round(2)
+    labels = ((values[:, 0] * values[:, 1] + values[:, 2] > 0) ^ (draw.random(160) < 0.1)).astype(int)
+    folds = np.arange(160) % 3
+    rows = [(int(f), int(y), Vectors.dense(v)) for f, y, v in zip(folds, labels, values)] + [(0, None, Vectors.dense([0.0] * 4))]
+    kinds = (("Fold", IntegerType()), ("y", IntegerType()), ("vector", VectorUDT()))
+    frame = spark.createDataFrame(rows, StructType([StructField(*kind) for kind in kinds]))
+    models = [sb.Model(f, rate, depth) for f in range(3) for rate, depth in ((0.1, 2), (0.5, 4))]
+    monkey = sb.ROWS_PER_TASK
+    sb.ROWS_PER_TASK = 50  # several tasks
+    try:
+        found = sb.boosted_margins(frame.repartition(4), F.col("y"), models, 7)
+        counts = sb.held_out_counts(found, models)
+        bins = sb.binned(frame.where("y is not null"), F.col("y"), 1, 4).collect()
+    finally:
+        sb.ROWS_PER_TASK = monkey
+    matrix = np.stack([np.frombuffer(r["bins"], np.uint8) for r in bins])
+    y, fold = np.array([r["label"] for r in bins]), np.array([r["fold"] for r in bins])
+    for k, model in enumerate(models):
+        margins = grown_by_hand(matrix, y, model, fold, 7)
+        held = fold == model.fold
+        decided = margins > 0
+        assert counts[k] == tuple(int((held & a & b).sum()) for a, b in ((y == 1, decided), (y == 0, decided), (y == 1, ~decided)))
+    ours = sorted(np.round(np.concatenate([np.frombuffer(r["margins"], float) for r in found.collect()]), 8).tolist())
+    theirs = np.concatenate([grown_by_hand(matrix, y, m, fold, 7) for m in models])
+    assert np.allclose(ours, np.sort(np.round(theirs, 8)), atol=1e-7)

@@ -2,7 +2,8 @@
 
 A tree cut at a depth is the tree that a fit to that depth grows, so one deep tree per fold answers
 every depth; the first trees of a forest are a smaller forest (another random draw than a fit of
-that size), so one deep forest per fold answers all depths and numbers of trees. Folds are written
+that size), so one deep forest per fold answers all depths and numbers of trees. Boosted models of
+all folds and settings grow in the same passes (``shared_boosting``). Folds are written
 once, gathered into as many tasks as their rows ask for, and fits run side by side. Held-out rows
 are scored where they are: a fit sends counts to the driver, never rows.
 """
@@ -28,6 +29,7 @@ from tillwise.functions.lineage import cut_lineage, ensure_checkpoint_dir
 from tillwise.operators.metrics import confusion_counts
 from tillwise.operators.models import CLASSIFIERS, LABEL, MODEL_FEATURES, train_rows, with_folds
 from tillwise.operators.neighbours import nearest_rows
+from tillwise.operators.shared_boosting import Model, boosted_margins, held_out_counts
 
 # The grids as published. C is the weight of the loss against the penalty.
 LOGISTIC_C = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
@@ -187,18 +189,12 @@ def fits(model: str) -> list[Callable[[Fold], list[Trial]]]:
         return [nested_trees]
     if model == "RandomForest":
         return [nested_forests]
-    if model == "BoostedTrees":
-        return [
-            single_fit(model, {"stepSize": rate, "maxDepth": depth},
-                       lambda fold, r=rate, d=depth: {"stepSize": r, "maxDepth": d, "maxIter": BOOSTING_ROUNDS})
-            for depth in sorted(BOOSTING_DEPTHS, reverse=True) for rate in BOOSTING_RATES
-        ]
     strengths = {"LogisticRegression": LOGISTIC_C, "LinearSVC": SVC_C}[model]
     return [single_fit(model, {"C": c}, penalty(c)) for c in strengths]
 
 
-FITTED = ("BoostedTrees", "RandomForest", "LogisticRegression", "LinearSVC", "DecisionTree")
-MODELS = (*FITTED, "KNN")
+FITTED = ("RandomForest", "LogisticRegression", "LinearSVC", "DecisionTree")
+MODELS = (*FITTED, "BoostedTrees", "KNN")
 
 
 def fresh_folder(df: DataFrame) -> str:
@@ -239,6 +235,18 @@ def neighbour_trials(train: DataFrame, folds: int, counts: Sequence[int] = NEIGH
     ]
 
 
+def boosted_trials(train: DataFrame, folds: int, rounds: int = BOOSTING_ROUNDS) -> list[Trial]:
+    """Fold counts of the boosted classifiers; all settings and folds grow in shared passes."""
+    settings = [(fold, rate, depth) for fold in range(folds) for rate in BOOSTING_RATES for depth in BOOSTING_DEPTHS]
+    models = [Model(*setting) for setting in settings]
+    found = held_out_counts(boosted_margins(with_folds(train, folds), F.col(LABEL), models, rounds), models)
+    return [
+        Trial("BoostedTrees", (("maxDepth", str(m.depth)), ("stepSize", str(m.rate))), m.fold, *found[k])
+        for k, m in enumerate(models)
+        if k in found
+    ]
+
+
 def classifier_search(rows: DataFrame, folds: int = FOLDS, models: Sequence[str] = MODELS) -> DataFrame:
     """The published grids of the models named, by the mean and deviation of the F1 of the positive class.
 
@@ -246,6 +254,7 @@ def classifier_search(rows: DataFrame, folds: int = FOLDS, models: Sequence[str]
     """
     train = train_rows(rows)
     trials = neighbour_trials(train, folds) if "KNN" in models else []
+    trials += boosted_trials(train, folds) if "BoostedTrees" in models else []
     fitted = [name for name in FITTED if name in models]
     if fitted:
         parts = fold_parts(train, folds)
