@@ -31,7 +31,7 @@ def brute(url):
 
 def test_host_rules_match_brute_force(spark):
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
-    blocked = {"http://x.test/casino/1", "http://x.test/wp-login.php", "http://x.test/?sessionid=3", "http://x.xxx", URLS[-1]}
+    blocked = {"http://x.test/casino/1", "http://x.test/casinos/1", "http://x.test/wp-login.php", "http://x.test/?sessionid=3", "http://x.xxx", URLS[-1]}
     for row in filter_urls(pages).collect():
         host, path, rule, verdict = brute(row["url"])
         assert (row["host"], row["path"], row["rule"]) == (host, path, rule), row["url"]
@@ -58,3 +58,31 @@ def test_empty_table_and_clashing_columns(spark):
     out = filter_urls(pages)
     assert out.count() == 0 and out.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
     assert filter_urls(pages, (), ()).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("url", "is_blocked"),
+    [
+        ("http://h.com/casino", True), ("/casino?x=1", True), ("http://h.com/a/POKER#a", True), ("http://h.com/mycasino/", False),
+        ("http://h.com/casinoroyale", False), ("http://casino.h.com", True), ("http://h.com/free-bets-today", True),
+        ("http://h.com/free/bets", True), ("http://h.com/bets/free", False), ("http://h.com/?q=cheap+pills", True),
+        ("http://h.com/cheap/red/pills", False), ("http://h.com/wp-login.php", True), ("http://h.com/wp-login.phps", False),
+    ],
+)
+def test_patterns_see_whole_words_wherever_they_end(spark, url, is_blocked):
+    row = filter_urls(spark.createDataFrame([(url,)], "url string"), ()).first()
+    assert row["verdict"] == ("block" if is_blocked else "allow")
+
+
+def test_a_long_rule_list_is_a_table_with_the_same_verdicts(spark, monkeypatch):
+    from tillwise.llm import urls as module
+
+    pages = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(URLS * 3)], "page_id long, url string, _judged_url string, _best string")
+    planned = {(r["page_id"], *r) for r in filter_urls(pages).collect()}
+    hosts = [*module.HOST_RULES, *(HostRule("block", f"h{k}.example.invalid") for k in range(30_000))]
+    pages = pages.unionByName(spark.createDataFrame([(900, "https://www.h29999.example.invalid/a", "x", "y")], pages.schema))
+    rows = {(r["page_id"], *r) for r in filter_urls(pages, hosts).collect()}
+    assert {r for r in rows if r[0] != 900} == planned
+    assert next(r for r in rows if r[0] == 900)[-2:] == ("h29999.example.invalid/", "block")
+    monkeypatch.setattr(module, "PLAN_RULES", 0)
+    assert {(r["page_id"], *r) for r in filter_urls(pages.where("page_id < 900")).collect()} == planned

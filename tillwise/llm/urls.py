@@ -3,7 +3,8 @@
 Every rule is a regular expression with literal tokens that any URL it matches must contain. A
 rule is filed under its rarest token, counted over the URLs at hand; a URL fetches the rules
 filed under its own tokens and only those run. Everything is a DataFrame expression: one pass
-counts the rules' tokens, one judges the URLs without a shuffle.
+counts the rules' tokens, one judges the URLs without a shuffle. A rule list of hundreds of
+thousands is a table instead: the tokens of each distinct URL are joined with the rules' tokens.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwise.llm.quality import free_prefix
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules travel inside the plan; more than this are refused (their size must stay bounded).
-MAX_RULES = 20_000
+#: So many rules travel inside the plan at most; more of them are a table that URL tokens are joined with.
+PLAN_RULES = 2_000
 
 
 class HostRule(NamedTuple):
@@ -44,20 +47,30 @@ HOST_RULES = (
     HostRule("allow", "org", "/fr/"),
 )
 # Parameter: what is blocked where no host rule fits. The expressions see the URL with A-Z lower-cased.
+# Words of general block lists (gambling, betting, pills, adult, piracy), whole words of a URL.
+WORDS = """
+casino casinos poker roulette blackjack jackpot baccarat sportsbook sportsbooks bookmaker bookmakers
+viagra cialis levitra kamagra tramadol xanax
+porn porno pornos hentai camgirls escorts milf milfs
+torrent torrents warez keygen keygens
+""".split()
+#: Two words next to each other, with any separators between them.
+PHRASES = (
+    ("free", "bet"), ("free", "bets"), ("bonus", "bets"), ("sports", "betting"), ("online", "slots"), ("free", "spins"),
+    ("cheap", "pills"), ("diet", "pills"), ("buy", "pills"), ("cheap", "meds"), ("payday", "loans"), ("replica", "watches"),
+)
+EDGE, LAST = r"(^|[^a-z0-9])", r"([^a-z0-9]|\z)"
 PATTERNS = (
-    Pattern(("casino",), r"[/.\-_]casino[/.\-_]"),
-    Pattern(("poker",), r"[/.\-_]poker[/.\-_]"),
-    Pattern(("torrent",), r"[/.\-_]torrent[/.\-_]"),
-    Pattern(("warez",), r"[/.\-_]warez[/.\-_]"),
-    Pattern(("porn",), r"[/.\-_]porn[/.\-_]"),
-    Pattern(("xxx",), r"://([^/?#]*\.)?xxx[.:/?#]|\.xxx([:/?#]|\z)"),
+    *(Pattern((word,), EDGE + word + LAST) for word in WORDS),
+    *(Pattern(pair, EDGE + "[^a-z0-9]+".join(pair) + LAST) for pair in PHRASES),
+    Pattern(("xxx",), r"://([^/?#]*\.)?xxx([.:/?#]|\z)"),
     Pattern(("wp", "login", "php"), r"/wp-login\.php([?#]|\z)"),
-    Pattern(("cgi", "bin"), r"/cgi-bin/"),
+    Pattern(("cgi", "bin"), r"/cgi-bin(/|\z)"),
     Pattern(("sessionid",), r"[?&;]sessionid="),
     Pattern(("phpsessid",), r"[?&;]phpsessid="),
     Pattern(("jsessionid",), r"[?&;]jsessionid="),
-    Pattern(("adclick",), r"[/?&]adclick[/=?.]"),
-    Pattern(("doubleclick", "net"), r"://([^/?#]*\.)?doubleclick\.net[:/?#]"),
+    Pattern(("adclick",), EDGE + "adclick" + LAST),
+    Pattern(("doubleclick", "net"), r"://([^/?#]*\.)?doubleclick\.net([:/?#]|\z)"),
 )
 TOKEN = "[^a-z0-9]+"
 
@@ -96,8 +109,6 @@ def compiled(host_rules: Sequence[HostRule], patterns: Sequence[Pattern]) -> lis
         rules.append(Rule(tuple(tokens), regex, "place", len(name), name, rule.verdict))
     for pattern in patterns:
         rules.append(Rule(pattern.tokens, pattern.regex, "url", 0, "", "block"))
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are taken")
     if bare := [rule for rule in rules if not rule.tokens]:
         raise ValueError(f"rules without a literal token: {bare}")
     return rules
@@ -107,6 +118,13 @@ def lowered(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
+def parts_of(address: Column) -> dict[str, Column]:
+    return {
+        "host": lowered(F.regexp_extract(address, "://([^/?#]*)", 1)),
+        "path": F.regexp_extract(address, "://[^/?#]*([^?#]*)", 1),
+    }
+
+
 def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.split(lowered(F.coalesce(url, F.lit(""))), TOKEN))
 
@@ -146,6 +164,28 @@ def fetched_rules(tokens: Column, filed: dict[str, list[Rule]]) -> Column:
     return F.flatten(F.filter(found, lambda rules: rules.isNotNull()))
 
 
+def best_match(matching: DataFrame) -> DataFrame:
+    """(_url, _best): the match that decides, of (_url, rank, verdict, name)."""
+    return matching.groupBy("_url").agg(F.max(F.struct("rank", "verdict", "name")).alias("_best"))
+
+
+def judged_by_table(urls: DataFrame, place: Column, rules: Sequence[Rule]) -> DataFrame:
+    """(_url, _best) of the distinct URLs (_url) that any rule matches; ``place`` is host and path of a URL."""
+    spark = urls.sparkSession
+    table = spark.createDataFrame(
+        [(k, r.regex, r.subject == "place", r.rank, r.name, r.verdict) for k, r in enumerate(rules)],
+        "number int, regex string, is_place boolean, rank int, name string, verdict string",
+    )
+    tokens = spark.createDataFrame([(k, t) for k, r in enumerate(rules) for t in set(r.tokens)], "number int, token string")
+    exploded = urls.select("_url", F.explode(url_tokens(F.col("_url"))).alias("token"))
+    met = exploded.join(tokens.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    rarest = F.struct(F.coalesce("count", F.lit(0)), "token")
+    filed = tokens.join(met, "token", "left").groupBy("number").agg(F.min_by("token", rarest).alias("token"))
+    fetched = exploded.join(filed.join(table, "number"), "token")
+    subject = F.when(F.col("is_place"), place).otherwise(lowered(F.col("_url")))
+    return best_match(fetched.where(F.rlike(subject, F.col("regex"))))
+
+
 def filter_urls(
     pages: DataFrame,
     host_rules: Sequence[HostRule] = HOST_RULES,
@@ -157,33 +197,38 @@ def filter_urls(
 
     The longest host rule that fits decides, at equal length "block" before "allow"; else any
     pattern that matches blocks; else the default holds. A null URL, and one without "://", has
-    empty host and path; patterns are run on what there is. Repeated rows are judged alike.
+    empty host and path; patterns are run on what there is. Repeated rows are judged alike. URLs of
+    any length are judged whole. Any number of rules is taken; a long list is joined, not planned.
     """
     rules = compiled(host_rules, patterns)
     address = F.coalesce(F.col(f"`{url}`"), F.lit(""))
-    parts = {
-        "host": lowered(F.regexp_extract(address, "://([^/?#]*)", 1)),
-        "path": F.regexp_extract(address, "://[^/?#]*([^?#]*)", 1),
-    }
+    parts, own = parts_of(address), free_prefix(pages.columns, "_judged_")
     base = pages.select(*[f"`{c}`" for c in pages.columns if c not in ("host", "path", "rule", "verdict")])
     if not rules:
         return base.withColumns(parts | {"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    tokens = sorted({token for rule in rules for token in rule.tokens})
-    counts = token_counts(pages, url, tokens)
-    fetched = fetched_rules(url_tokens(address), rules_by_token(rules, counts))
-    place, whole = F.concat(*parts.values()), lowered(address)
-    matching = F.filter(fetched, lambda r: F.rlike(F.when(r["place"], place).otherwise(whole), r["regex"]))
-    best = F.array_max(
-        F.transform(
-            matching,
-            lambda r: F.struct(r["rank"].alias("rank"), r["verdict"].alias("verdict"), r["name"].alias("name")),
+    if len(rules) > PLAN_RULES:
+        urls = pages.select(address.alias("_url")).distinct()
+        found = judged_by_table(urls, F.concat(*parts_of(F.col("_url")).values()), rules)
+        found = found.withColumnsRenamed({"_url": own + "url", "_best": own + "best"})
+        judged = base.withColumns(parts | {own + "url": address}).join(found, own + "url", "left").drop(own + "url")
+    else:
+        tokens = sorted({token for rule in rules for token in rule.tokens})
+        counts = token_counts(pages, url, tokens)
+        fetched = fetched_rules(url_tokens(address), rules_by_token(rules, counts))
+        place, whole = F.concat(*parts.values()), lowered(address)
+        matching = F.filter(fetched, lambda r: F.rlike(F.when(r["place"], place).otherwise(whole), r["regex"]))
+        best = F.array_max(
+            F.transform(
+                matching,
+                lambda r: F.struct(r["rank"].alias("rank"), r["verdict"].alias("verdict"), r["name"].alias("name")),
+            )
         )
-    )
-    return base.withColumns(parts | {"_best": best}).select(
+        judged = base.withColumns(parts | {own + "best": best})
+    return judged.select(
         "*",
-        F.when(F.col("_best.rank") > 0, F.col("_best.name")).alias("rule"),
-        F.coalesce("_best.verdict", F.lit(default)).alias("verdict"),
-    ).drop("_best")
+        F.when(F.col(own + "best.rank") > 0, F.col(own + "best.name")).alias("rule"),
+        F.coalesce(own + "best.verdict", F.lit(default)).alias("verdict"),
+    ).drop(own + "best")
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
