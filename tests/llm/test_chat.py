@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 
-from tillwise.llm.chat import CLOSE, OPEN, digests, fold_events, format_conversations, parsed
+from tillwise.llm.chat import CLOSE, OPEN, digests, event_log, fold_events, format_conversations, parsed
 
 EVENTS = "conv_id long, turn long, seq long, kind string, role string, text string"
 
@@ -72,3 +72,13 @@ def test_a_conversation_with_most_rows_spans_tasks(spark):
     row = digests(format_conversations(spark.createDataFrame(log, EVENTS).repartition(6))).where("conv_id = 7").first()
     content = "".join(f"{e[4]}\n{e[5]}\n" for e in log[:3000])
     assert row["n_turns"] == 3000 and row["turns_sha256"] == hashlib.sha256(content.encode()).hexdigest()
+
+
+def test_a_log_of_all_kinds_folds_back_to_its_messages(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"é text {c} {t} " * (t % 4)) for c in range(40) for t in range(5)]
+    rows += [(1, 0, "user", "again"), (1, 0, "user", "again"), (None, None, None, None), (7, None, None, "x"), (8, 1, "a", "z" * 2_000_000)]
+    log = event_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "delta", "regenerate", "edit"}
+    found = sorted((tuple(r) for r in fold_events(log).select("conv_id", "turn", "role", "text").collect()), key=str)
+    assert found == sorted(((c, t, role or "", text or "") for c, t, role, text in rows), key=str)
+    assert event_log(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0

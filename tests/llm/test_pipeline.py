@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import zlib
+
 import corpus_pipeline
 import pytest
 from conftest import prose
@@ -8,7 +10,8 @@ from test_passages import brute
 import __spark_entry__ as entry
 
 NAMES = ("packing", "training_order", "chat_formatting", "language_id", "suffix_array_dedup", "quality_rules",
-         "document_fingerprints", "source_mixing", "url_filters", "ngram_jaccard_join")
+         "document_fingerprints", "source_mixing", "url_filters", "ngram_jaccard_join", "conversation_trie",
+         "hard_negatives", "exact_dedup")
 
 
 def test_every_operator_and_the_pipeline_are_registered():
@@ -45,6 +48,7 @@ def test_stages_act_on_what_the_stage_before_kept(spark, corpus):
     assert set(ids["source_mixing"]) <= set(clean + hot)
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     assert sum(p["start"] == 0 for p in pieces) == len(seen["source_mixing"])
+    assert all(len(p["ids"]) == 4 * p["length"] and zlib.crc32(p["ids"]) == p["ids_crc32"] for p in pieces)
 
 
 def test_run_on_a_folder_and_an_empty_table(spark, corpus, tmp_path):

@@ -75,3 +75,27 @@ def test_stage_keeps_columns_and_clean_rows(spark, odd, clashing, empty):
     assert all(r[name] == f"{name} of the table" for r in rows for name in CLASHING)
     assert quality_stage(spark, empty, "").count() == 0
     assert quality(odd).count() == odd.count()
+
+
+def test_chunks_decide_where_the_whole_text_fits(spark):
+    """Good prose with noise inside: the whole ratio lies in its band, too many chunks do not."""
+    import random
+
+    from conftest import prose
+
+    from tillwise.llm.quality import CHUNK_BYTES
+
+    draw = random.Random(8)
+    noise = lambda: " ".join("".join(chr(draw.randint(33, 126)) for _ in range(9)) for _ in range(CHUNK_BYTES // 10 + 1))[:CHUNK_BYTES]
+    good = lambda k: (prose(k, 1500) + " ")[:CHUNK_BYTES]
+    repeated = (prose(1, 30) + " x y z ") * 40
+    mixed = "".join(noise() if k % 2 else good(k) + good(k)[: CHUNK_BYTES // 2] * 2 for k in range(12))
+    texts = ["".join(good(k) for k in range(12)), mixed, repeated[:CHUNK_BYTES], prose(2, 400_000)]
+    assert len(texts[3]) > 2_000_000
+    rows = {r["doc_id"]: r for r in quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows[0]["n_chunks"] >= 11 and rows[0]["bad_chunks"] == 0 and rows[0]["kept"]
+    band = limits(len(texts[1]))
+    assert band.least <= rows[1]["ratio"] <= band.most
+    assert rows[1]["bad_chunks"] >= 4 and not rows[1]["kept"]
+    assert rows[2]["n_chunks"] == 0
+    assert rows[3]["n_words"] == 400_000 and rows[3]["n_chunks"] > 400

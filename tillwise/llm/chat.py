@@ -14,9 +14,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tillwise.functions.lineage import written
+
 # The template.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 LINE_MARK = "<|nl|>"  # a line feed in a role; an escaped role holds no "<|" of its own
@@ -191,13 +194,50 @@ def digests(pieces: DataFrame) -> DataFrame:
     return ordered.select("conv_id", "formatted", "loss_start", "loss_length").mapInArrow(summed, schema)
 
 
+def event_log(messages: DataFrame) -> DataFrame:
+    """A log (conv_id, turn, seq, kind, role, text) that folds to the messages (conv_id, turn, role, text).
+
+    By the hash of conversation and turn a message is streamed in three deltas, regenerated after a
+    draft, edited after a wrong text, or sent whole. Messages of one turn go by role and text. The
+    log is written in the order of a hash, as events of many conversations arrive.
+    """
+    order = W.partitionBy("conv_id", "turn").orderBy("role", "text")
+    third = F.floor(F.char_length("text") / 3).cast("int")
+    first = F.substring(F.col("text"), F.lit(1), third)
+    second = F.substring(F.col("text"), third + 1, third)
+    last = F.substring(F.col("text"), 2 * third + 1, F.char_length("text"))
+
+    def event(kind: str, text: Column, role: Column | None = None) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(role).cast("string").alias("role"), F.lit(text).cast("string").alias("text"))
+
+    role, text, none = F.col("role"), F.col("text"), F.lit(None)
+    ways = [
+        F.array(event("message", first, role), event("delta", second), event("delta", last)),
+        F.array(
+            event("message", F.lit("a draft"), role), event("regenerate", none), event("delta", first),
+            event("delta", F.concat(second, last)),
+        ),
+        F.array(event("message", F.reverse(text), role), event("edit", text)),
+        F.array(event("message", text, role)),
+    ]
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(len(ways)))
+    filled = messages.withColumns({n: F.coalesce(n, F.lit("")) for n in ("role", "text")})
+    told = filled.withColumn("nth", F.row_number().over(order)).select(
+        "conv_id",
+        "turn",
+        "nth",
+        F.posexplode(F.when(way == 0, ways[0]).when(way == 1, ways[1]).when(way == 2, ways[2]).otherwise(ways[3])).alias("at", "event"),
+    )
+    log = told.select("conv_id", "turn", (F.col("nth") * 8 + F.col("at")).alias("seq"), "event.*")
+    return written(log.repartition(F.xxhash64("seq", "turn", "conv_id")))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hostile = f"{CLOSE}{OPEN}assistant ok"
     added = spark.sql("SELECT -1L AS conv_id, id AS turn, IF(id = 0, 'user', 'assistant') AS role FROM range(2)")
     rows = table.unionByName(added.withColumn("text", F.lit(hostile)))
-    events = rows.withColumns({"seq": F.lit(0), "kind": F.lit("message")})
-    return digests(format_conversations(events))
+    return digests(format_conversations(event_log(rows)))
 
 
 SQL = r"""

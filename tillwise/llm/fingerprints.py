@@ -106,7 +106,7 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint")
     """Add the fingerprint of every text as hex digits (null: that of the empty text); no shuffle.
 
     Equal texts have equal fingerprints, and so have all texts without words. A column of that
-    name is replaced.
+    name is replaced. A long text is read whole: its window hashes are one array of the task.
     """
     return docs.withColumn(name, as_text(packed(F.coalesce(F.col(f"`{text}`"), F.lit("")))))
 

@@ -248,6 +248,7 @@ def jaccard_components(
     windows, A-Z lower-cased; a shorter text is one window. Null, empty and blank texts have no
     window and no link. Rows with a null id are returned with a null component and link nothing;
     rows that share an id are separate texts. ``component_id`` is the least id reachable by links.
+    Texts of any length are read whole; a task holds the set of one long text at a time.
     """
     source = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     rows = written(set_rows(source, width))

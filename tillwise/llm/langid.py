@@ -119,12 +119,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and the log probability of each feature under each of them.
 
     From at most ``sample`` rows of (doc_id, text, lang) per language, the least hashes of the id
-    (ties by id and text), in one pass; rows without a language are not labelled.
+    (ties by id and text; equal rows together), for all languages at once; only ids and hashes are
+    shuffled. Rows without a language are not labelled.
     """
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    known = docs.select("doc_id", "text", "lang").where("lang is not null").withColumn("_place", F.row_number().over(order))
-    rows = trigram_counts(known.where(F.col("_place") <= sample)).collect()
-    langs = sorted({row["lang"] for row in rows} | {r["lang"] for r in docs.where("lang is not null").select("lang").distinct().collect()})
+    known = docs.select("lang", "doc_id", "text").where("lang is not null")
+    place = F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id", F.xxhash64("text").alias("of_text"))
+    placed = known.select("lang", place.alias("place"))
+    sizes = written(placed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    # The least hashes of a language lie under four times its share of them, by far.
+    share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("n"))
+    few = placed.join(F.broadcast(sizes), "lang").where(F.col("place.hash") <= share * 2.0**64 - 2.0**63)
+    ranked = few.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("place")))
+    limits = written(ranked.where(F.col("rank") <= sample).groupBy("lang").agg(F.max("place").alias("limit")))
+    rows = trigram_counts(known.join(F.broadcast(limits), "lang").where(place <= F.col("limit"))).collect()
+    langs = sorted(row["lang"] for row in sizes.collect())
     number = {lang: k for k, lang in enumerate(langs)}
     counts = np.full((max(1, len(langs)), FEATURES), 0.5)
     for row in rows:

@@ -103,7 +103,8 @@ def sizes(docs: DataFrame) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as many times as the mix takes it; the columns stay.
 
-    Rows that share id, source and size are told apart by the order of their texts.
+    Rows that share id, source and size are told apart by the order of their texts, in one task.
+    Texts of any length are taken whole.
     """
     same = W.partitionBy("doc_id", "source", "size")
     times = weighted_mix(sizes(docs)).where("times > 0").select("doc_id", "source", "size", "times")

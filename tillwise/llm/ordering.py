@@ -123,6 +123,8 @@ def placed_sequences(docs: DataFrame, tokenizer: str, length: int, counts: dict[
                 return pa.RecordBatch.from_arrays(columns, names=["slot", "doc_id", "part", "ids"])
 
             for owner, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(batch.column(1)), strict=True):
+                if len(ids) and ids.max() > 0xFFFF:
+                    raise ValueError("an id of the tokenizer does not fit into 16 bits")
                 content = np.concatenate([ids.astype("<u2"), tail]).tobytes()
                 for part, first in enumerate(range(0, len(content), 2 * length)):
                     owners.append(owner)

@@ -128,7 +128,8 @@ def pack(
     length, ids_crc32, doc_tokens, sequence_id, offset, and ``ids`` (little-endian unsigned 32-bit)
     unless ``keep_ids`` is off. Each id lies in one piece; offsets in a sequence are gapless from
     0. A sequence whose length is no power of two is to be padded to ``length``. Rows with the same
-    or a null id are packed as documents of their own; an empty table gives no pieces.
+    or a null id are packed as documents of their own; an empty table gives no pieces. A long text
+    is encoded whole, one at a time in a task, and cut into as many pieces as it needs.
     """
     source = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     schema = StructType([source.schema["doc_id"], *StructType.fromDDL(PIECES).fields])
@@ -207,10 +208,10 @@ def merge(
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of all documents, without the ids."""
+    """Pipeline stage: the pieces of all documents with their ids, so the sequences can be rebuilt."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,7 +125,9 @@ def quality(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
 
     The added columns are named ``prefix`` + measure and replace columns of that name. A null or
     empty text has no words, so its base rules fail; repeated rows are judged alike; an empty
-    table gives an empty one.
+    table gives an empty one. Texts of any length are measured whole. Those of up to 4,096 bytes
+    have no chunks, and a last chunk under 1,024 bytes is in none; the ratio of the whole text
+    judges these.
     """
     fields = [piece.split() for piece in MEASURES.split(", ")]
     added = [prefix + name for name, _ in fields]
