@@ -49,6 +49,36 @@ def test_quantiles(skewed):
         assert [row["a"], row["b"], row["c"]] == pytest.approx(list(values.quantile([0.25, 0.5, 0.99])))
 
 
+@pytest.mark.parametrize("sketch", [10_000, 40])
+def test_quantiles_inside_brackets(spark, monkeypatch, sketch):
+    """Large groups: only the rows inside a bracket are sorted; a third share one value, some are null."""
+    monkeypatch.setattr(rk, "FEW_ROWS", 300)
+    monkeypatch.setattr(rk, "SKETCH", sketch)
+    rng = np.random.default_rng(3)
+    n = 9000
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, n), "v": rng.gamma(1.2, 50, n), "w": rng.integers(0, 9, n).astype(float)})
+    pdf.loc[rng.random(n) < 0.33, "v"] = 12.5
+    pdf.loc[pdf["g"] == 2, "g"] = np.where(rng.random((pdf["g"] == 2).sum()) < 0.05, 2, 1)
+    df = spark.createDataFrame(pdf).withColumn("v", F.when(F.col("w") != 4, F.col("v"))).repartition(7)
+    pdf.loc[pdf["w"] == 4, "v"] = np.nan
+    shares = {"least": 0.0, "a": 0.01, "b": 0.25, "c": 0.5, "d": 0.999, "most": 1.0}
+    for row in rk.exact_quantiles(df, ["v", "w"], shares, ["g"]).collect():
+        values = pdf.loc[pdf["g"] == row["g"], row["Measure"]].dropna()
+        assert row["Rows"] == len(values)
+        assert [row[k] for k in shares] == pytest.approx(list(values.quantile(list(shares.values()))))
+    whole = {r["Measure"]: r["c"] for r in rk.exact_quantiles(df, ["v", "w"], shares).collect()}
+    assert whole == pytest.approx({c: pdf[c].median() for c in ("v", "w")})
+    assert rk.exact_quantiles(df.where("g > 9"), ["v"], shares).count() == 0
+
+
+def test_a_rank_outside_its_bracket_is_found_by_sorting(spark, monkeypatch):
+    monkeypatch.setattr(rk, "FEW_ROWS", 10)
+    wrong = F.array(F.lit(-1.0), F.lit(-1.0))
+    monkeypatch.setattr(rk.F, "percentile_approx", lambda *_: F.max(wrong))
+    df = spark.createDataFrame([(float(k),) for k in range(101)], "v double")
+    assert rk.exact_quantiles(df, ["v"], {"m": 0.3}).first()["m"] == 30.0
+
+
 def test_spearman(skewed):
     pdf, df = skewed
     want = pdf["Actual"].rank().corr(pdf["Predicted"].rank())

@@ -73,6 +73,12 @@ def average_ranks(df: DataFrame, value: str, name: str, by: Sequence[str] = ())
     return ranked.select(*by, value, "Copies", rank.alias(name))
 
 
+#: Rank error of the sketch that brackets a quantile: one in so many rows.
+SKETCH = 10_000
+#: Groups of fewer rows are selected from as a whole.
+FEW_ROWS = 20_000
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -81,34 +87,76 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles: one row per group and column (``Measure``).
 
-    Rows are counted per value before anything is sorted, so a value held by a third of
-    all rows is one row here.
+    Exact, without a sort of the rows: a sketch brackets every quantile, one pass counts the rows
+    below the bracket and keeps those inside, and only these (a few in ten thousand, counted per
+    value, so that a value held by a third of all rows is one) are sorted. Where a rank lies
+    outside its bracket all rows of the group are sorted.
     """
-    groups = [*by, "Measure"]
-    counts = (
-        unpivot(df, list(by), list(columns), "Measure", "Value")
-        .where(F.col("Value").isNotNull())
-        .groupBy(*groups, "Value")
-        .agg(F.count(F.lit(1)).alias("Copies"))
+    groups, names = [*by, "Measure"], list(probabilities)
+    rows = cut_lineage(df.select(*by, *dict.fromkeys(c for c in columns if c not in by)))
+    long = unpivot(rows, list(by), list(columns), "Measure", "Value").where(F.col("Value").isNotNull())
+    ends = [min(1.0, max(0.0, p + side * 4 / SKETCH)) for p in probabilities.values() for side in (-1, 1)]
+    stats = cut_lineage(
+        long.groupBy(*groups).agg(F.percentile_approx("Value", ends, SKETCH).alias("_ends"), F.count(F.lit(1)).alias("_n"))
     )
-    placed = running_totals(counts, [F.col("Value")], {"_upto": F.col("Copies")}, groups)
-    sizes = placed.groupBy(*groups).agg(F.sum("Copies").alias("_n"))
-    rows = join_on(placed, sizes, groups)
+    bracketed = join_on(long, stats if by else F.broadcast(stats), groups)
+    few = F.col("_n") <= FEW_ROWS
+    low = [F.col("_ends")[2 * k] for k in range(len(names))]
+    high = [F.col("_ends")[2 * k + 1] for k in range(len(names))]
+    below = bracketed.groupBy(*groups).agg(
+        *[F.count_if(~few & (F.col("Value") < low[k])).alias(f"_below{k}") for k in range(len(names))]
+    )
+    which = F.array_compact(
+        F.array(*[F.when(few | F.col("Value").between(low[k], high[k]), F.lit(k)) for k in range(len(names))])
+    )
+    inside = bracketed.select(*groups, "Value", F.explode(which).alias("_k")).groupBy(*groups, "_k", "Value").agg(
+        F.count(F.lit(1)).alias("Copies")
+    )
+    order = W.partitionBy(*groups, "_k").orderBy("Value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = inside.withColumn("_upto", F.sum("Copies").over(order))
+    counted = join_on(placed, join_on(below, stats.drop("_ends"), groups), groups)
     picks = []
-    for name, p in probabilities.items():
-        spot = F.lit(p) * (F.col("_n") - 1)
-        for side, index in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
-            here = (F.col("_upto") - F.col("Copies") <= index) & (index < F.col("_upto"))
+    for k, (name, p) in enumerate(probabilities.items()):
+        upto = F.col("_upto") + F.col(f"_below{k}")
+        for side, index in _spots(p):
+            here = (F.col("_k") == k) & (upto - F.col("Copies") <= index) & (index < upto)
             picks.append(F.max(F.when(here, F.col("Value"))).alias(f"_{name}_{side}"))
-    found = rows.groupBy(*groups).agg(F.max("_n").alias("_n"), *picks)
+    found = cut_lineage(join_on(stats.drop("_ends"), counted.groupBy(*groups).agg(*picks), groups, "left"))
+    sides = [F.col(f"_{name}_{side}") for name in names for side in ("lo", "hi")]
+    whole = F.lit(True)
+    for side in sides:
+        whole = whole & side.isNotNull()
+    if found.where(~whole).limit(1).count():
+        missed = join_on(long, found.where(~whole).select(*groups), groups, "left_semi")
+        found = found.where(whole).unionByName(_sorted_picks(missed, probabilities, groups))
     values = []
     for name, p in probabilities.items():
         spot = F.lit(p) * (F.col("_n") - 1)
-        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        values.append((low + (high - low) * (spot - F.floor(spot))).alias(name))
+        low_value, high_value = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        values.append((low_value + (high_value - low_value) * (spot - F.floor(spot))).alias(name))
     return found.select(*groups, F.col("_n").alias("Rows"), *values)
 
 
+def _spots(p: float) -> list[tuple[str, Column]]:
+    spot = F.lit(p) * (F.col("_n") - 1)
+    return [("lo", F.floor(spot)), ("hi", F.ceil(spot))]
+
+
+def _sorted_picks(long: DataFrame, probabilities: dict[str, float], groups: Sequence[str]) -> DataFrame:
+    """The values around every quantile from running counts of all values."""
+    counts = long.groupBy(*groups, "Value").agg(F.count(F.lit(1)).alias("Copies"))
+    placed = running_totals(counts, [F.col("Value")], {"_upto": F.col("Copies")}, groups)
+    rows = join_on(placed, placed.groupBy(*groups).agg(F.sum("Copies").alias("_n")), groups)
+    picks = [
+        F.max(
+            F.when((F.col("_upto") - F.col("Copies") <= index) & (index < F.col("_upto")), F.col("Value"))
+        ).alias(f"_{name}_{side}")
+        for name, p in probabilities.items()
+        for side, index in _spots(p)
+    ]
+    return rows.groupBy(*groups).agg(F.max("_n").alias("_n"), *picks)
+
+
 def hash_key(identifier: str) -> Column:
     return F.md5(F.col(identifier).cast("string"))
 

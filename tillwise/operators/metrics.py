@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.columns import correlation, ratio
+from tillwise.functions.columns import correlation, ratio, unpivot
 from tillwise.functions.lineage import cut_lineage
 from tillwise.functions.ranking import (
     average_ranks,
@@ -48,8 +48,11 @@ def error_aggregates(actual: Column, predicted: Column) -> list[Column]:
 def spearman(scored: DataFrame, actual: str, predicted: str, identifier: str) -> DataFrame:
     """Rank correlation on average ranks; null when either side is constant."""
     rows = scored.select(identifier, actual, predicted)
+    long = unpivot(rows, [], [actual, predicted], "Measure", "Value").where(F.col("Value").isNotNull())
+    ranks = cut_lineage(average_ranks(long, "Value", "Rank", ["Measure"]))  # one sort for both sides
     for value, name in ((actual, "_rank_a"), (predicted, "_rank_p")):
-        rows = join_ranks(rows, average_ranks(scored, value, name), value, name, identifier)
+        own = ranks.where(F.col("Measure") == value).select(F.col("Value").alias(value), "Copies", F.col("Rank").alias(name))
+        rows = join_ranks(rows, own, value, name, identifier)
     return rows.agg(correlation(F.col("_rank_a"), F.col("_rank_p")).alias("Spearman"))
 
 
