@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tillwise.functions.joins import join_on
 from tillwise.functions.lineage import cut_lineage
 from tillwise.operators import autoregression as ar
+from tillwise.operators import moving_average as ma
 from tillwise.operators import smoothing as sm
 from tillwise.operators.metrics import forecast_metrics
 from tillwise.operators.series import (
@@ -28,15 +29,21 @@ from tillwise.operators.series import (
     lag_features,
     lag_names,
     match_actuals,
+    per_series,
+    require_long_series,
+    split_by_length,
 )
 
+#: Rows that one task of a fit takes: many rounds over few rows are few tasks.
+ROWS_PER_TASK = 50_000
+
 MODELS = {
     "RandomForest_Lag": lambda: RandomForestRegressor(
-        featuresCol="vector", labelCol="LogRevenue", numTrees=100, maxDepth=5,
+        featuresCol="vector", labelCol="LogRevenue", numTrees=500, maxDepth=5,
         minInstancesPerNode=3, seed=42,
     ),
     "Boosted_Lag": lambda: GBTRegressor(
-        featuresCol="vector", labelCol="LogRevenue", maxIter=40, maxDepth=2, stepSize=0.1,
+        featuresCol="vector", labelCol="LogRevenue", maxIter=300, maxDepth=2, stepSize=0.03,
         subsamplingRate=0.8, seed=42,
     ),
 }
@@ -48,8 +55,9 @@ def assembler() -> VectorAssembler:
 
 def fit_lag_model(lagged: DataFrame, model: str) -> PipelineModel:
     """One model over the lag rows of all series, on log revenue."""
-    rows = assembler().transform(lagged).withColumn("LogRevenue", F.log1p("Revenue"))
-    fitted = MODELS[model]().fit(rows.select("vector", "LogRevenue"))
+    rows = assembler().transform(lagged).select("vector", F.log1p("Revenue").alias("LogRevenue"))
+    rows = cut_lineage(rows)
+    fitted = MODELS[model]().fit(rows.coalesce(max(1, -(-rows.count() // ROWS_PER_TASK))))
     return PipelineModel([assembler(), fitted])
 
 
@@ -184,6 +192,10 @@ def fitted_forecasts(
         "SeasonalAR": lambda: ar.keep_order(
             ar.seasonal_candidates(train, horizon, by), orders["SeasonalAR"], "SeasonalAR", by
         ),
+        "ARIMA": lambda: ar.keep_order(ma.forecasts(train, horizon, ma.ORDERS, by), orders["ARIMA"], "ARIMA", by),
+        "SARIMA": lambda: ar.keep_order(
+            ma.forecasts(train, horizon, ma.SEASONAL_ORDERS, by), orders["SARIMA"], "SARIMA", by
+        ),
     }
     whole = baselines(train, horizon, by).select(*columns)
     for name, fit in fits.items():
@@ -196,11 +208,18 @@ def choose_orders(train: DataFrame, test: DataFrame, horizon: int, by: Sequence[
     return {
         "AR": cut_lineage(ar.best_order(ar.autoregressive_candidates(train, horizon, by), test, by)),
         "SeasonalAR": cut_lineage(ar.best_order(ar.seasonal_candidates(train, horizon, by), test, by)),
+        "ARIMA": cut_lineage(ar.best_order(ma.forecasts(train, horizon, ma.ORDERS, by), test, by)),
+        "SARIMA": cut_lineage(ar.best_order(ma.forecasts(train, horizon, ma.SEASONAL_ORDERS, by), test, by)),
     }
 
 
 def evaluate_models(series: DataFrame, horizon: int, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, dict]:
-    """All models on the holdout: matched rows, metric rows, chosen orders."""
+    """All models on the holdout: matched rows, metric rows, chosen orders.
+
+    A single series that is too short is an error; of several, those that are too short are left
+    out (``split_by_length`` lists them).
+    """
+    series = split_by_length(series, horizon, by)[0] if by else require_long_series(series, horizon)
     parts = cut_lineage(holdout_rows(series, horizon, by))
     train, test = parts.where(F.col("Split") == "train"), parts.where(F.col("Split") == "test")
     orders = choose_orders(train, test, horizon, by)
@@ -237,6 +256,28 @@ def future_forecast(series: DataFrame, horizon: int, by: Sequence[str] = ()) ->
     )
 
 
+def rolling_origin_rows(series: DataFrame, horizon: int, folds: int, by: Sequence[str] = ()) -> DataFrame:
+    """The series once per earlier cut-off, with ``Fold`` as one more key: fold f ends f horizons earlier."""
+    back = F.row_number().over(per_series(by).orderBy(F.desc("Date")))
+    cuts = F.filter(F.sequence(F.lit(1), F.lit(folds)), lambda f: F.col("_back") > f * horizon)
+    return series.withColumn("_back", back).withColumn("Fold", F.explode(cuts)).drop("_back")
+
+
+def rolling_model_errors(series: DataFrame, horizon: int, folds: int, by: Sequence[str] = ()) -> DataFrame:
+    """RMSE per series, fold and model over earlier cut-offs; all folds are fitted in one plan.
+
+    Baselines, smoothing, autoregressive and moving-average models take part; orders are chosen within a fold. Series
+    that are too short in a fold are left out of it, see ``split_by_length``.
+    """
+    keys = [*by, "Fold"]
+    kept, _ = split_by_length(rolling_origin_rows(series, horizon, folds, by), horizon, keys)
+    parts = cut_lineage(holdout_rows(kept, horizon, keys))
+    train, test = parts.where(F.col("Split") == "train"), parts.where(F.col("Split") == "test")
+    orders = choose_orders(train, test, horizon, keys)
+    matched = match_actuals(fitted_forecasts(train, horizon, orders, keys), test, keys)
+    return forecast_metrics(cut_lineage(matched), [*keys, "Model"]).select(*keys, "Model", "RMSE")
+
+
 def rolling_origin_error(series: DataFrame, horizon: int, folds: int, by: Sequence[str] = ()) -> DataFrame:
     """Error of the cheap models over earlier cut-offs, so that no test week steers the choice."""
     rows = cut_lineage(holdout_rows(series, horizon, by)).where(F.col("Split") == "train").drop("Split")

@@ -1,13 +1,14 @@
 """Exponential smoothing on log revenue with estimated start states.
 
 For fixed weights the one-step errors are affine in the start states, so those are solved by
-least squares and only the weights are searched. Spark spreads series and slices of the weight
+least squares and only the weights are searched: a grid, then steps round its best point that halve
+while none lowers the error. Spark spreads series and slices of the weight
 grid over tasks; one task sees the weeks of one series, a calendar's worth of numbers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import product
 
 import numpy as np
@@ -16,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillwise.functions.joins import join_on
 from tillwise.operators.autoregression import log_history
 from tillwise.operators.series import back_transform
 
 SLICES = 8
-GRID = tuple(round(0.1 * i, 1) for i in range(11))
+STEP, LEAST_STEP = 0.1, 0.0005
+GRID = tuple(round(STEP * i, 1) for i in range(11))
 
 
 def _system(kind: str, season: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -49,12 +52,41 @@ def _weights(kind: str) -> np.ndarray:
     return np.array([w for w in product(GRID, GRID, GRID) if w[1] <= w[0] and w[2] <= 1 - w[0] + 1e-9])
 
 
+def _allowed(kind: str, weights: np.ndarray) -> np.ndarray:
+    """The rows of weights within the usual limits."""
+    inside = ((weights >= 0) & (weights <= 1)).all(axis=1)
+    if kind != "simple":
+        inside &= weights[:, 1] <= weights[:, 0] + 1e-12
+    if kind == "seasonal":
+        inside &= weights[:, 2] <= 1 - weights[:, 0] + 1e-9
+    return weights[inside]
+
+
 def _search(y: np.ndarray, kind: str, season: int, horizon: int, part: int) -> tuple[float, list, list]:
-    """Best weights of one slice of the grid: squared error, weights and log forecast."""
-    move, look, places = _system(kind, season)
+    """The best weights of one slice of the grid."""
     weights = _weights(kind)[part::SLICES]
-    if len(weights) == 0 or len(y) <= len(look):
+    if len(weights) == 0 or len(y) <= len(_system(kind, season)[1]):
         return float("inf"), [], []
+    return _fitted(y, kind, season, horizon, weights)
+
+
+def _refined(y: np.ndarray, kind: str, season: int, horizon: int, weights: list) -> tuple[float, list, list]:
+    """The weights moved in ever smaller steps while the error falls."""
+    best, step = _fitted(y, kind, season, horizon, np.array([weights])), STEP / 2
+    around = np.array(list(product((-1.0, 0.0, 1.0), repeat=len(weights))))
+    while step >= LEAST_STEP:
+        near = _allowed(kind, np.array(best[1]) + step * around)
+        found = _fitted(y, kind, season, horizon, near) if len(near) else best
+        if found[0] < best[0] - 1e-12:
+            best = found
+        else:
+            step /= 2
+    return best
+
+
+def _fitted(y: np.ndarray, kind: str, season: int, horizon: int, weights: np.ndarray) -> tuple[float, list, list]:
+    """The best of some weights: squared error, weights and log forecast."""
+    move, look, places = _system(kind, season)
     count, size = len(weights), len(look)
     gain = np.zeros((count, size))
     gain[:, places] = weights
@@ -103,14 +135,23 @@ def smoothing_forecast(
         values = [first[k] for k in keys] + list(found)
         return pd.DataFrame([values], columns=[*keys, "SSE", "Weights", "Values"])
 
+    def refine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [
+                [*(row[k] for k in keys), *_refined(np.asarray(row["y"], float), kind, season, horizon, list(row["Weights"]))]
+                for row in frame.to_dict("records")
+            ]
+            yield pd.DataFrame(rows, columns=[*keys, "SSE", "Weights", "Values"])
+
     tried = pieces.groupBy(*keys, "Slice").applyInPandas(fit, schema)
-    best = tried.where(F.size("Values") > 0).groupBy(*keys).agg(
-        F.min_by(F.struct("SSE", "Weights", "Values"), F.struct("SSE", "Weights")).alias("_best")
+    coarse = tried.where(F.size("Values") > 0).groupBy(*keys).agg(
+        F.min_by("Weights", F.struct("SSE", "Weights")).alias("Weights")
     )
+    history = log_history(train, by)
+    joined = join_on(history, coarse, keys) if keys else history.join(F.broadcast(coarse))
+    best = joined.select(*keys, "y", "Weights").mapInPandas(refine, schema)
     return best.select(
-        *keys, F.lit(model or kind).alias("Model"), F.col("_best.SSE").alias("SSE"),
-        F.col("_best.Weights").alias("Weights"),
-        F.posexplode("_best.Values").alias("_at", "_log"),
+        *keys, F.lit(model or kind).alias("Model"), "SSE", "Weights", F.posexplode("Values").alias("_at", "_log"),
     ).select(
         *keys, "Model", (F.col("_at") + 1).alias("Step"),
         back_transform(F.col("_log")).alias("Forecast"), "SSE", "Weights",

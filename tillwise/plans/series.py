@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillwise.functions.columns import settled
 from tillwise.functions.lineage import cut_lineage
 from tillwise.operators import autoregression as ar
+from tillwise.operators import moving_average as ma
 from tillwise.operators import forecasting as fo
 from tillwise.operators import metrics as me
 from tillwise.operators import series as se
@@ -89,6 +90,37 @@ def seasonal(spark, folder):
     return settled(ar.seasonal_candidates(train, HORIZON), 2)
 
 
+def smoothed_by_country(fit):
+    by = ("Country",)
+
+    def query(spark, folder):
+        train, test = split_series(spark, folder, by)
+        return settled(se.match_actuals(fit(train, by), test, by), 2)
+
+    return query
+
+
+def moving_average(orders):
+    def query(spark, folder):
+        train, _ = split_series(spark, folder)
+        return settled(ma.forecasts(train, HORIZON, orders), 2)
+
+    return query
+
+
+def moving_average_best(spark, folder):
+    train, test = split_series(spark, folder)
+    both = ma.forecasts(train, HORIZON, ma.ORDERS).unionByName(ma.forecasts(train, HORIZON, ma.SEASONAL_ORDERS))
+    return settled(ar.best_order(both, test), 2)
+
+
+def moving_average_grid(spark, folder):
+    """The best point of the coarse grid per order, before it is refined."""
+    train, _ = split_series(spark, folder)
+    shown = F.array_join(F.transform("Coefficients", lambda c: F.format_string("%.1f", c)), ",")
+    return settled(ma.fits(train, HORIZON, ma.ORDERS, refine=False).select("Order", shown.alias("Coefficients"), "SSE"))
+
+
 def lag_models(spark, folder):
     rows = cut_lineage(weekly(spark, folder))
     forest, boosted = fo.MODELS
@@ -171,7 +203,14 @@ QUERIES = {
     "tsr08_seasonal_smoothing": smoothed(seasonal_both),
     "tsr09_autoregressive": autoregressive,
     "tsr09_best_order": autoregressive_best,
+    "tsr07_trend_by_country": smoothed_by_country(lambda train, by: sm.trend_smoothing(train, HORIZON, by)),
+    "tsr08_seasonal_by_country": smoothed_by_country(lambda train, by: sm.seasonal_smoothing(train, HORIZON, 4, by)),
+    "tsr09_moving_average": moving_average(ma.ORDERS),
+    "tsr09_moving_average_grid": moving_average_grid,
+    "tsr09_best_of_all_orders": moving_average_best,
     "tsr10_seasonal_autoregressive": seasonal,
+    "tsr10_seasonal_moving_average": moving_average(ma.SEASONAL_ORDERS),
+    "tsr20_rolling_models": lambda s, d: settled(fo.rolling_model_errors(weekly(s, d), HORIZON, 3), 2),
     "tsr11_lag_features": lambda s, d: settled(se.lag_features(weekly(s, d)), 3),
     "tsr12_lag_models": lag_models,
     "tsr13_recursive_forecast": recursive,
@@ -306,6 +345,29 @@ def _candidates():
     return [*ctes, f"candidates as ({union})"]
 
 
+def _error_recursion():
+    """Sums of squares of every order and grid point, by recursion over the weeks."""
+    orders = ", ".join(f"('{o}', {o.lags}, {o.differences}, {o.errors})" for o in ma.ORDERS)
+
+    def grid(name, needed):
+        return f"unnest(case when {needed} then {list(ma.GRID)}::double[] else [0.0]::double[] end) as {name}"
+
+    return f"""logs as (select t, ln(1 + Revenue) as y from train),
+    orders(o, p, d, q) as (values {orders}),
+    diffs as (
+      select 0 as d, list(y - m order by t) as w from (select *, avg(y) over () as m from logs)
+      union all select 1, list(v order by t) from (select t, y - lag(y) over (order by t) as v from logs) where v is not null),
+    grid1 as (select *, {grid('a1', 'p >= 1')} from orders), grid2 as (select *, {grid('a2', 'p >= 2')} from grid1),
+    grid3 as (select *, {grid('b1', 'q >= 1')} from grid2), points as (select *, {grid('b2', 'q >= 2')} from grid3),
+    errors as (
+      select o, p, q, a1, a2, b1, b2, w, p as t, 0.0::double as e1, 0.0::double as e2, 0.0::double as s
+      from points join diffs using (d)
+      union all
+      select o, p, q, a1, a2, b1, b2, w, t + 1, e, e1, s + e * e from (
+        select *, w[t + 1] - (case when p >= 1 then a1 * w[t] else 0 end) - (case when p >= 2 then a2 * w[t - 1] else 0 end)
+          - b1 * e1 - b2 * e2 as e from errors where t < len(w)))"""
+
+
 def _recursive(sql):
     return "with recursive" + sql[len("with"):]
 
@@ -370,6 +432,16 @@ ORACLES = {
             *_candidates(),
         )
     ),
+    "tsr09_moving_average_grid": _recursive(
+        week_sql(
+            f"""select o as "Order", array_to_string(list_transform(
+                    [a1, a2][:p] || [b1, b2][:q], lambda c: printf('%.1f', c)), ',') as Coefficients, {ra('SSE')}
+                from (select *, s as SSE from errors where t = len(w)
+                  qualify row_number() over (partition by o order by round(s, 9), a1, a2, b1, b2) = 1)""",
+            SPLIT,
+            _error_recursion(),
+        )
+    ),
     "tsr10_seasonal_autoregressive": _recursive(
         week_sql(
             " union all ".join(
