@@ -195,10 +195,25 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Distinct non-null values per column, smallest first."""
+    """Distinct non-null values per column, smallest first.
+
+    Pairs of column and value are made distinct in every task before they are shuffled. Values are
+    told apart by their text, which is exact for what a table file holds; zero has no sign.
+    """
     names = list(columns or df.columns)
-    counts = df.agg(*[F.countDistinct(F.col(f"`{c}`")).alias(c) for c in names])
-    return counts.unpivot([], names, "Column", "DistinctValues").orderBy("DistinctValues", "Column")
+
+    def text(name: str) -> Column:
+        value = F.col(f"`{name}`")
+        is_real = dict(df.dtypes)[name] in ("double", "float")
+        return (value + F.lit(0.0) if is_real else value).cast("string")
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("Column"), text(c).alias("Value")) for c in names])
+    found = df.select(F.inline(pairs)).distinct().groupBy("Column").agg(
+        F.count("Value").alias("DistinctValues")
+    )
+    every = df.sparkSession.createDataFrame([(c,) for c in names], "Column string")
+    counts = every.join(F.broadcast(found), "Column", "left").select("Column", F.coalesce("DistinctValues", F.lit(0)).alias("DistinctValues"))
+    return counts.orderBy("DistinctValues", "Column")
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -191,20 +191,28 @@ def rescale_scores(scored: DataFrame, score: str) -> DataFrame:
 def threshold_sweep(scored: DataFrame, label: str, score: str, thresholds: Sequence[float]) -> DataFrame:
     """Precision, recall and F1 at each threshold.
 
-    Scores are counted first; a distinct score then goes to the thresholds it reaches, and
-    only counts per threshold are shuffled.
+    Scores are counted first; a distinct score goes into the slot of the thresholds that it
+    reaches, and the slots, one more than there are thresholds, are added up.
     """
-    counts = score_counts(scored, label, score)
-    marks = F.array(*[F.lit(float(t)) for t in thresholds])
-    hits = (
-        counts.select("Score", "Positives", "Negatives", F.explode(marks).alias("Threshold"))
-        .groupBy("Threshold")
-        .agg(
-            F.sum(F.when(F.col("Score") >= F.col("Threshold"), F.col("Positives")).otherwise(0)).alias("TruePositives"),
-            F.sum(F.when(F.col("Score") >= F.col("Threshold"), F.col("Negatives")).otherwise(0)).alias("FalsePositives"),
-            F.sum(F.when(F.col("Score") < F.col("Threshold"), F.col("Positives")).otherwise(0)).alias("FalseNegatives"),
-            F.sum(F.when(F.col("Score") < F.col("Threshold"), F.col("Negatives")).otherwise(0)).alias("TrueNegatives"),
-        )
+    rising = sorted(set(map(float, thresholds)))
+    marks = F.lit(rising)
+    slot = F.size(F.filter(marks, lambda mark: mark <= F.col("Score")))
+    slots = score_counts(scored, label, score).groupBy(slot.alias("Slot")).agg(
+        F.sum("Positives").alias("Positives"), F.sum("Negatives").alias("Negatives")
+    )
+    held = slots.agg(F.collect_list(F.struct("Slot", "Positives", "Negatives")).alias("slots"))
+
+    def total(side: str, reached: bool, at: Column) -> Column:
+        mine = F.filter("slots", lambda s: (s["Slot"] > at) if reached else (s["Slot"] <= at))
+        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda t, s: t + s[side])
+
+    at = F.col("_at")
+    hits = held.select("slots", F.posexplode(marks).alias("_at", "Threshold")).select(
+        "Threshold",
+        total("Positives", True, at).alias("TruePositives"),
+        total("Negatives", True, at).alias("FalsePositives"),
+        total("Positives", False, at).alias("FalseNegatives"),
+        total("Negatives", False, at).alias("TrueNegatives"),
     )
     return _classification(hits, ["Threshold"])
 

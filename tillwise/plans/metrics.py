@@ -28,13 +28,21 @@ def deviance(spark, folder):
 
 
 def log_model(spark, folder):
-    """Stand-in for a log-target model: the log of the last spend, on the later buyers."""
-    logs = scored(spark, folder).where(F.col("Actual") > 0).select(
+    """A line through the logs of the last spend and of the spend to come, and its factor, from train buyers; test buyers are scored."""
+    parts = pr.split_rows(kept_features(spark, folder, *NEEDED), 0.2, ["RetentionLabel"])
+    logs = parts.where(F.col("FutureSpend90Days") > 0).select(
         "Customer_ID",
-        F.log1p("Actual").alias("LogActual"),
-        (F.log1p(F.greatest(F.col("Predicted"), F.lit(1000.0))) * 0.98).alias("LogPredicted"),
+        "Split",
+        F.log1p("FutureSpend90Days").alias("LogActual"),
+        F.log1p(F.greatest(F.col("SpendLast90Days"), F.lit(0.0))).alias("_x"),
+    )
+    train = F.col("Split") == "train"
+    line = logs.where(train).agg(
+        F.regr_slope("LogActual", "_x").alias("_slope"), F.regr_intercept("LogActual", "_x").alias("_start")
     )
-    return settled(di.smear(logs, di.smearing_factor(logs)), 4, Predicted=2, PredictedPlain=2)
+    fitted = logs.join(F.broadcast(line)).withColumn("LogPredicted", F.col("_start") + F.col("_slope") * F.col("_x"))
+    found = di.smear(fitted.where(~train), di.smearing_factor(fitted.where(train)))
+    return settled(found.drop("Split", "_x", "_slope", "_start"), 4, Predicted=2, PredictedPlain=2)
 
 
 def calibrated(spark, folder):
@@ -236,13 +244,17 @@ ORACLES = {
         _PARTS,
     ),
     "mod16_smearing": with_tables(
-        "scored",
+        "features",
         f"""select Customer_ID, {ra('LogActual', 4)}, {ra('LogPredicted', 4)},
               {r('greatest(exp(LogPredicted) * f - 1, 0)', 2)} as Predicted,
               {r('greatest(exp(LogPredicted) - 1, 0)', 2)} as PredictedPlain
-            from logs, (select avg(exp(LogActual - LogPredicted)) as f from logs)""",
-        """logs as (select Customer_ID, ln(1 + Actual) as LogActual, ln(1 + greatest(Predicted, 1000)) * 0.98::double as LogPredicted
-             from scored where Actual > 0)""",
+            from fitted, (select avg(exp(LogActual - LogPredicted)) as f from fitted where Split = 'train')
+            where Split = 'test'""",
+        f"parts as ({split_sql('RetentionLabel')})",
+        """logs as (select Customer_ID, Split, ln(1 + FutureSpend90Days) as LogActual, ln(1 + greatest(SpendLast90Days, 0)) as x
+             from parts where FutureSpend90Days > 0)""",
+        """fitted as (select *, a + b * x as LogPredicted from logs,
+             (select regr_slope(LogActual, x) as b, regr_intercept(LogActual, x) as a from logs where Split = 'train'))""",
     ),
     "mod17_calibration": with_tables(
         "scored",

@@ -104,6 +104,7 @@ QUERIES = {
     ),
     "mod14_tweedie_boosted": lambda s, d: bo.boosted_spend(rows(s, d)),
     "mod15_two_stage": lambda s, d: mo.two_stage_spend(rows(s, d)),
+    "mod16_log_stage": lambda s, d: mo.log_stage(rows(s, d)),
     "mod19_search": shown(searched()),
     "mod19_search_boosted_trees": shown(searched("BoostedTrees")),
     "mod19_search_random_forest": shown(searched("RandomForest")),
