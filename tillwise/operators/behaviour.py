@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -178,40 +179,95 @@ def pearson(a: str, b: str) -> Column:
     return correlation(F.col(a), F.col(b))
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFrame:
-    """All pairs of columns from one aggregate, rounded, undefined entries as 0."""
+MOMENTS = ("n", "mx", "my", "vx", "vy", "c")
+
+
+def pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(i, j, n, vx, vy, c) per pair of columns i <= j: rows with both values, squared deviations and their products.
+
+    One pass: every task multiplies the matrix of its rows with itself, null masks included, and
+    sends one row per pair; the tasks' means and moments are then put together.
+    """
     names = list(columns)
-    pairs = list(combinations(names, 2))
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in names]).first()
-
-    def paired(a: str, b: str) -> Column:
-        """Columns without nulls need no mask per pair, so their spread is computed once."""
-        if nulls[a] or nulls[b]:
-            return pearson(a, b)
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-    one = df.agg(
-        *[paired(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
-        *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(names)],
-    )
+    first, second = np.triu_indices(len(names))
+
+    def moments(values: np.ndarray) -> np.ndarray:
+        """(moment, i, j) of a block of rows, about a value of each column."""
+        mask = (~np.isnan(values)).astype(float)
+        filled = np.where(mask > 0, values, 0.0)
+        centre = filled[mask.argmax(axis=0), np.arange(len(names))]  # the first value: a constant has no spread at all
+        apart = (filled - centre) * mask
+        n, sums, squares = mask.T @ mask, apart.T @ mask, (apart * apart).T @ mask
+        share = 1 / np.maximum(n, 1)
+        mean, spread = centre[:, None] + sums * share, squares - sums * sums * share
+        return np.stack([n, mean, mean.T, spread, spread.T, apart.T @ apart - sums * sums.T * share])
+
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n = a[0] + b[0]
+        dx, dy, share = b[1] - a[1], b[2] - a[2], b[0] / np.maximum(n, 1)
+        both = a[0] * share
+        return np.stack(
+            [n, a[1] + dx * share, a[2] + dy * share, a[3] + b[3] + dx * dx * both, a[4] + b[4] + dy * dy * both,
+             a[5] + b[5] + dx * dy * both]
+        )
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            if len(frame):
+                mine = moments(frame.to_numpy(dtype=float))
+                held = mine if held is None else joined(held, mine)
+        if held is not None:
+            yield pd.DataFrame({"i": first, "j": second} | {m: held[k][first, second] for k, m in enumerate(MOMENTS)})
+
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in names])
+    parts = rows.mapInPandas(partial, "i int, j int, " + ", ".join(f"{m} double" for m in MOMENTS))
+    n = F.sum("n")
+    means = {side: F.coalesce(ratio(F.sum(F.col("n") * F.col(side)), n), F.lit(0.0)).alias(f"{side}_all") for side in ("mx", "my")}
+    held = parts.groupBy("i", "j").agg(n.alias("n"), *means.values(), F.collect_list(F.struct(*MOMENTS)).alias("parts"))
+
+    def whole(moment: str, one: str, other: str) -> Column:
+        return F.aggregate(
+            "parts",
+            F.lit(0.0),
+            lambda t, p: t + p[moment] + p["n"] * (p[one] - F.col(f"{one}_all")) * (p[other] - F.col(f"{other}_all")),
+        ).alias(moment)
+
+    def spread(moment: str, mean: str) -> Column:
+        """No spread where there is none beyond the rounding of the mean."""
+        value = whole(moment, mean, mean)
+        return F.when(value > 1e-18 * F.col("n") * F.pow(F.col(f"{mean}_all"), F.lit(2.0)), value).otherwise(0.0).alias(moment)
+
+    return held.select("i", "j", "n", spread("vx", "mx"), spread("vy", "my"), whole("c", "mx", "my"))
+
+
+def _pair_correlation() -> Column:
+    """From the moments of a pair; null where a side is constant up to rounding."""
+    return ratio(F.col("c"), F.sqrt(F.col("vx")) * F.sqrt(F.col("vy")))
 
-    def entry(x: str, y: str, value: Column) -> Column:
-        return F.struct(F.lit(x).alias("X"), F.lit(y).alias("Y"), value.alias("_value"))
 
-    entries = [entry(c, c, F.when(F.col(f"s{i}") > 0, 1.0)) for i, c in enumerate(names)]
-    for i, (a, b) in enumerate(pairs):
-        entries += [entry(a, b, F.col(f"c{i}")), entry(b, a, F.col(f"c{i}"))]
+def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFrame:
+    """All pairs of columns from one pass, rounded, undefined entries as 0."""
+    names = list(columns)
+    i, j = F.col("i"), F.col("j")
+    value = F.when(i == j, F.when(F.col("vx") > 0, 1.0)).otherwise(_pair_correlation())
+    one, other = F.struct(i.alias("a"), j.alias("b")), F.struct(j.alias("a"), i.alias("b"))
+    sides = F.when(i == j, F.array(one)).otherwise(F.array(one, other))
+    found = pair_moments(df, names).select(value.alias("_value"), F.inline(sides).alias("i", "j"))
+    grid = [(x, y, a, b) for a, x in enumerate(names) for b, y in enumerate(names)]
+    every = df.sparkSession.createDataFrame(grid, "X string, Y string, i int, j int")
     scale = 10.0**digits
     rounded = F.floor(F.col("_value") * scale + 0.5).cast("double") / scale
-    return one.select(F.inline(F.array(*entries))).select(
+    return every.join(F.broadcast(found), ["i", "j"], "left").select(
         "X", "Y", F.coalesce(rounded, F.lit(0.0)).alias("Correlation")
     )
 
 
 def label_correlations(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
-    one = df.agg(*[pearson(c, label).alias(c) for c in columns])
-    return one.unpivot([], list(columns), "Measure", "Correlation").orderBy(
+    names = [*columns, label]
+    last = len(names) - 1
+    found = pair_moments(df, names).where((F.col("j") == last) & (F.col("i") < last))
+    return found.select(F.get(F.lit(names), F.col("i")).alias("Measure"), _pair_correlation().alias("Correlation")).orderBy(
         F.col("Correlation").desc_nulls_last(), "Measure"
     )
 
