@@ -12,6 +12,7 @@ from tillwise.functions.columns import from_money, money, ratio, whole_days
 from tillwise.functions.lineage import cut_lineage
 from tillwise.operators.cleaning import require_columns
 
+# Names and order of the columns.
 FEATURES = (
     "Frequency",
     "Monetary",

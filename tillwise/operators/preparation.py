@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillwise.functions.columns import ratio, safe_log1p
 from tillwise.functions.ranking import exact_quantiles, hash_key, hash_positions
 
+# Names and order of the columns.
 LOG_FEATURES = (
     "Frequency",
     "Monetary",
