@@ -158,6 +158,25 @@ def smoothing_forecast(
     )
 
 
+def grid_errors(train: DataFrame, kind: str, season: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """(by, Weights, SSE): the squared error of every point of the grid, with its own best start."""
+    keys, weights = list(by), _weights(kind)
+    history = log_history(train, by)
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(len(weights) - 1))).alias("number")
+    fields = [history.schema[k] for k in keys]
+    schema = T.StructType([*fields, T.StructField("Weights", T.ArrayType(T.DoubleType())), T.StructField("SSE", T.DoubleType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for row in frame.to_dict("records"):
+                point = weights[row["number"]][None]
+                rows.append([*(row[k] for k in keys), point[0].tolist(), _fitted(np.asarray(row["y"], float), kind, season, 0, point)[0]])
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return history.select(*keys, "y", numbers).mapInPandas(run, schema)
+
+
 def simple_smoothing(train: DataFrame, horizon: int, by: Sequence[str] = ()) -> DataFrame:
     return smoothing_forecast(train, horizon, "simple", by=by, model="SES")
 

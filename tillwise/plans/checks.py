@@ -6,6 +6,7 @@ rows and totals it must cover, taken from the tables, and how often a property o
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tillwise.functions.columns import settled
@@ -47,6 +48,25 @@ def classifier(query):
     return check
 
 
+def logistic_gradient(spark, folder):
+    """The slope of the penalised loss at the fitted coefficients, per feature: zero at the minimum and nowhere else."""
+    model = mo.CLASSIFIERS["LogisticRegression"]()
+    train = cut_lineage(mo.train_rows(pm.rows(spark, folder)))
+    fitted = model.fit(train)
+    values, weight = vector_to_array("vector"), F.col("Weight")
+    sides = [(name, fitted.coefficients[k]) for k, name in enumerate(pm.COLUMNS)]
+    linear = sum((values[k] * float(c) for k, (_, c) in enumerate(sides)), F.lit(float(fitted.intercept)))
+    miss = 1 / (1 + F.exp(-linear)) - F.col(mo.LABEL)
+    total = F.sum(weight)
+    slopes = [
+        (F.sum(weight * miss * values[k]) / total + model.getRegParam() * F.var_samp(values[k]) * float(c)).alias(name)
+        for k, (name, c) in enumerate(sides)
+    ]
+    found = train.agg((F.sum(weight * miss) / total).alias("Intercept"), *slopes)
+    long = found.unpivot([], ["Intercept", *pm.COLUMNS], "Feature", "Slope")
+    return settled(long.withColumn("Slope", F.abs("Slope")), 3)
+
+
 def regressor(query):
     """Every test customer has a prediction that is a finite number and not negative."""
 
@@ -213,6 +233,7 @@ QUERIES = {
     **{name: classifier(pm.QUERIES[fit]) for name, fit in CLASSIFIERS.items()},
     **{name: regressor(pm.QUERIES[fit]) for name, fit in REGRESSORS.items()},
     **{name: forecast(pt.QUERIES[fit]) for name, (fit, _) in SMOOTHED.items()},
+    "mod02_gradient_checked": logistic_gradient,
     "mod14_boosting_checked": boosting,
     "pre11_components_checked": components,
     "seg02_kmeans_checked": kmeans,
@@ -248,6 +269,7 @@ ORACLES = {
     **{name: with_tables("features", TESTED, pm.FILLED) for name in CLASSIFIERS},
     **{name: with_tables("features", SPENT, pm.FILLED) for name in REGRESSORS},
     **{name: held_out(models) for name, (_, models) in SMOOTHED.items()},
+    "mod02_gradient_checked": f"select unnest({['Intercept', *pm.COLUMNS]}) as Feature, 0.0::double as Slope",
     "mod14_boosting_checked": with_tables(
         "features",
         f"""select count(*) as Rows, {r('sum(FutureSpend90Days)', 2)} as ActualTotal, {r('sum(FutureSpend90Days)', 2)} as PredictedTotal,

@@ -90,6 +90,12 @@ def seasonal(spark, folder):
     return settled(ar.seasonal_candidates(train, HORIZON), 2)
 
 
+def smoothing_grid(spark, folder):
+    """Squared error of simple smoothing at every weight of the grid."""
+    train, _ = split_series(spark, folder)
+    return settled(sm.grid_errors(train, "simple").select(F.col("Weights")[0].alias("Weight"), "SSE"))
+
+
 def smoothed_by_country(fit):
     by = ("Country",)
 
@@ -199,6 +205,7 @@ QUERIES = {
     "tsr05_moving_average_forecast": moving_averages,
     "tsr06_simple_smoothing": smoothed(lambda train: sm.simple_smoothing(train, HORIZON)),
     "tsr06_smoothing_by_country": smoothed_countries,
+    "tsr06_grid_errors": smoothing_grid,
     "tsr07_trend_smoothing": smoothed(lambda train: sm.trend_smoothing(train, HORIZON)),
     "tsr08_seasonal_smoothing": smoothed(seasonal_both),
     "tsr09_autoregressive": autoregressive,
@@ -432,6 +439,20 @@ ORACLES = {
             *_candidates(),
         )
     ),
+    "tsr06_grid_errors": _recursive(
+        week_sql(
+            f"""select {ra('Weight')}, {ra('SSE')} from (
+                  select a as Weight, sum(c * c) - sum(c * k) * sum(c * k) / sum(k * k) as SSE from steps group by a)""",
+            SPLIT,
+            # c: error from a level of zero, k: how much of the first level is left; the best first level takes out their overlap
+            """logs as (select list(ln(1 + Revenue) order by t) as y from train),
+            steps as (
+              select w * 0.05 as a, y, 1 as t, y[1] as c, 1.0::double as k, w * 0.05 * y[1] as level
+              from logs, (select unnest(range(0, 21)) as w)
+              union all
+              select a, y, t + 1, y[t + 1] - level, k * (1 - a), a * y[t + 1] + (1 - a) * level from steps where t < len(y))""",
+        )
+    ),
     "tsr09_moving_average_grid": _recursive(
         week_sql(
             f"""select o as "Order", array_to_string(list_transform(
