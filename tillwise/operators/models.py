@@ -154,11 +154,13 @@ def regress(rows: DataFrame, name: str, **options) -> DataFrame:
     return calibrated_on_train(_spend(model.transform(rows), F.col("prediction")))
 
 
+def ridge(strength: float = 0.1) -> LinearRegression:
+    return LinearRegression(featuresCol="vector", labelCol="LogSpend", regParam=strength, elasticNetParam=0.0)
+
+
 def ridge_on_log(rows: DataFrame, strength: float = 0.1) -> DataFrame:
     logged = rows.withColumn("LogSpend", F.log1p(SPEND))
-    model = LinearRegression(
-        featuresCol="vector", labelCol="LogSpend", regParam=strength, elasticNetParam=0.0
-    ).fit(train_rows(logged))
+    model = ridge(strength).fit(train_rows(logged))
     return _spend(model.transform(logged), F.expm1("prediction")).where(F.col("Split") == "test").drop("Split")
 
 

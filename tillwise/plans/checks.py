@@ -48,25 +48,42 @@ def classifier(query):
     return check
 
 
-def logistic_gradient(spark, folder):
-    """The slope of the penalised loss at the fitted coefficients, per feature: zero at the minimum and nowhere else."""
-    model = mo.CLASSIFIERS["LogisticRegression"]()
-    train = cut_lineage(mo.train_rows(pm.rows(spark, folder)))
-    fitted = model.fit(train)
-    values, weight = vector_to_array("vector"), F.col("Weight")
-    sides = [(name, fitted.coefficients[k]) for k, name in enumerate(pm.COLUMNS)]
-    linear = sum((values[k] * float(c) for k, (_, c) in enumerate(sides)), F.lit(float(fitted.intercept)))
-    miss = 1 / (1 + F.exp(-linear)) - F.col(mo.LABEL)
-    total = F.sum(weight)
+def slopes_of(train, fitted, miss, weight, strength):
+    """The slope of a penalised loss at the fitted coefficients, per feature: zero at the minimum and nowhere else.
+
+    ``miss`` maps the linear predictor to prediction minus target; coefficients are penalised in
+    multiples of their feature's deviation.
+    """
+    values = vector_to_array("vector")
+    sides = [(name, float(fitted.coefficients[k])) for k, name in enumerate(pm.COLUMNS)]
+    linear = sum((values[k] * c for k, (_, c) in enumerate(sides)), F.lit(float(fitted.intercept)))
+    off, total = weight * miss(linear), F.sum(weight)
     slopes = [
-        (F.sum(weight * miss * values[k]) / total + model.getRegParam() * F.var_samp(values[k]) * float(c)).alias(name)
+        (F.sum(off * values[k]) / total + strength * F.var_samp(values[k]) * c).alias(name)
         for k, (name, c) in enumerate(sides)
     ]
-    found = train.agg((F.sum(weight * miss) / total).alias("Intercept"), *slopes)
+    found = train.agg((F.sum(off) / total).alias("Intercept"), *slopes)
     long = found.unpivot([], ["Intercept", *pm.COLUMNS], "Feature", "Slope")
     return settled(long.withColumn("Slope", F.abs("Slope")), 3)
 
 
+def logistic_gradient(spark, folder):
+    model = mo.CLASSIFIERS["LogisticRegression"]()
+    train = cut_lineage(mo.train_rows(pm.rows(spark, folder)))
+    return slopes_of(
+        train, model.fit(train), lambda x: 1 / (1 + F.exp(-x)) - F.col(mo.LABEL), F.col("Weight"), model.getRegParam()
+    )
+
+
+def ridge_gradient(spark, folder):
+    """Spark penalises the coefficients of the target in multiples of its deviation."""
+    model = mo.ridge()
+    train = cut_lineage(mo.train_rows(pm.rows(spark, folder)).withColumn("LogSpend", F.log1p(mo.SPEND)))
+    spread = train.agg(F.stddev_samp("LogSpend")).first()[0]
+    strength = model.getRegParam() / spread if spread else 0.0
+    return slopes_of(train, model.fit(train), lambda x: x - F.col("LogSpend"), F.lit(1.0), strength)
+
+
 def regressor(query):
     """Every test customer has a prediction that is a finite number and not negative."""
 
@@ -234,6 +251,7 @@ QUERIES = {
     **{name: regressor(pm.QUERIES[fit]) for name, fit in REGRESSORS.items()},
     **{name: forecast(pt.QUERIES[fit]) for name, (fit, _) in SMOOTHED.items()},
     "mod02_gradient_checked": logistic_gradient,
+    "mod09_gradient_checked": ridge_gradient,
     "mod14_boosting_checked": boosting,
     "pre11_components_checked": components,
     "seg02_kmeans_checked": kmeans,
@@ -265,11 +283,14 @@ def held_out(models):
     )
 
 
+NO_SLOPE = f"select unnest({['Intercept', *pm.COLUMNS]}) as Feature, 0.0::double as Slope"
+
 ORACLES = {
     **{name: with_tables("features", TESTED, pm.FILLED) for name in CLASSIFIERS},
     **{name: with_tables("features", SPENT, pm.FILLED) for name in REGRESSORS},
     **{name: held_out(models) for name, (_, models) in SMOOTHED.items()},
-    "mod02_gradient_checked": f"select unnest({['Intercept', *pm.COLUMNS]}) as Feature, 0.0::double as Slope",
+    "mod02_gradient_checked": NO_SLOPE,
+    "mod09_gradient_checked": NO_SLOPE,
     "mod14_boosting_checked": with_tables(
         "features",
         f"""select count(*) as Rows, {r('sum(FutureSpend90Days)', 2)} as ActualTotal, {r('sum(FutureSpend90Days)', 2)} as PredictedTotal,
