@@ -65,15 +65,8 @@ def column_subset(spark, folder):
 def preview(spark, folder):
     from tillwise.operators.viewer import head_preview
 
-    return head_preview(
-        cut_lineage(
-            purchases(spark, folder).select(
-                "Customer_ID", "InvoiceDate", "Invoice", "StockCode", "Quantity", "Price"
-            )
-        ),
-        ["Customer_ID", "InvoiceDate", "Invoice", "StockCode", "Quantity", "Price"],
-        20,
-    )
+    shown = ["Customer_ID", "InvoiceDate", "Invoice", "StockCode", "Quantity", "Price"]
+    return head_preview(purchases(spark, folder).select(*shown), shown, 20)
 
 
 def profile(spark, folder):
