@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
@@ -253,22 +254,18 @@ def classifier_search(rows: DataFrame, folds: int = FOLDS, models: Sequence[str]
     One row per setting: Model, Params, MeanScore, StdScore.
     """
     train = train_rows(rows)
-    trials = neighbour_trials(train, folds) if "KNN" in models else []
-    trials += boosted_trials(train, folds) if "BoostedTrees" in models else []
     fitted = [name for name in FITTED if name in models]
-    if fitted:
-        parts = fold_parts(train, folds)
-        jobs = [(fit, part) for name in fitted for fit in fits(name) for part in parts]
-
-        def run(job) -> list[Trial]:
-            return job[0](job[1])
-
-        side_by_side = max(1, min(len(jobs), train.sparkSession.sparkContext.defaultParallelism))
-        with ThreadPool(side_by_side) as pool:
-            done = pool.map(inheritable_thread_target(train.sparkSession)(run), jobs, chunksize=1)
-        trials += [trial for more in done for trial in more]
-        for part in parts:
-            part.fit.unpersist()
+    parts = fold_parts(train, folds) if fitted else []
+    # The longest chain of jobs starts first; the others run beside it.
+    jobs = [partial(boosted_trials, train, folds)] if "BoostedTrees" in models else []
+    jobs += [partial(neighbour_trials, train, folds)] if "KNN" in models else []
+    jobs += [partial(fit, part) for name in fitted for fit in fits(name) for part in parts]
+    side_by_side = max(1, min(len(jobs), train.sparkSession.sparkContext.defaultParallelism))
+    with ThreadPool(side_by_side) as pool:
+        done = pool.map(inheritable_thread_target(train.sparkSession)(lambda job: job()), jobs, chunksize=1)
+    for part in parts:
+        part.fit.unpersist()
+    trials = [trial for more in done for trial in more]
     return scored_trials(train.sparkSession, trials)
 
 

@@ -28,8 +28,9 @@ BINS = 32
 PENALTY = 1.0
 LEAST_HESSIAN = 1.0
 LEAST_GAIN = 1e-6
-WRITTEN_EVERY = 5
+WRITTEN_EVERY = 10
 ROWS_PER_TASK = 5_000
+NODES_AT_ONCE = 256  # nodes whose sums are searched in one step
 
 
 class Model(NamedTuple):
@@ -99,20 +100,26 @@ def unpacked(batch: pa.RecordBatch, models: Sequence[Model], grown: Sequence[Tre
     return batch.column(0).to_numpy(), batch.column(1).to_numpy(), bins, margins
 
 
-def best_split(gradient: np.ndarray, hessian: np.ndarray) -> tuple:
-    """(feature, bin, gain, left sums, whole sums) of the (feature, bin) sums of a node."""
-    whole_g, whole_h = float(gradient[0].sum()), float(hessian[0].sum())
-    left_g, left_h = np.cumsum(gradient, axis=1)[:, :-1], np.cumsum(hessian, axis=1)[:, :-1]
-    right_g, right_h = whole_g - left_g, whole_h - left_h
-    score = lambda g, h: g * g / (h + PENALTY)
-    gain = (score(left_g, left_h) + score(right_g, right_h) - score(whole_g, whole_h)) / 2
-    gain = np.where((left_h >= LEAST_HESSIAN) & (right_h >= LEAST_HESSIAN), gain, -1.0)
-    feature, cut = np.unravel_index(int(np.argmax(np.round(gain, 9))), gain.shape)
-    return int(feature), int(cut), float(gain[feature, cut]), float(left_g[feature, cut]), float(left_h[feature, cut]), whole_g, whole_h
+def best_splits(sums: np.ndarray) -> list[np.ndarray]:
+    """Feature, bin, gain, left sums and whole sums of every node; ``sums`` are (node, g or h, feature, bin)."""
+    left = np.cumsum(sums, axis=3)
+    whole, left = left[:, :, 0, -1], left[:, :, :, :-1]
+    right = whole[:, :, None, None] - left
+    score = lambda s: s[:, 0] ** 2 / (s[:, 1] + PENALTY)
+    gain = (score(left) + score(right) - score(whole)[:, None, None]) / 2
+    gain = np.where((left[:, 1] >= LEAST_HESSIAN) & (right[:, 1] >= LEAST_HESSIAN), gain, -1.0).reshape(len(sums), -1)
+    best, every = np.argmax(np.round(gain, 9), axis=1), np.arange(len(sums))
+    feature, cut = np.divmod(best, left.shape[3])
+    return [feature, cut, gain[every, best], *left[every, :, feature, cut].T, *whole.T]
 
 
 def node_splits(
-    state: DataFrame, models: Sequence[Model], grown: Sequence[Trees], now: Trees, open_nodes: Sequence[tuple[int, int]]
+    state: DataFrame,
+    models: Sequence[Model],
+    grown: Sequence[Trees],
+    now: Trees,
+    open_nodes: Sequence[tuple[int, int]],
+    tasks: int,
 ) -> list:
     """The best split of every open node (model, node), from one pass over the rows."""
     slots = np.full(now.feature.shape, -1)
@@ -152,22 +159,25 @@ def node_splits(
             for slot, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 values = np.frombuffer(sums, float)
                 held[slot] = held[slot] + values if slot in held else values
-        rows = [(slot, *best_split(*values.reshape(2, -1, BINS))) for slot, values in held.items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
-
-    parts = state.mapInArrow(summed, "slot bigint, sums binary").repartition("slot")
+        slots = sorted(held)
+        for start in range(0, len(slots), NODES_AT_ONCE):
+            some = slots[start : start + NODES_AT_ONCE]
+            found = best_splits(np.stack([held[slot] for slot in some]).reshape(len(some), 2, -1, BINS))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (some, *found)], names=names)
+
+    parts = state.mapInArrow(summed, "slot bigint, sums binary")
+    parts = parts.repartition("slot") if tasks > 1 else parts  # the sums of one task are whole
     kinds = "slot bigint, feature bigint, cut bigint, gain double, left_g double, left_h double, g double, h double"
     return parts.mapInArrow(chosen, kinds).collect()
 
 
-def grow_round(state: DataFrame, models: Sequence[Model], grown: Sequence[Trees]) -> Trees:
+def grow_round(state: DataFrame, models: Sequence[Model], grown: Sequence[Trees], tasks: int) -> Trees:
     """One more tree per model, all of them level by level in shared passes."""
     now = Trees.empty(len(models), max(m.depth for m in models))
     open_nodes = [(k, 0) for k in range(len(models))]
     while open_nodes:
         following = []
-        for row in node_splits(state, models, grown, now, open_nodes):
+        for row in node_splits(state, models, grown, now, open_nodes, tasks):
             model, node = open_nodes[row["slot"]]
             settings = models[model]
             step = lambda g, h: -settings.rate * g / (h + PENALTY)  # noqa: B023, E731
@@ -195,9 +205,10 @@ def boosted_margins(rows: DataFrame, label: Column, models: Sequence[Model], rou
     first = known.select(F.size(vector_to_array("vector")).alias("n")).first()
     width, count = (first["n"], known.count()) if first else (0, 0)
     state = cut_lineage(binned(known, label, len(models), width).coalesce(max(1, -(-count // ROWS_PER_TASK))))
-    grown: list[Trees] = []
+    grown, tasks = [], 0
     for number in range(1, rounds + 1) if count else ():
-        grown.append(grow_round(state, models, grown))
+        tasks = state.rdd.getNumPartitions() if not grown else tasks
+        grown.append(grow_round(state, models, grown, tasks))
         if number % WRITTEN_EVERY == 0 or number == rounds:
             state = cut_lineage(moved(state, models, grown))
             grown = []
