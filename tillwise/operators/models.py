@@ -200,13 +200,17 @@ def tweedie_search(rows: DataFrame, powers: Sequence[float] = VARIANCE_POWERS, f
     return search(train_rows(scaled_spend(rows)), "Tweedie", estimator, grid, evaluator, folds)
 
 
+def buyers_spend(strength: float = 0.1) -> GeneralizedLinearRegression:
+    return GeneralizedLinearRegression(
+        featuresCol="vector", labelCol=SPEND, family="gamma", link="log", regParam=strength, maxIter=25
+    )
+
+
 def two_stage_spend(rows: DataFrame) -> DataFrame:
     """Chance to buy times the spend expected from buyers; the second model sees buyers only."""
     train = train_rows(rows)
     buys = CLASSIFIERS["LogisticRegression"]().fit(train)
-    amount = GeneralizedLinearRegression(
-        featuresCol="vector", labelCol=SPEND, family="gamma", link="log", regParam=0.1, maxIter=25
-    ).fit(train.where(F.col(SPEND) > 0))
+    amount = buyers_spend().fit(train.where(F.col(SPEND) > 0))
     chance = buys.transform(rows).withColumn("Chance", vector_to_array("probability")[1]).drop(
         "prediction", "probability", "rawPrediction"
     )

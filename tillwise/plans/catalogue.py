@@ -18,6 +18,7 @@ SECTIONS = (
     "segments",
     "reports",
     "checks",
+    "fits",
 )
 
 Query = Callable[[SparkSession, str], DataFrame]

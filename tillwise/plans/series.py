@@ -96,6 +96,13 @@ def smoothing_grid(spark, folder):
     return settled(sm.grid_errors(train, "simple").select(F.col("Weights")[0].alias("Weight"), "SSE"))
 
 
+def trend_grid(spark, folder):
+    """Squared error of trend smoothing at every pair of weights of the grid."""
+    train, _ = split_series(spark, folder)
+    weights = [F.col("Weights")[k].alias(name) for k, name in enumerate(("Level", "Trend"))]
+    return settled(sm.grid_errors(train, "trend").select(*weights, "SSE"))
+
+
 def smoothed_by_country(fit):
     by = ("Country",)
 
@@ -206,6 +213,7 @@ QUERIES = {
     "tsr06_simple_smoothing": smoothed(lambda train: sm.simple_smoothing(train, HORIZON)),
     "tsr06_smoothing_by_country": smoothed_countries,
     "tsr06_grid_errors": smoothing_grid,
+    "tsr07_grid_errors": trend_grid,
     "tsr07_trend_smoothing": smoothed(lambda train: sm.trend_smoothing(train, HORIZON)),
     "tsr08_seasonal_smoothing": smoothed(seasonal_both),
     "tsr09_autoregressive": autoregressive,
@@ -453,6 +461,26 @@ ORACLES = {
               select a, y, t + 1, y[t + 1] - level, k * (1 - a), a * y[t + 1] + (1 - a) * level from steps where t < len(y))""",
         )
     ),
+    "tsr07_grid_errors": _recursive(
+        week_sql(
+            f"""select {r('a')} as Level, {r('b')} as Trend, {ra('SSE')} from (
+                  select a, b, cc - (s22 * c1 * c1 - 2 * s12 * c1 * c2 + s11 * c2 * c2) / (s11 * s22 - s12 * s12) as SSE from (
+                    select a, b, sum(c * c) as cc, sum(c * k1) as c1, sum(c * k2) as c2, sum(k1 * k1) as s11,
+                      sum(k1 * k2) as s12, sum(k2 * k2) as s22
+                    from (select *, y[t] - l0 - t0 as c, l1 + t1 as k1, l2 + t2 as k2 from steps where t <= len(y)) group by a, b))""",
+            SPLIT,
+            # level and trend: what the weeks give (0) and the shares of the first level (1) and trend (2)
+            """logs as (select list(ln(1 + Revenue) order by t) as y from train),
+            steps as (
+              select i / 10.0::double as a, j / 10.0::double as b, y, 1 as t, 0.0::double as l0, 1.0::double as l1, 0.0::double as l2,
+                0.0::double as t0, 0.0::double as t1, 1.0::double as t2
+              from logs, (select unnest(range(0, 11)) as i), (select unnest(range(0, 11)) as j) where j <= i
+              union all
+              select a, b, y, t + 1, l0 + t0 + a * (y[t] - l0 - t0), (1 - a) * (l1 + t1), (1 - a) * (l2 + t2),
+                t0 + b * (y[t] - l0 - t0), t1 - b * (l1 + t1), t2 - b * (l2 + t2)
+              from steps where t <= len(y))""",
+        )
+    ),
     "tsr09_moving_average_grid": _recursive(
         week_sql(
             f"""select o as "Order", array_to_string(list_transform(
