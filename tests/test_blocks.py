@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tillwise.operators import blocks as bl
 from tillwise.operators import centroids as ce
 from tillwise.operators import density as de
 from tillwise.operators import neighbours as ne
@@ -160,3 +161,39 @@ def test_segment_names(spark):
     found = {r["Cluster"]: r["SegmentName"] for r in named.collect()}
     # Cluster 1 is both the best and the newest: it keeps the first name, nobody is "new".
     assert found == {0: sg.REGULAR, 1: sg.BEST, 2: sg.REGULAR, 3: sg.INACTIVE}
+
+
+def test_neighbours_of_other_folds(points):
+    pdf, df = points
+    folded = df.withColumn("Fold", F.col("Customer_ID").cast("int") % 3)
+    found = ne.nearest_rows(folded, folded, COLUMNS, "Target", 4, fold="Fold", **OPTIONS).toPandas()
+    fold = np.arange(len(pdf)) % 3
+    far = np.where(fold[:, None] == fold[None], np.inf, apart(pdf))
+    order = np.argsort(far, axis=1, kind="stable")[:, :4]
+    assert len(found) == 4 * len(pdf)
+    for i, part in found.sort_values("Place").groupby("Customer_ID"):
+        assert list(part["Neighbour"]) == list(pdf["Customer_ID"].to_numpy()[order[int(i)]])
+
+
+def test_a_stray_row_does_not_open_every_cell(spark):
+    draw = np.random.default_rng(5).normal(size=(600, 3))
+    draw[0] = 500.0
+    rows = spark.createDataFrame([(f"{i:04d}", v.tolist()) for i, v in enumerate(draw)], "Customer_ID string, Vector array<double>")
+    _, cells = bl.build_cells(rows, "Customer_ID", pivots=32)
+    assert cells.rows.sum() == 600
+    visits = cells.visits(draw, 0.2)
+    assert all(own in found for own, found in zip(cells.place(draw), visits))
+    assert np.mean([len(found) for found in visits]) < 10
+
+
+@pytest.mark.parametrize("power", [1, 2])
+def test_fast_distances_are_within_their_error(power):
+    draw = np.random.default_rng(6)
+    left, right = draw.normal(size=(50, 23)) * 40, draw.normal(size=(70, 23)) * 40
+    right[:20] = left[:20] + 1e-7
+    rough = bl.Rough(right, power)
+    fast, error = rough.to(left)
+    true = np.stack([bl.pair_distances(np.repeat(line[None], len(right), axis=0), right, power) for line in left])
+    assert (np.abs(fast - (true if power == 1 else true**2)) <= error[:, None] + 4e-9 * (1 + true)).all()
+    for reach in (float(true[0, 0]), float(true[3, 40]), 5.0):
+        assert (bl.near_pairs(left, right, rough, reach, fast, error) == (true <= reach)).all()

@@ -215,16 +215,12 @@ def fold_parts(train: DataFrame, folds: int) -> list[Fold]:
 
 
 def neighbour_trials(train: DataFrame, folds: int, counts: Sequence[int] = NEIGHBOUR_COUNTS) -> list[Trial]:
-    """Fold counts of the neighbour classifier; one pass per fold finds the neighbours for every count."""
+    """Fold counts of the neighbour classifier; the neighbours of all folds and counts are found together."""
     rows = cut_lineage(with_folds(train, folds))
-    found = None
-    for fold in range(folds):
-        held, others = rows.where(F.col("Fold") == fold), rows.where(F.col("Fold") != fold)
-        near = nearest_rows(others, held, MODEL_FEATURES, LABEL, max(counts)).withColumn("Fold", F.lit(fold))
-        found = near if found is None else found.unionByName(near)
+    found = nearest_rows(rows, rows, MODEL_FEATURES, LABEL, max(counts), fold="Fold")
     shares = [F.avg(F.when(F.col("Place") <= k, F.col("Target"))).alias(f"k{k}") for k in counts]
-    voted = found.groupBy("Fold", "Customer_ID").agg(*shares)
-    scored = join_on(voted, rows.select("Customer_ID", F.col(LABEL).alias("Label")), ["Customer_ID"])
+    voted = found.groupBy("Customer_ID").agg(*shares)
+    scored = join_on(voted, rows.select("Customer_ID", "Fold", F.col(LABEL).alias("Label")), ["Customer_ID"])
     each = []
     for k in counts:
         decision = (F.col(f"k{k}") > 0.5).cast("int")
