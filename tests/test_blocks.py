@@ -197,3 +197,10 @@ def test_fast_distances_are_within_their_error(power):
     assert (np.abs(fast - (true if power == 1 else true**2)) <= error[:, None] + 4e-9 * (1 + true)).all()
     for reach in (float(true[0, 0]), float(true[3, 40]), 5.0):
         assert (bl.near_pairs(left, right, rough, reach, fast, error) == (true <= reach)).all()
+
+
+def test_silhouette_blocks_travel_as_arrow_tables(points):
+    _, df = points
+    rows = df.withColumn("Cluster", F.when(F.col("x") > 2, 1).otherwise(0))
+    plan = sg.silhouette_euclidean(rows, COLUMNS, ["Cluster"])._jdf.queryExecution().toString()
+    assert "InArrow" in plan and "InPandas" not in plan
