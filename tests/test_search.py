@@ -143,3 +143,19 @@ def test_shared_boosting_equals_models_grown_alone(spark):
     ours = sorted(np.round(np.concatenate([np.frombuffer(r["margins"], float) for r in found.collect()]), 8).tolist())
     theirs = np.concatenate([grown_by_hand(matrix, y, m, fold, 7) for m in models])
     assert np.allclose(ours, np.sort(np.round(theirs, 8)), atol=1e-7)
+
+
+def test_a_boosted_tree_is_applied_once(spark, monkeypatch):
+    grow, waiting = sb.grow_round, []
+
+    def watched(state, models, grown, tasks):
+        waiting.append(len(grown))
+        return grow(state, models, grown, tasks)
+
+    monkeypatch.setattr(sb, "grow_round", watched)
+    draw = np.random.default_rng(1).normal(size=(40, 2))
+    rows = [(i % 2, int(v[0] > 0), Vectors.dense(v)) for i, v in enumerate(draw)]
+    kinds = (("Fold", IntegerType()), ("y", IntegerType()), ("vector", VectorUDT()))
+    frame = spark.createDataFrame(rows, StructType([StructField(*kind) for kind in kinds]))
+    assert sb.boosted_margins(frame, F.col("y"), [sb.Model(0, 0.1, 2)], 4).count() == 40
+    assert waiting == [0, 0, 0, 0]

@@ -6,8 +6,9 @@ of a node meet in one task, which sends its best split to the driver. So a searc
 passes as its deepest model alone, rounds x depth, however many models there are.
 
 Trees take Newton steps with an L2 penalty of their leaves; a split needs a gain and a least hessian
-on both sides. The rows keep one margin per model, written every ``WRITTEN_EVERY`` rounds; the trees
-grown since are applied on the way.
+on both sides. The rows keep one margin per model: a tree is applied once,
+when its round is over, and the rows are kept by Spark until the next one; they are written every
+``WRITTEN_EVERY`` rounds.
 """
 
 from __future__ import annotations
@@ -205,13 +206,21 @@ def boosted_margins(rows: DataFrame, label: Column, models: Sequence[Model], rou
     first = known.select(F.size(vector_to_array("vector")).alias("n")).first()
     width, count = (first["n"], known.count()) if first else (0, 0)
     state = cut_lineage(binned(known, label, len(models), width).coalesce(max(1, -(-count // ROWS_PER_TASK))))
-    grown, tasks = [], 0
+    tasks = state.rdd.getNumPartitions() if count else 0
+    kept, older = False, None
     for number in range(1, rounds + 1) if count else ():
-        tasks = state.rdd.getNumPartitions() if not grown else tasks
-        grown.append(grow_round(state, models, grown, tasks))
+        trees = grow_round(state, models, [], tasks)
+        if older is not None:
+            older.unpersist()
+        following, older = moved(state, models, [trees]), state if kept else None
         if number % WRITTEN_EVERY == 0 or number == rounds:
-            state = cut_lineage(moved(state, models, grown))
-            grown = []
+            state, kept = cut_lineage(following), False
+            if older is not None:
+                older.unpersist()
+                older = None
+            tasks = state.rdd.getNumPartitions()
+        else:
+            state, kept = following.persist(), True
     return state.drop("bins")
 
 
