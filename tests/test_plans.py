@@ -34,6 +34,14 @@ def test_no_python_and_no_cross_product(spark, name):
         assert word not in plan, word
 
 
+def test_lines_are_dealt_once_after_the_joins(spark):
+    """Copies, products per invoice and invoices follow from one shuffle of the lines by customer and invoice."""
+    plan = plan_of(QUERIES["fea26_customer_features"](spark, FOLDER))
+    dealt = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "Exchange hashpartitioning(Customer_ID" in line]
+    assert len(dealt) == 3  # lines, days of a customer, customers
+    assert not any("Description" in keys or "StockCode" in keys for keys in dealt)
+
+
 def test_scan_reads_only_what_is_needed(spark):
     plan = plan_of(QUERIES["src03_column_subset"](spark, FOLDER))
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double>" in plan
