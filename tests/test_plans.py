@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 from tillwise.functions.lineage import ensure_checkpoint_dir
 from tillwise.operators import models as mo
 from tillwise.operators import segments as sg
+from tillwise.plans import inputs
 from tillwise.plans.inputs import kept_features
 
 FOLDER = "/root/testdata/sf0.001"
@@ -76,3 +77,12 @@ def test_fitted_models(spark):
     labels = sg.kmeans_labels(matrix, 4, 3)
     assert labels.count() == features.count()
     assert {r["Cluster"] for r in labels.select("Cluster").distinct().collect()} <= set(range(4))
+
+
+@pytest.mark.parametrize("name", ["att03_case_contributions", "rep03_kpi_cards", "rep04_report_metrics"])
+def test_reports_build_features_once(spark, monkeypatch, name):
+    built = []
+    features = inputs.features
+    monkeypatch.setattr(inputs, "features", lambda *args: built.append(args) or features(*args))
+    QUERIES[name](spark, FOLDER)
+    assert len(built) == 1
