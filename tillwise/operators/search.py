@@ -44,7 +44,7 @@ BOOSTING_RATES, BOOSTING_DEPTHS, BOOSTING_ROUNDS = (0.01, 0.05, 0.1, 0.2), (3, 5
 
 PARAMETERS = ("C", "k", "maxDepth", "numTrees", "stepSize")
 FOLDS = 5
-ROWS_PER_TASK = 50_000
+LEAST_ROWS, MOST_ROWS = 50_000, 500_000  # of a task
 COUNTS = ("TruePositives", "FalsePositives", "FalseNegatives")
 
 
@@ -194,11 +194,20 @@ def fresh_folder(df: DataFrame) -> str:
     return f"{ensure_checkpoint_dir(df.sparkSession)}/model-{uuid.uuid4().hex}"
 
 
+def tasks_per_fit(rows: int, side_by_side: int, cores: int) -> int:
+    """Tasks of one of several fits: all of them together fill the cores, and a task's rows stay bounded.
+
+    An iteration takes a task longer to start than to compute, so more tasks than that only add work to each.
+    """
+    return max(1, min(-(-rows // LEAST_ROWS), max(-(-cores // side_by_side), -(-rows // MOST_ROWS))))
+
+
 def fold_parts(train: DataFrame, folds: int) -> list[Fold]:
-    rows = cut_lineage(with_folds(train, folds))
+    """What the folds fit on, kept, and hold out; only the columns of a fit."""
+    rows = cut_lineage(with_folds(train, folds).select("Fold", LABEL, "Weight", "vector"))
     sizes = {r["Fold"]: r["count"] for r in rows.groupBy("Fold").count().collect()}
     total, out = sum(sizes.values()), []
-    tasks = max(1, -(-total // ROWS_PER_TASK))
+    tasks = tasks_per_fit(total, folds, train.sparkSession.sparkContext.defaultParallelism)
     for number in range(folds):
         fit = rows.where(F.col("Fold") != number).coalesce(tasks).persist()
         held = rows.where(F.col("Fold") == number).coalesce(tasks)
