@@ -159,6 +159,7 @@ def best_splits(counts: np.ndarray, drawn: np.ndarray, weights: np.ndarray) -> S
 def level_splits(state: DataFrame, grown: Grown, opened: np.ndarray, trees: int, weights: np.ndarray, width: int, tasks: int) -> dict[int, Split]:
     """Tree -> the best splits of its open nodes, from one pass over the rows. Tree t of fold f has the number f * trees + t."""
     level, folds, drawn = len(grown.cut), len(opened) // trees, ceil(sqrt(width))
+    grown = Grown(grown.feature, grown.cut, [])  # what tasks need
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = block(batches)
@@ -242,6 +243,7 @@ def held_out_counts(
 ) -> dict[tuple[int, int, int], tuple[int, int, int]]:
     """(fold, depth, number of trees) -> hits, wrong and missed of the rows held out; one pass for all."""
     shares = [grown.shares(weights, depth) for depth in depths]
+    grown = Grown(grown.feature, grown.cut, [])  # what tasks need
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = block(batches)
