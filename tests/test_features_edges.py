@@ -126,3 +126,31 @@ def test_required_columns(spark):
         cl.resolve_column(spark.range(1), ["Customer ID"])
     with pytest.raises(ValueError):
         cl.require_columns(spark.range(1), ["id", "Recency"])
+
+
+def test_a_product_counts_once_per_invoice_and_only_if_bought(spark):
+    lines = [
+        line(1, "10", days(-5), code="a"),
+        line(1, "10", days(-5), code="a", quantity=2),
+        line(1, "10", days(-5), code="A "),
+        line(1, "10", days(-5), code="b", quantity=-1),
+        line(1, "10", days(-5), code="b", quantity=3),
+        line(1, "10", days(-5), code="c", quantity=-1),
+        line(1, "10", days(-5), code=None),
+        line(1, "10", days(-5), code=" post "),
+        line(1, "11", days(-4), code="a"),
+        line(1, "12", days(1), code="d"),
+    ]
+    clean = cl.clean_lines(spark.createDataFrame(lines, RAW_LINE))
+    assert clean.count() == 9
+    found = {r["Invoice"]: r["InvoiceProducts"] for r in fe.invoice_rollup(clean, PERIODS).collect()}
+    assert found == {"10": 2, "11": 1, "12": 0}
+
+
+def test_copies_in_dealt_rows_are_the_copies_of_any_rows(spark):
+    rows = [("k", None, float("nan")), ("k", None, float("nan")), ("k", "", 1.0), (None, "", 1.0), (None, "", 1.0), ("k", None, None)]
+    frame = spark.createDataFrame(rows, "k string, s string, v double")
+    dealt = cl.drop_exact_copies(frame.repartition("k"), ["k"])
+    assert dealt.columns == frame.columns
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, cl.drop_exact_copies(frame).collect()))
+    assert dealt.count() == 4

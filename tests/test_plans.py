@@ -43,6 +43,15 @@ def test_lines_are_dealt_once_after_the_joins(spark):
     assert not any("Description" in keys or "StockCode" in keys for keys in dealt)
 
 
+def test_copies_and_products_follow_from_one_sort(spark):
+    """The dealt lines are sorted once per task; no hash table holds whole lines or the codes of an invoice."""
+    plan = plan_of(QUERIES["fea26_customer_features"](spark, FOLDER)).splitlines()
+    grouped = [line.split("functions=")[0] for line in plan if "Aggregate(keys=" in line]
+    assert grouped and not any("Description" in keys or "StockCode" in keys for keys in grouped)
+    sorts = [line for line in plan if "Sort [Customer_ID" in line and "Invoice" in line]
+    assert len(sorts) == 1
+
+
 def test_scan_reads_only_what_is_needed(spark):
     plan = plan_of(QUERIES["src03_column_subset"](spark, FOLDER))
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double>" in plan
