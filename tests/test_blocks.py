@@ -243,3 +243,24 @@ def test_silhouette_blocks_travel_as_arrow_tables(points):
     rows = df.withColumn("Cluster", F.when(F.col("x") > 2, 1).otherwise(0))
     plan = sg.silhouette_euclidean(rows, COLUMNS, ["Cluster"])._jdf.queryExecution().toString()
     assert "InArrow" in plan and "InPandas" not in plan
+
+
+def test_density_links_beyond_the_nearest_rows(spark):
+    """Copies fill the lists of nearest rows, so only a search beyond them finds the steps from heap to heap."""
+    heaps = [[0.0, 0.0, 0.0], [0.5, 0.0, 0.0], [1.0, 0.0, 0.0], [3.0, 0.0, 0.0], [3.9, 0.0, 0.0]]
+    data = np.repeat(heaps, 30, axis=0)[np.random.default_rng(2).permutation(150)]
+    pdf = pd.DataFrame(data, columns=COLUMNS)
+    pdf.insert(0, "Customer_ID", [f"{i:04d}" for i in range(150)])
+    trials = [(0.4, 5), (0.5, 5), (0.5, 12), (1.0, 5), (2.0, 12), (1.0, 40)]
+    found = de.density_clusters(spark.createDataFrame(pdf), COLUMNS, trials, **OPTIONS).toPandas()
+    for number, (reach, least) in enumerate(trials):
+        part = found[found["Trial"] == number].set_index("Customer_ID")["Cluster"]
+        want = [None if v < 0 else f"{v:04d}" for v in brute_force(pdf, reach, least)]
+        assert [None if pd.isna(part[i]) else part[i] for i in pdf["Customer_ID"]] == want
+
+
+def test_neighbours_meet_pieces_without_a_shuffle(points):
+    """Rows lie in pieces that tasks read; nothing is sent once per cell or block that it meets."""
+    _, df = points
+    plan = ne.nearest_rows(df, df, COLUMNS, "Target", 4, **OPTIONS)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CoGroup" not in plan

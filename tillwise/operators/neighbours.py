@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillwise.functions.lineage import cut_lineage
-from tillwise.operators.blocks import (
-    AT_ONCE,
-    BLOCK_ROWS,
-    Rough,
-    build_cells,
-    matrix_of,
-    meet,
-    pair_distances,
-    visiting,
-    with_cell,
-    with_vector,
-)
+from tillwise.operators.pieces import PIECE_ROWS, each_piece, nearest, stored
 
 
 def nearest_rows(
@@ -34,63 +21,48 @@ def nearest_rows(
     power: int = 2,
     identifier: str = "Customer_ID",
     pivots: int | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = PIECE_ROWS,
     fold: str | None = None,
 ) -> DataFrame:
     """The k nearest training rows of every query row, ties in the order of the id.
 
-    Rows first meet their own cell; the k-th distance found there bounds the other cells they go
-    to. With ``fold`` (a column of both sides) only training rows of other folds count.
+    Both sides are written in pieces once; a task takes a piece of query rows past the training
+    pieces, the nearest first, until no other box comes within the k-th distances found. With
+    ``fold`` (a column of both sides) only training rows of other folds count.
     """
     known = [fold] if fold else []
-    home = with_vector(train, columns, [identifier, target, *known]).withColumn(
-        target, F.col(target).cast("double")
-    )
-    home, cells = build_cells(home, identifier, power, pivots)
-    visitors = cut_lineage(with_cell(with_vector(queries, columns, [identifier, *known]), cells))
-
-    def work(a: pa.Table, b: pa.Table) -> pa.Table:
-        b = b.sort_by(identifier)
-        here, there = matrix_of(a, "Vector"), matrix_of(b, "Vector")
-        bound = a.column("Bound").to_numpy()
-        folds = (a.column(fold).to_numpy(), b.column(fold).to_numpy()) if fold else None
-        rough, most, out = Rough(there, power), min(k, len(there)), []
-        for start in range(0, len(here), AT_ONCE):
-            some = slice(start, start + AT_ONCE)
-            apart, error = rough.to(here[some])
-            if fold:
-                apart[folds[0][some, None] == folds[1][None]] = np.inf
-            limit = rough.limit(bound[some])
-            if not np.isfinite(limit).all():
-                farthest = np.partition(apart, most - 1, axis=1)[:, most - 1] + error
-                if power == 2:
-                    farthest = np.sqrt(np.maximum(farthest, 0.0))
-                limit = np.minimum(limit, rough.limit(farthest))
-            rows, at = np.nonzero((apart <= (limit + error)[:, None]) & (apart < np.inf))
-            exact = pair_distances(here[some][rows], there[at], power)
-            order = np.lexsort((at, exact, rows))
-            rows, at, exact = rows[order], at[order], exact[order]
-            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            kept = (place < k) & (exact <= bound[some][rows])
-            out.append((rows[kept] + start, at[kept], exact[kept]))
-        rows, at, exact = (np.concatenate(c) for c in zip(*out, strict=True))
-        taken = [a.column(identifier).take(pa.array(rows)), b.column(identifier).take(pa.array(at))]
-        return pa.table([*taken, b.column(target).take(pa.array(at)), pa.array(exact)], names=names)
-
-    names = [identifier, "Neighbour", "Target", "Distance"]
-    schema = f"{identifier} string, Neighbour string, Target double, Distance double"
-    unbound = visitors.withColumn("Bound", F.lit(float("inf")))
-    first = cut_lineage(meet(unbound, home, cells, identifier, work, schema, block_rows))
-    order = W.partitionBy(identifier).orderBy("Distance", "Neighbour")
-    placed = first.withColumn("Place", F.row_number().over(order))
-    if len(cells.rows) == 1:
-        return placed.where(F.col("Place") <= k)
-    bounds = placed.where(F.col("Place") == k).select(F.col(identifier).alias("_id"), F.col("Distance").alias("Bound"))
-    bounded = visitors.join(bounds, F.col(identifier) == F.col("_id"), "left").drop("_id")
-    bounded = bounded.withColumn("Bound", F.coalesce("Bound", F.lit(float("inf"))))
-    going = visiting(bounded, cells, F.col("Bound"), own=False)
-    found = first.unionByName(meet(going, home, cells, identifier, work, schema, block_rows))
-    return found.withColumn("Place", F.row_number().over(order)).where(F.col("Place") <= k)
+    valued = train.withColumn(target, F.col(target).cast("double"))
+    home = stored(valued, columns, identifier, [target, *known], power, pivots, block_rows)
+    going = home if queries is train else stored(queries, columns, identifier, known, power, pivots, block_rows)
+
+    def prepared() -> Callable[[int], Iterator[pa.Table]]:
+        read, going_read = home.reader(), going.reader()
+
+        def found(number: int) -> Iterator[pa.Table]:
+            mine = going_read(number)
+            apart = going.gaps_from(number, home)
+            distances, places = nearest(mine, home, np.argsort(apart, kind="stable"), apart, read, k, fold=fold)
+            rows, place = np.nonzero(places >= 0)
+            codes = places[rows, place]
+            names, values = np.empty(len(codes), object), np.full(len(codes), np.nan)
+            empty = np.ones(len(codes), bool)
+            for piece in np.unique(codes >> 32):
+                some = np.flatnonzero(codes >> 32 == piece)
+                table = read(int(piece)).table.take(pa.array(codes[some] & 0xFFFFFFFF))
+                names[some] = table.column("Id").to_numpy()
+                values[some] = table.column(target).to_numpy()
+                empty[some] = table.column(target).is_null().to_numpy()
+            columns = [
+                mine.table.column("Id").take(pa.array(rows)), pa.array(names, pa.string()), pa.array(values, mask=empty),
+                pa.array(distances[rows, place]), pa.array(place + 1, pa.int32()),
+            ]
+            yield pa.table([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=names_out)
+
+        return found
+
+    names_out = [identifier, "Neighbour", "Target", "Distance", "Place"]
+    schema = f"{identifier} string, Neighbour string, Target double, Distance double, Place int"
+    return each_piece(train.sparkSession, len(going.paths), prepared, schema)
 
 
 def _weighted(found: DataFrame, weights: str, identifier: str) -> DataFrame:
