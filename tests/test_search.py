@@ -159,3 +159,25 @@ def test_a_boosted_tree_is_applied_once(spark, monkeypatch):
     frame = spark.createDataFrame(rows, StructType([StructField(*kind) for kind in kinds]))
     assert sb.boosted_margins(frame, F.col("y"), [sb.Model(0, 0.1, 2)], 4).count() == 40
     assert waiting == [0, 0, 0, 0]
+
+
+def test_models_grown_by_tasks_equal_those_of_shared_passes(spark, monkeypatch):
+    """A task grows a whole model while it can hold the binned rows, in few jobs; the counts are those of the passes."""
+    rows = mo.with_folds(train(spark), 3)
+    models = [sb.Model(f, rate, depth) for f in range(3) for rate, depth in ((0.1, 3), (0.2, 5))]
+
+    def never(*_):
+        raise AssertionError("a pass over the rows per level")
+
+    with monkeypatch.context() as alone:
+        alone.setattr(sb, "node_splits", never)
+        found = sb.boosted_counts(rows, F.col(mo.LABEL), models, 6)
+    monkeypatch.setattr(sb, "ROWS_ALONE", 0)
+    assert found == sb.boosted_counts(rows, F.col(mo.LABEL), models, 6)
+    assert sorted(found) == list(range(6)) and sum(map(sum, found.values())) > 0
+
+
+def test_the_boosted_search_needs_no_pass_per_level(spark, monkeypatch):
+    monkeypatch.setattr(sb, "node_splits", None)
+    trials = se.boosted_trials(train(spark), 2, rounds=2)
+    assert len(trials) == 24

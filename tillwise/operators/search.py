@@ -31,7 +31,7 @@ from tillwise.functions.lineage import cut_lineage, ensure_checkpoint_dir
 from tillwise.operators.metrics import confusion_counts
 from tillwise.operators.models import CLASSIFIERS, LABEL, MODEL_FEATURES, train_rows, with_folds
 from tillwise.operators.neighbours import nearest_rows
-from tillwise.operators.shared_boosting import Model, boosted_margins, held_out_counts
+from tillwise.operators.shared_boosting import Model, boosted_counts
 from tillwise.operators.shared_forest import forest_counts
 
 # The grids as published. C is the weight of the loss against the penalty.
@@ -234,10 +234,10 @@ def neighbour_trials(train: DataFrame, folds: int, counts: Sequence[int] = NEIGH
 
 
 def boosted_trials(train: DataFrame, folds: int, rounds: int = BOOSTING_ROUNDS) -> list[Trial]:
-    """Fold counts of the boosted classifiers; all settings and folds grow in shared passes."""
+    """Fold counts of the boosted classifiers of all settings and folds."""
     settings = [(fold, rate, depth) for fold in range(folds) for rate in BOOSTING_RATES for depth in BOOSTING_DEPTHS]
     models = [Model(*setting) for setting in settings]
-    found = held_out_counts(boosted_margins(with_folds(train, folds), F.col(LABEL), models, rounds), models)
+    found = boosted_counts(with_folds(train, folds), F.col(LABEL), models, rounds)
     return [
         Trial("BoostedTrees", (("maxDepth", str(m.depth)), ("stepSize", str(m.rate))), m.fold, *found[k])
         for k, m in enumerate(models)

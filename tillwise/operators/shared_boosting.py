@@ -3,7 +3,8 @@
 A search fits one model per fold and setting. Here they grow together: a pass over the rows adds up,
 for every model, the gradients and hessians of the log loss by open node, feature and bin; the sums
 of a node meet in one task, which sends its best split to the driver. So a search takes as many
-passes as its deepest model alone, rounds x depth, however many models there are.
+passes as its deepest model alone, rounds x depth, however many models there are. While a task can hold the
+binned rows (a byte per feature), tasks grow whole models instead, by the same steps and without passes.
 
 Trees take Newton steps with an L2 penalty of their leaves; a split needs a gain and a least hessian
 on both sides. The rows keep one margin per model: a tree is applied once,
@@ -13,7 +14,7 @@ when its round is over, and the rows are kept by Spark until the next one; they
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.functions import shared
 from tillwise.functions.lineage import cut_lineage
 
 # Parameters.
@@ -31,9 +33,13 @@ LEAST_HESSIAN = 1.0
 LEAST_GAIN = 1e-6
 WRITTEN_EVERY = 10
 ROWS_PER_TASK = 5_000
+ROWS_ALONE = 2_000_000  # that a task holds, a byte per feature, to grow models by itself
 NODES_AT_ONCE = 256  # nodes whose sums are searched in one step
 
 
+SPLIT = ["slot", "feature", "cut", "gain", "left_g", "left_h", "g", "h"]
+
+
 class Model(NamedTuple):
     fold: int  # held out
     rate: float
@@ -152,8 +158,6 @@ def node_splits(
                 names=["slot", "sums"],
             )
 
-    names = ["slot", "feature", "cut", "gain", "left_g", "left_h", "g", "h"]
-
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -164,7 +168,7 @@ def node_splits(
         for start in range(0, len(slots), NODES_AT_ONCE):
             some = slots[start : start + NODES_AT_ONCE]
             found = best_splits(np.stack([held[slot] for slot in some]).reshape(len(some), 2, -1, BINS))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (some, *found)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (some, *found)], names=SPLIT)
 
     parts = state.mapInArrow(summed, "slot bigint, sums binary")
     parts = parts.repartition("slot") if tasks > 1 else parts  # the sums of one task are whole
@@ -172,13 +176,13 @@ def node_splits(
     return parts.mapInArrow(chosen, kinds).collect()
 
 
-def grow_round(state: DataFrame, models: Sequence[Model], grown: Sequence[Trees], tasks: int) -> Trees:
-    """One more tree per model, all of them level by level in shared passes."""
+def grow_trees(models: Sequence[Model], splits: Callable[[Trees, list[tuple[int, int]]], list]) -> Trees:
+    """One tree per model, level by level; ``splits`` gives the best split of every open node (model, node)."""
     now = Trees.empty(len(models), max(m.depth for m in models))
     open_nodes = [(k, 0) for k in range(len(models))]
     while open_nodes:
         following = []
-        for row in node_splits(state, models, grown, now, open_nodes, tasks):
+        for row in splits(now, open_nodes):
             model, node = open_nodes[row["slot"]]
             settings = models[model]
             step = lambda g, h: -settings.rate * g / (h + PENALTY)  # noqa: B023, E731
@@ -196,6 +200,100 @@ def grow_round(state: DataFrame, models: Sequence[Model], grown: Sequence[Trees]
     return now
 
 
+def grow_round(state: DataFrame, models: Sequence[Model], grown: Sequence[Trees], tasks: int) -> Trees:
+    """One more tree per model, all of them level by level in shared passes."""
+    return grow_trees(models, lambda now, open_nodes: node_splits(state, models, grown, now, open_nodes, tasks))
+
+
+def margins_alone(folds: np.ndarray, labels: np.ndarray, bins: np.ndarray, model: Model, rounds: int) -> np.ndarray:
+    """The margin of every row under one model, grown here on the rows of the folds it does not hold out."""
+    fit, margins = folds != model.fold, np.zeros(len(labels))
+    by_feature = np.ascontiguousarray(bins.T)
+    if not fit.any():
+        return margins
+    for _ in range(rounds):
+        chance = 1 / (1 + np.exp(-margins))
+        g, h = chance - labels, chance * (1 - chance)
+        at = np.zeros(len(labels), np.int64)
+
+        def further(now: Trees) -> None:
+            """Rows go on below the nodes that were split."""
+            feature = now.feature[0, at]  # noqa: B023
+            inner = np.flatnonzero(feature >= 0)
+            right = by_feature[feature[inner], inner] > now.cut[0, at[inner]]  # noqa: B023
+            at[inner] = 2 * at[inner] + 1 + right  # noqa: B023
+
+        def splits(now: Trees, open_nodes: list[tuple[int, int]]) -> list:
+            further(now)
+            slots = np.full(now.feature.shape[1], -1)
+            slots[[node for _, node in open_nodes]] = np.arange(len(open_nodes))
+            slot = np.where(fit, slots[at], -1)  # noqa: B023
+            rows = np.flatnonzero(slot >= 0)
+            base, ours_g, ours_h = slot[rows] * BINS, g[rows], h[rows]  # noqa: B023
+            sums = np.empty((len(open_nodes), 2, len(by_feature), BINS))
+            for k, feature in enumerate(by_feature):
+                place = base + feature[rows]
+                for side, weight in enumerate((ours_g, ours_h)):
+                    sums[:, side, k] = np.bincount(place, weight, len(open_nodes) * BINS).reshape(-1, BINS)
+            found = [column.tolist() for column in best_splits(sums)]
+            return [dict(zip(SPLIT, (k, *line), strict=True)) for k, line in enumerate(zip(*found, strict=True))]
+
+        now = grow_trees([model], splits)
+        further(now)
+        margins += now.value[0, at]
+    return margins
+
+
+def counts_alone(rows: DataFrame, label: Column, models: Sequence[Model], rounds: int, width: int) -> dict[int, tuple[int, int, int]]:
+    """Model number -> hits, wrong and missed decisions on the rows it held out; a task grows whole models, the deepest first.
+
+    The binned rows are written to the shared folder, a byte per feature, and every task reads all of them.
+    """
+    spark = rows.sparkSession
+    folder = shared.shared_folder(spark, "bins")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [batch for batch in batches if batch.num_rows]
+        if tables:
+            yield pa.RecordBatch.from_arrays([pa.array([shared.save(folder, pa.Table.from_batches(tables))])], names=["path"])
+
+    paths = sorted(r["path"] for r in binned(rows, label, 0, width).drop("margins").mapInArrow(kept, "path string").collect())
+    order = sorted(range(len(models)), key=lambda k: -models[k].depth)
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
+        for batch in batches:
+            for place in batch.column(0).to_pylist():
+                if table is None:
+                    table = pa.concat_tables([shared.load(path) for path in paths])
+                    folds, labels = table.column("fold").to_numpy(), table.column("label").to_numpy()
+                    bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(len(folds), -1)
+                number = order[place]
+                held = folds == models[number].fold
+                decided = margins_alone(folds, labels, bins, models[number], rounds)[held] > 0
+                positive = labels[held] > 0.5
+                counts = [int((a & b).sum()) for a, b in ((positive, decided), (~positive, decided), (positive, ~decided))]
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (number, *counts)], names=["model", "hits", "wrong", "missed"])
+
+    found = spark.range(0, len(models), 1, len(models)).mapInArrow(grown, "model bigint, hits bigint, wrong bigint, missed bigint")
+    return {row["model"]: (row["hits"], row["wrong"], row["missed"]) for row in found.collect()}
+
+
+def boosted_counts(rows: DataFrame, label: Column, models: Sequence[Model], rounds: int) -> dict[int, tuple[int, int, int]]:
+    """Hits, wrong and missed decisions of every model on the rows it held out.
+
+    As long as a task can hold the binned rows, tasks grow whole models and no pass is shared; more rows
+    are spread over tasks and the models grow together, a pass per level.
+    """
+    rows = cut_lineage(rows.where(label.isNotNull()).select("Fold", "vector", label.alias("_label")))
+    known = F.col("_label")
+    count = rows.count()
+    if not 0 < count <= ROWS_ALONE:
+        return held_out_counts(boosted_margins(rows, known, models, rounds), models)
+    width = rows.select(F.size(vector_to_array("vector")).alias("n")).first()["n"]
+    return counts_alone(rows, known, models, rounds, width)
+
+
 def boosted_margins(rows: DataFrame, label: Column, models: Sequence[Model], rounds: int) -> DataFrame:
     """(fold, label, margins): the margin of every row under every model, as float64 bytes.
 
