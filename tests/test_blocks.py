@@ -264,3 +264,27 @@ def test_neighbours_meet_pieces_without_a_shuffle(points):
     _, df = points
     plan = ne.nearest_rows(df, df, COLUMNS, "Target", 4, **OPTIONS)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "CoGroup" not in plan
+
+
+def test_silhouette_rows_are_dealt_once(points):
+    """No row is sent once per block it meets; noise, single rows and labels of one cluster count as before."""
+    _, df = points
+    halves = F.when(F.col("x") > 2, "a").otherwise("b")
+    alone = F.when(F.col("Customer_ID") == "0000", "only").otherwise(halves)
+    rows = df.withColumns({"noisy": F.when(F.col("z") < 1.5, halves), "one": F.lit("x"), "alone": alone, "none": F.lit(None).cast("string")})
+    found = sg.silhouette_euclidean(rows, COLUMNS, ["noisy", "one", "alone", "none"], block_rows=40)
+    plan = found._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and "Explode" not in plan and "Generate" not in plan
+    pdf = rows.toPandas()
+    distance = np.sqrt(((pdf[COLUMNS].to_numpy()[:, None] - pdf[COLUMNS].to_numpy()[None]) ** 2).sum(-1))
+    got = {r["Label"]: r["Silhouette"] for r in found.collect()}
+    assert sorted(got) == ["alone", "noisy", "one"] and got["one"] is None
+    for name in ("noisy", "alone"):
+        mark = pdf[name].to_numpy()
+        kept = [i for i in range(len(pdf)) if mark[i] is not None]
+        values = []
+        for i in kept:
+            means = {c: distance[i, mark == c].sum() / max(1, (mark == c).sum() - (c == mark[i])) for c in set(mark[kept])}
+            a, b = means.pop(mark[i]), min(means.values())
+            values.append(0.0 if (mark == mark[i]).sum() == 1 else (b - a) / max(a, b))
+        assert got[name] == pytest.approx(np.mean(values))
