@@ -288,3 +288,20 @@ def test_silhouette_rows_are_dealt_once(points):
             a, b = means.pop(mark[i]), min(means.values())
             values.append(0.0 if (mark == mark[i]).sum() == 1 else (b - a) / max(a, b))
         assert got[name] == pytest.approx(np.mean(values))
+
+
+def test_trial_scores_equal_the_single_scores(points, spark):
+    """Counts and scores of all trials from sums per cluster, few clusters at a time, as the operators give them one by one."""
+    _, df = points
+    trials = [(0.5, 4), (1.5, 10), (0.001, 200)]
+    fit = de.density_fit(df, COLUMNS, trials, **OPTIONS)
+    found = {r["Eps"]: r for r in de.trial_scores(fit, spark).collect()}
+    labels = fit.labels(spark).where("Cluster is not null").join(df, "Customer_ID").select("Eps", "Customer_ID", *COLUMNS, "Cluster").toPandas()
+    for reach, _ in trials[:2]:
+        part = labels[labels["Eps"] == reach].drop(columns="Eps")
+        rows, line = spark.createDataFrame(part), found[reach]
+        assert line["Clusters"] == part["Cluster"].nunique() and line["NoiseCount"] == df.count() - len(part)
+        assert line["SilhouetteSquared"] == pytest.approx(ce.silhouettes_squared(rows, COLUMNS, ["Cluster"]).first()[1])
+        assert line["DaviesBouldin"] == pytest.approx(sg.davies_bouldin(rows, COLUMNS, "Cluster").first()[0])
+        assert line["CalinskiHarabasz"] == pytest.approx(sg.calinski_harabasz(rows, COLUMNS, "Cluster").first()[0])
+    assert found[0.001]["Noise_Pct"] == 100.0 and found[0.001]["DaviesBouldin"] is None
